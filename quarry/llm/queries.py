@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from quarry.llm import language_id, packing
+from quarry.llm import chunked_bpe, language_id, packing
 
 QUERIES = {
     "op1_language_id": language_id.query,
+    "op3_chunked_bpe": chunked_bpe.query,
     "op5_best_fit_packing": packing.query,
 }
 
