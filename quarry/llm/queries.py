@@ -1,11 +1,13 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from quarry.llm import chunked_bpe, language_id, packing
+from quarry.llm import chunked_bpe, language_id, packing, rlbwt_dedup, superkmer_dedup
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op3_chunked_bpe": chunked_bpe.query,
+    "op4_rlbwt_dedup": rlbwt_dedup.query,
     "op5_best_fit_packing": packing.query,
+    "op7_superkmer_dedup": superkmer_dedup.query,
 }
 
 ORACLES: dict[str, str] = {}
