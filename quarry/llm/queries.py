@@ -1,13 +1,16 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from quarry.llm import chunked_bpe, language_id, packing, rlbwt_dedup, superkmer_dedup
+from quarry.llm import chunked_bpe, imatch, language_id, packing, pstable_neardup, rlbwt_dedup, simhash, superkmer_dedup
 
 QUERIES = {
     "op1_language_id": language_id.query,
+    "op2_imatch": imatch.query,
     "op3_chunked_bpe": chunked_bpe.query,
     "op4_rlbwt_dedup": rlbwt_dedup.query,
     "op5_best_fit_packing": packing.query,
+    "op6_simhash": simhash.query,
     "op7_superkmer_dedup": superkmer_dedup.query,
+    "op10_pstable_neardup": pstable_neardup.query,
 }
 
 ORACLES: dict[str, str] = {}
