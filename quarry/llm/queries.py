@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from quarry.llm import chunked_bpe, imatch, language_id, packing, pstable_neardup, rlbwt_dedup, simhash, superkmer_dedup
+from quarry.llm import chunked_bpe, imatch, language_id, packing, pstable_neardup, rlbwt_dedup, simhash, suffix_tree_lm, superkmer_dedup, weak_quality
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op5_best_fit_packing": packing.query,
     "op6_simhash": simhash.query,
     "op7_superkmer_dedup": superkmer_dedup.query,
+    "op8_weak_quality": weak_quality.query,
+    "op9_suffix_tree_lm": suffix_tree_lm.query,
     "op10_pstable_neardup": pstable_neardup.query,
 }
 
