@@ -177,3 +177,146 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op6: fingerprint and component of every document."""
     found = components(fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies by similarity: a wide fingerprint.  At a similarity of 0.8 of the shingle sets some 15 % of the bits
+# differ, too many for an exact index of 64 bits.  So the fingerprint gets more words, of independent hashes, and
+# the first budget of the ring - how much its starting segment may differ - is held at 0 for many short segments,
+# which finds a pair with the wished recall; the full Hamming check over all words then decides.
+
+NEAR_SHINGLE = 5
+SIMILARITY = 0.8
+RECALL = 0.9
+#: Distinct fingerprints that share a segment by chance, in the mean, and that one task compares with each other.
+STRANGERS = 4
+BLOCK = 2048
+
+
+def differing(similarity: float) -> float:
+    """The share of bits that differ, in the mean, at a Jaccard similarity of the shingle sets."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_shape(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a segment, segments) for n fingerprints."""
+    bits = int(np.clip(np.ceil(np.log2(max(n, 1) / STRANGERS)), 12, 56))
+    segments = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - differing(similarity)) ** bits)))
+    return bits, max(segments, -(-512 // bits))
+
+
+def wide_fingerprints(docs: DataFrame, words: int, shingle: int = NEAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp``: fingerprints of ``words`` times 64 bits over the distinct shingles, as bytes."""
+    from quarry.llm.common import mix
+
+    rows = documents(docs, id_col, text_col)
+    id_type = dict(rows.dtypes)["doc_id"]
+    schema = pa.schema([("doc_id", pa.string() if id_type == "string" else pa.int64()), ("fp", pa.binary())])
+    seeds = mix(np.arange(1, words + 1, dtype=np.uint64))
+
+    def apply(batches):
+        for part in slices(batches):
+            out = np.zeros((part.num_rows, words), np.uint64)
+            hashes = [np.unique(np.array(shingle_hashes(t or b"", shingle), dtype=np.uint64)) for t in raw(part)]
+            n = np.array([len(h) for h in hashes])
+            some = np.flatnonzero(n)
+            if len(some):
+                flat, own = np.concatenate([hashes[k] for k in some]), n[some]
+                begin = np.cumsum(own) - own
+                cut = [0, *(np.flatnonzero(np.diff(begin // 100_000)) + 1).tolist(), len(some)]
+                for w in range(words):
+                    h = mix(flat ^ seeds[w])
+                    for a, b in zip(cut, cut[1:], strict=False):  # whole texts, some 100,000 shingles at a time
+                        at = begin[a:b] - begin[a]
+                        bits = np.unpackbits(h[begin[a] : begin[b - 1] + own[b - 1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                        votes = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+                        out[some[a:b], w] = np.packbits(2 * votes > own[a:b, None], axis=1, bitorder="little").view(np.uint64).ravel()
+            yield record(schema, part.column("doc_id"), [x.tobytes() for x in out])
+
+    return rows.mapInArrow(apply, f"doc_id {id_type}, fp binary")
+
+
+def _segments(bits: int, segments: int):
+    """Each fingerprint under the value of each of its segments."""
+
+    def apply(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                rows = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                flat = np.unpackbits(rows, axis=1, bitorder="little")[:, : bits * segments].reshape(part.num_rows, segments, bits)
+                key = np.packbits(np.pad(flat, ((0, 0), (0, 0), (0, 64 - bits))), axis=2, bitorder="little").view(np.int64)[:, :, 0]
+                i, t = np.divmod(np.arange(key.size), segments)
+                yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(key.ravel()), part.column("rep").take(pa.array(i)), part.column("fp").take(pa.array(i))], names=["segment", "key", "rep", "fp"])
+
+    return apply
+
+
+def _compare_wide(most: int):
+    names = ("segment", "key", "one", "two")
+
+    def groups(table: pa.Table) -> np.ndarray:
+        key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in names])
+        return np.append((key[:, 1:] == key[:, :-1]).all(axis=0), False)  # the next row is of the same group
+
+    def join(table: pa.Table, same: np.ndarray, hung: dict) -> None:
+        x = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        rep, side = table.column("rep").to_numpy(), table.column("side").to_numpy()
+        within = table.column("one").to_numpy() == table.column("two").to_numpy()
+        last = np.flatnonzero(~same)
+        reach = last[np.searchsorted(last, np.arange(len(x)))]
+        apart, rows, found = 1, np.flatnonzero(same), []
+        while len(rows := rows[rows + apart <= reach[rows]]):
+            for at in range(0, len(rows), 50_000):
+                a = rows[at : at + 50_000]
+                near = np.bitwise_count(x[a] ^ x[a + apart]).sum(axis=1) <= most
+                near &= within[a] | (side[a] != side[a + apart])
+                found += zip(rep[a[near]].tolist(), rep[a[near] + apart].tolist(), strict=True)
+            if len(found) > 200_000:
+                found = [(b, c) for c, b in forest(iter(found)).items()]
+            apart += 1
+        merged = forest([*((b, c) for c, b in hung.items()), *found])
+        hung.clear()
+        hung.update(merged)
+
+    def apply(batches):
+        held, n, hung, kind = [], 0, {}, None
+        for b in batches:
+            kind = b.schema.field("rep").type
+            held.append(b)
+            n += b.num_rows
+            if n >= 50_000:
+                table = pa.Table.from_batches(held).combine_chunks()
+                same = groups(table)
+                cut = int(np.flatnonzero(~same[:-1])[-1]) + 1 if (~same[:-1]).any() else 0
+                if cut:
+                    same[cut - 1] = False
+                    join(table.slice(0, cut), same[:cut], hung)
+                    held, n = table.slice(cut).to_batches(), table.num_rows - cut
+        if n:
+            table = pa.Table.from_batches(held).combine_chunks()
+            join(table, groups(table), hung)
+        if hung:
+            yield pa.RecordBatch.from_arrays([pa.array(hung.values(), kind), pa.array(hung.keys(), kind)], names=["src", "dst"])
+
+    return apply
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
+    """``doc_id, component_id``: groups of documents with about ``similarity`` of their shingles in common (Jaccard,
+    estimated by the fingerprints' Hamming distance), or more.  Null ids are left out."""
+    rep = {"string": "string"}.get(dict(docs.dtypes)[id_col], "long")
+    bits, segments = wide_shape(docs.count(), similarity, recall)
+    words = -(-bits * segments // 64)
+    prints = materialise(wide_fingerprints(docs, words, shingle, id_col, text_col))
+    nodes = materialise(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    placed = nodes.mapInArrow(_segments(bits, segments), f"segment int, key long, rep {rep}, fp binary")
+    slim = nodes.mapInArrow(_segments(bits, segments), f"segment int, key long, rep {rep}, fp binary").select("segment", "key")
+    sizes = slim.groupBy("segment", "key").agg(F.count("*").alias("many")).filter("many > 1").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+    side = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("side"), j).alias("one"), F.greatest(F.col("side"), j).alias("two")))).alias("p")
+    dealt = placed.join(sizes, ["segment", "key"]).withColumn("side", side).select("segment", "key", "rep", "fp", "side", pair).select("segment", "key", "p.one", "p.two", "side", "rep", "fp")
+    sorted_ = dealt.repartition("segment", "key", "one", "two").sortWithinPartitions("segment", "key", "one", "two")
+    most = int(np.ceil((differing(similarity) + 0.005) * 64 * words))
+    named = connected_components(sorted_.mapInArrow(_compare_wide(most), f"src {rep}, dst {rep}"))
+    of_fp = nodes.join(named.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return prints.filter("doc_id is not null").join(of_fp, "fp").select("doc_id", "component_id")
