@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.llm.common import documents, raw, record, slices
-from quarry.llm.segments import SegmentEncoder
+from quarry.llm.segments import WordEncoder
 from quarry.storage import materialise
 
 CAPACITY = 2048
@@ -40,16 +40,17 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col:
     schema = pa.schema([("doc_id", pa.string() if id_type == "string" else pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def apply(batches):
-        encoder, end, wide = SegmentEncoder.of(vocabulary, "<u4"), END_ID.to_bytes(4, "little"), 4 * capacity
+        encoder, wide = WordEncoder.of(vocabulary), 4 * capacity
         for part in slices(batches):
-            words = [(t or b"").split() for t in raw(part)]
-            ids_of = encoder.lookup({w for ws in words for w in ws}).__getitem__
-            cols: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, ws in zip(part.column("doc_id").to_pylist(), words, strict=True):
-                ids = b"".join(map(ids_of, ws)) + end
-                for piece, at in enumerate(range(0, len(ids), wide)):
-                    own = ids[at : at + wide]
-                    for c, v in zip(cols, (doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)), strict=True):
+            ids, n = encoder.encode([t or b"" for t in raw(part)])
+            ends = np.cumsum(n + 1)
+            whole = np.full(len(ids) + len(n), END_ID, "<u4")
+            whole[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+            whole, cols = whole.tobytes(), ([], [], [], [], [])
+            for doc_id, a, b in zip(part.column("doc_id").to_pylist(), (4 * (ends - n - 1)).tolist(), (4 * ends).tolist(), strict=True):
+                for piece, at in enumerate(range(a, b, wide)):
+                    own = whole[at : min(at + wide, b)]
+                    for c, v in zip(cols, (doc_id, piece, (at - a) // 4, len(own) // 4, zlib.crc32(own)), strict=True):
                         c.append(v)
             yield record(schema, *cols)
 
