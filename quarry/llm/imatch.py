@@ -22,9 +22,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import documents, mix, raw, record, slices, u64
+from quarry.llm.common import SLICE_BYTES, documents, mix, raw, record, slices, u64
 
 #: The band of document frequencies, as shares of all documents.
 RAREST = 1 / 2000
@@ -33,7 +34,7 @@ SUBSETS = 64
 LEVELS = 3
 #: Terms longer than this many bytes are never in the lexicon; terms a counting worker holds before it passes them on.
 LONGEST_TERM = 64
-HELD_TERMS = 250_000
+HELD_TERMS = 400_000
 #: Documents of a range of ids in the mean, and the most ranges.
 RANGE_ROWS = 200
 MOST_RANGES = 1 << 16
@@ -131,7 +132,8 @@ def text_of(level: int, hashes: np.ndarray) -> str:
 
 
 def in_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, guest`` in ranges of ascending ids, each with the row that follows its last one as a guest."""
+    """``range, guest, doc_id, th, packed`` (the text, compressed for its way) in ranges of ascending ids, each with
+    the row that follows its last one as a guest."""
     rows = documents(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).withColumn("doc_id", F.col("doc_id").cast("long"))
     total = rows.count()
     wanted = max(1, min(MOST_RANGES, total // RANGE_ROWS))
@@ -151,19 +153,20 @@ def in_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     firsts = rows.select("doc_id", "th").mapInArrow(place, "doc_id long, th long, range int").groupBy("range").agg(first).select("range", "f.doc_id", "f.th").collect()
     firsts = sorted((r["range"], r["doc_id"], r["th"]) for r in firsts) if all(r["doc_id"] is not None for r in firsts) else sorted(((r["range"], r["doc_id"], r["th"]) for r in firsts), key=lambda r: r[0])
     before = {(i, th): firsts[k - 1][0] for k, (_, i, th) in enumerate(firsts)}  # the range before a first row, cyclic
-    out = pa.schema([("range", pa.int32()), ("guest", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("text", pa.string())])
+    out = pa.schema([("range", pa.int32()), ("guest", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("packed", pa.binary())])
 
     def route(batches):
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
         for part in slices(batches):
             ids, th, at = part.column("doc_id"), part.column("th"), ranges_of(part.column("doc_id"))
             guests = [(k, before[key]) for k, key in enumerate(zip(ids.to_pylist(), th.to_pylist(), strict=True)) if key in before]
-            text = part.column("text").cast(pa.string())
+            text = pa.array([pack(t or b"") for t in raw(part)], pa.binary())
             yield record(out, at, np.zeros(len(at), np.int32), ids, th, text)
             if guests:
                 k = pa.array([g[0] for g in guests])
                 yield record(out, [g[1] for g in guests], [1] * len(guests), ids.take(k), th.take(k), text.take(k))
 
-    return rows.mapInArrow(route, "range int, guest int, doc_id long, th long, text string").repartition("range").sortWithinPartitions("range", "guest", "doc_id", "th")
+    return rows.mapInArrow(route, "range int, guest int, doc_id long, th long, packed binary").repartition("range").sortWithinPartitions("range", "guest", "doc_id", "th")
 
 
 def edited(text: str, following: str) -> str:
@@ -178,16 +181,16 @@ def fingerprint_documents(docs: DataFrame, words: list[bytes], id_col: str = "do
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def apply(batches):
-        known, held = _table(shared), None
-        for part in slices(batches):
-            rows = list(zip(*(part.column(c).to_pylist() for c in ("range", "guest", "doc_id", "text")), strict=True))
+        known, held, unpack = _table(shared), None, zstandard.ZstdDecompressor().decompress
+        for part in slices(batches, "packed", SLICE_BYTES // 2):
+            rows = list(zip(*(part.column(c).to_pylist() for c in ("range", "guest", "doc_id")), map(unpack, part.column("packed").to_pylist()), strict=True))
             if held:
                 rows.insert(0, held)
             held = rows[-1]
             if len(rows) < 2:
                 continue
-            told = [t or "" for *_, t in rows]
-            plain = [t.encode("utf-8", "replace") for t in told]
+            plain = [t for *_, t in rows]
+            told = [t.decode("utf-8", "replace") for t in plain]
             own = [k for k in range(len(rows) - 1) if not rows[k][1]]  # a guest only tells what comes next
             changed = [edited(told[k], told[k + 1]).encode("utf-8", "replace") for k in own]
             level, hashes = fingerprint_texts(plain + changed, known)
