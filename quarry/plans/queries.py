@@ -229,8 +229,9 @@ def contracted_edges(spark, d):
     tasks, near = similar_tasks(spark, d)
     pairs = resolve.candidates(vectors_of(spark, d).withColumnRenamed("id", "hex_id"), 10, 0.34)
     joined = components.connected_components(pairs, "lo", "hi")
-    nodes = tasks.withColumn("aliases", F.array().cast("array<long>"))
-    moved = graph.contract(nodes.select(F.col("id").cast("string"), "type", F.array().cast("array<string>").alias("aliases")), near.select(F.col("src").cast("string"), F.col("dst").cast("string"), "type", "weight"), joined.select(F.lpad("id", 1, "").alias("x"), F.col("id").cast("string"), F.col("component").cast("string")).drop("x"))[1]
+    text = lambda df, *cols: df.withColumns({c: F.col(c).cast("string") for c in cols})
+    nodes = text(tasks, "id").withColumn("aliases", F.array().cast("array<string>"))
+    moved = graph.contract(nodes, text(near, "src", "dst"), text(joined, "id", "component"))[1]
     return moved.select(F.least(F.col("src").cast("long"), F.col("dst").cast("long")).alias("src"), F.greatest(F.col("src").cast("long"), F.col("dst").cast("long")).alias("dst"))
 
 
@@ -287,7 +288,7 @@ pairs_ as (select least(a, b) as lo, greatest(a, b) as hi, max(sim) as sim from
 _EDGES = f"""kw_ as (select doc_id as id, list_slice(string_split(lower(text), ' '), 1, 6) as k from documents),
 near_ as (select lo as src, hi as dst, case when sim > {STRONG} then 1.0 when coalesce(len(list_intersect(x.k, y.k)) / least(len(list_distinct(x.k)), len(list_distinct(y.k))), 0) >= 0.7 then 1.0 else sim end as weight
   from pairs_ left join kw_ x on x.id = lo left join kw_ y on y.id = hi where sim >= {WEAK})"""
-_QUERY = f"q_ as (select list_transform(embedding, x -> x::double * 0.9 + 0.01) as q from embeddings where vec_id = {QUERY_ID})"
+_QUERY = f"q_ as (select list_transform(embedding, lambda x: x::double * 0.9 + 0.01) as q from embeddings where vec_id = {QUERY_ID})"
 
 
 def _ranks(seeds: str) -> str:
@@ -325,8 +326,8 @@ ORACLES = {
     "title_normalize": "select p_partkey, " + _NORMAL.format("'The ' || p_name || ' (' || p_size || ')  Data-set, a Dataset! of ' || p_brand") + " as title from part",
     "keyword_overlap": """with k as (select doc_id as id, list_slice(string_split(lower(text), ' '), 1, 6) as k from documents)
       select a.id, round(len(list_intersect(a.k, b.k)) / least(len(list_distinct(a.k)), len(list_distinct(b.k))), 6) as overlap from k a join k b on b.id - 1 = a.id""",
-    "keyword_parse": """select p_partkey, array_to_string(list_transform(k, (x, i) -> case when i = len(k) then regexp_replace(x, '\\.$', '') else x end), '|') as keywords
-      from (select p_partkey, list_filter(list_transform(string_split(' ' || replace(p_type, ' ', ', ,') || ' .', ','), x -> trim(x)), x -> x <> '') as k from part)""",
+    "keyword_parse": """select p_partkey, array_to_string(list_transform(k, lambda x, i: case when i = len(k) then regexp_replace(x, '\\.$', '') else x end), '|') as keywords
+      from (select p_partkey, list_filter(list_transform(string_split(' ' || replace(p_type, ' ', ', ,') || ' .', ','), lambda x: trim(x)), lambda x: x <> '') as k from part)""",
     "kg_nodes": f"with {_EACH}, {_KG} select id, ['document', 'dataset', 'task'][k] as type from nodes_",
     "kg_edges": f"with {_EACH}, {_KG} select * from edges_",
     "kg_degree": f"with {_EACH}, {_KG} select degree, count(*) as nodes from (select id, count(*) as degree from (select src as id from edges_ union all select dst from edges_) group by id) group by degree",
@@ -349,7 +350,7 @@ ORACLES = {
       select rank, rank || '. **Dataset**: ' || title || chr(10) || '   **Description**: ' || description || chr(10) || '   **Related Tasks**: ' || (select string_agg(task_description, '; ' order by task_description) from tasks_ where dataset_id = h_.id) || chr(10) || '   **Link**: ' || link as line from h_""",
     "dataset_candidates": f"with {_KNN} select lo, hi, round(sim, 6) as sim from pairs_ where sim >= {WEAK}",
     "merge_components": f"with recursive {_KNN}, {_COMP} select * from comp_",
-    "contracted_edges": f"""with recursive {_KNN}, {_EDGES}, {_COMP}, rep_ as (select c.id, case when c.component::varchar <= m.s then c.component else c.component end as component from comp_ c join (select component, min(id::varchar) as s from comp_ group by 1) m using (component))
+    "contracted_edges": f"""with recursive {_KNN}, {_EDGES}, {_COMP}, rep_ as (select * from comp_)
       select distinct least(a, b) as src, greatest(a, b) as dst from (select coalesce(x.component, src) as a, coalesce(y.component, dst) as b from near_ left join rep_ x on x.id = src left join rep_ y on y.id = dst) where a <> b""",
     "resolved_datasets": """with g_ as (select p_name, min(p_partkey) as k from part group by 1) select unnest(['a' || k, 'b' || k]) as id, 'a' || k as component from g_""",
     "recall_at_k": f"""with {_KNN}, f_ as (select v_.id, min(rank) as first from v_ left join knn_ on a = v_.id and rank <= 5 and b = v_.id + v_.id % 2 group by 1)
