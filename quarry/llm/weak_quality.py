@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.common import documents, raw, record, slices
+from quarry.storage import materialise
 
 #: Bounds of the training samples: texts of the scorer, labelled documents of the toxic head.
 SAMPLE = 8000
-LABELLED_SAMPLE = 20_000
+LABELLED_SAMPLE = 10_000
 KEEP_ABOVE = 0.5
 #: Toxic marks: documents one is seen in, its precision, documents it must add; lengths of word beginnings.
-LEAST_SEEN, PRECISION, LEAST_GAIN, BEGINNINGS = 5, 0.9, 3, range(4, 9)
+LEAST_SEEN, PRECISION, LEAST_GAIN, BEGINNINGS = 5, 0.9, 3, (4, 6, 8)
 REMEMBERED = 250_000
 _SHAPES, _BUCKETS = 512, 512
 _WORD = re.compile(r"[^\W_]+")
@@ -88,9 +89,9 @@ def _vote(bad: bool, good: bool) -> int:
 
 #: The labellers: each may abstain.
 LABELLERS = {
-    "signs": lambda s: _vote(s.sign_share > 0.07, 0 < s.sign_share < 0.05),
+    "signs": lambda s: _vote(s.words >= 10 and s.sign_share > 0.07, 0 < s.sign_share < 0.05),
     "capitals": lambda s: _vote(s.upper_share > 0.25, s.upper_share < 0.08),
-    "stutter": lambda s: _vote(s.repeat_share > 0.08, s.words >= 20 and s.repeat_share < 0.03),
+    "stutter": lambda s: _vote(s.words >= 20 and s.repeat_share > 0.08, s.words >= 20 and s.repeat_share < 0.03),
     "one_word": lambda s: _vote(s.words >= 20 and s.top_share > 0.15, s.words >= 40 and s.top_share < 0.1),
     "same_lines": lambda s: _vote(s.same_lines > 0.3, 0),
     "word_length": lambda s: _vote(s.words >= 10 and not 3 <= s.word_length <= 6.6, s.words >= 10 and 4 <= s.word_length <= 6),
@@ -135,10 +136,10 @@ def expectation_maximisation(patterns: dict[str, int], rounds: int = 200) -> dic
         return dict.fromkeys(patterns, 0.5)
     for _ in range(rounds):
         log = []
-        for q in (good, 1 - good):
+        for q in (good, 1 - good):  # a labeller that abstains says nothing
             w = weight * q
-            share = [(w @ (votes == v) + 0.5) / (w.sum() + 1.5) for v in (-1, 0, 1)]
-            log.append(np.log((w.sum() + 1) / (weight.sum() + 2)) + sum((votes == v) @ np.log(s) for v, s in zip((-1, 0, 1), share, strict=True)))
+            share = {v: (w @ (votes == v) + 0.5) / (w @ (votes != 0) + 1) for v in (-1, 1)}
+            log.append(np.log((w.sum() + 1) / (weight.sum() + 2)) + sum((votes == v) @ np.log(share[v]) for v in (-1, 1)))
         new = 1 / (1 + np.exp(np.clip(log[1] - log[0], -500, 500)))
         if np.abs(new - good).max() < 1e-9:
             break
@@ -159,29 +160,46 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-4)
     return w
 
 
-def marks(texts: list[str], toxic: list[int]) -> list[str]:
-    """Words and word beginnings (with a trailing *) that mark toxic texts."""
-    kinds, seen = [], set()
-    for t, y in zip(texts, toxic, strict=True):
-        if t not in seen:
-            seen.add(t)
-            ws = set(_WORD.findall(t.lower()))
-            kinds.append((y, ws | {w[:k] + "*" for w in ws for k in BEGINNINGS if len(w) > k}))
-    yes = Counter(f for y, fs in kinds if y for f in fs)
-    candidates = {f: 0 for f, n in yes.items() if n >= LEAST_SEEN}
-    for y, fs in kinds:
-        if not y:
-            for f in fs & candidates.keys():
-                candidates[f] += 1
-    candidates = {f for f, n in candidates.items() if yes[f] >= PRECISION * (yes[f] + n)}
-    left, out = [fs & candidates for y, fs in kinds if y], []
+def marks_in(text: str) -> set[str]:
+    """The words of a text and their beginnings (with a trailing *)."""
+    ws = set(_WORD.findall(text.lower()))
+    return ws | {w[:k] + "*" for w in ws for k in BEGINNINGS if len(w) > k}
+
+
+def marks(rows: DataFrame) -> list[str]:
+    """What marks toxic texts, from a bounded table ``text, toxic``; the driver gets no texts."""
+    rows = materialise(rows.dropDuplicates(["text"]).select("text", (F.col("toxic") > 0).alias("toxic")))
+    spark, schema = rows.sparkSession, pa.schema([("mark", pa.string()), ("n", pa.int64())])
+
+    def counted(keep: set[str] | None):
+        def count(batches):
+            found: Counter = Counter()
+            for part in slices(batches):
+                for t in part.column("text").to_pylist():
+                    found.update(marks_in(t) if keep is None else marks_in(t) & keep)
+            if found:
+                yield record(schema, list(found), list(found.values()))
+
+        table = rows.filter("toxic" if keep is None else "not toxic").select("text").mapInArrow(count, "mark string, n long")
+        return table.groupBy("mark").agg(F.sum("n").alias("n"))
+
+    yes = {r["mark"]: r["n"] for r in counted(None).filter(F.col("n") >= LEAST_SEEN).collect()}
+    no = {r["mark"]: r["n"] for r in counted(set(yes)).collect()}
+    candidates = {m for m, n in yes.items() if n >= PRECISION * (n + no.get(m, 0))}
+    held = pa.schema([("marks", pa.list_(pa.string()))])
+
+    def hold(batches):
+        for part in slices(batches):
+            yield record(held, [sorted(marks_in(t) & candidates) for t in part.column("text").to_pylist()])
+
+    left, out = [set(r["marks"]) for r in rows.filter("toxic").select("text").mapInArrow(hold, "marks array<string>").collect()], []
     while True:
-        gain = Counter(f for fs in left for f in fs)
+        gain = Counter(m for ms in left for m in ms)
         best = max(gain.items(), key=lambda x: (x[1], -len(x[0]), x[0]), default=(None, 0))
         if best[1] < LEAST_GAIN:
             return out
         out.append(best[0])
-        left = [fs for fs in left if best[0] not in fs]
+        left = [ms for ms in left if best[0] not in ms]
 
 
 @dataclass
@@ -228,8 +246,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     found: list[str] = []
     if labels is not None:
         told = labels.select(F.col("doc_id"), "toxic").filter("toxic is not null")
-        told = rows.join(told.filter(_share(told, LABELLED_SAMPLE)), "doc_id").select("text", "toxic").toPandas()
-        found = marks(told["text"].tolist(), told["toxic"].tolist())
+        picked = F.broadcast(told.filter(_share(told, LABELLED_SAMPLE)))  # about as many rows as the bound says
+        found = marks(rows.join(picked, "doc_id").select("text", "toxic"))
     return QualityModel(posterior, weights, found)
 
 

@@ -45,11 +45,12 @@ def test_defined_results(spark, docs_of):
 
 
 @pytest.mark.parametrize("copies", [1, 30])
-def test_marks_ignore_copies(copies):
+def test_marks_ignore_copies(spark, copies):
     rng = random.Random(2)
     word = lambda: "w" + str(rng.randint(0, 300))
     clean = [" ".join(word() for _ in range(40)) for _ in range(200)]
     bad = [" ".join([*(word() for _ in range(30)), rng.choice(["vilefoo", "vilebar", "vilebaz"])]) for _ in range(40)]
     copied = ["a copied text with very special words vilefoo"] * copies
-    found = op.marks(clean + bad + copied, [0] * 200 + [1] * (40 + copies))
+    rows = [(t, 0) for t in clean] + [(t, 1) for t in bad + copied]
+    found = op.marks(spark.createDataFrame(rows, "text string, toxic int"))
     assert found and all(m.startswith("vile") for m in found)
