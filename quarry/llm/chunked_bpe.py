@@ -15,7 +15,6 @@ Defined results: null text counts as empty: no ids, SHA-256 of nothing.  Repeate
 from __future__ import annotations
 
 import hashlib
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm.common import documents, raw, record, slices
-from quarry.llm.segments import SegmentEncoder
+from quarry.llm.segments import ByteEncoder, byte_letters
 
 #: Rolling-hash window (a power of two), mean chunk length and longest chunk, in bytes.
 WINDOW = 32
@@ -31,7 +30,6 @@ MEAN_CHUNK = 1024
 LONGEST_CHUNK = 16384
 #: Bytes of chunks that a worker remembers.
 REMEMBERED_BYTES = 24 << 20
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
 _gear = np.random.default_rng(42).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -70,10 +68,8 @@ def _bound(text: bytes, p: int) -> int:
 @lru_cache(2)
 def byte_table(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes that each id stands for: all bytes, where each id's start, how many it has."""
-    encoder = SegmentEncoder.of(vocabulary, "<u2", True)
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: printable bytes stand for themselves
-    moved = {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-    back = {chr(b): b for b in plain} | moved
+    encoder = ByteEncoder.of(vocabulary).segments
+    back = {c: b for b, c in enumerate(byte_letters())}
     special = {k for k, t in encoder.tokenizer.get_added_tokens_decoder().items()}
     size = max(encoder.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
     parts = [b""] * size
@@ -85,80 +81,100 @@ def byte_table(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def decode(ids: np.ndarray, vocabulary: str) -> bytes:
     """The decoded text in UTF-8; bytes that are no UTF-8 turn into U+FFFD."""
-    flat, starts, lengths = byte_table(vocabulary)
-    n = lengths[ids]
-    ends = np.cumsum(n)
-    out = flat[np.repeat(starts[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-    return out.decode("utf-8", "replace").encode()
+    return _gather(byte_table(vocabulary), ids).decode("utf-8", "replace").encode()
 
 
 class ChunkEncoder:
     """Encodes texts chunk by chunk; what it remembers is bounded."""
 
     def __init__(self, vocabulary: str):
-        self.segments = SegmentEncoder.of(vocabulary, "<u2", True)
+        self.coder = ByteEncoder.of(vocabulary)
         self.known: dict[bytes, tuple] = {}
         self.size = 0
         self.encoded = 0  # chunks that were not known yet
 
-    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """The ids of each text as packed bytes and as decimal text with trailing commas."""
-        split = []
-        fresh: dict[bytes, list[str]] = {}
+    def encode(self, texts: list[bytes], cut_at: list[list[int]] | None = None) -> list[np.ndarray]:
+        """The ids of each text; ``cut_at`` are its :func:`cuts`, if they are known already."""
+        split, fresh = [], {}
         if self.size > REMEMBERED_BYTES:
             self.known, self.size = {}, 0
-        for text in texts:
-            at, _ = cuts(text)
+        for k, text in enumerate(texts):
+            at = cut_at[k] if cut_at else cuts(text)[0]
             chunks = [text[a:b] for a, b in zip(at, at[1:], strict=False)]
             split.append(chunks)
             for c in chunks:
-                if c not in self.known and c not in fresh:
-                    fresh[c] = _SAFE.split(c.decode("utf-8", "replace"))
-        table = self.segments.lookup({s for parts in fresh.values() for s in parts[1:-1]})
-        for c, parts in fresh.items():
-            inner = [table[s] for s in parts[1:-1]]
-            self.known[c] = (parts[0], b"".join([x for x, _ in inner]), b"".join([x for _, x in inner]), parts[-1] if len(parts) > 1 else None)
-            self.size += 3 * len(c)
+                if c not in self.known:
+                    fresh[c] = None
+        inner = []
+        for c in fresh:
+            safe = ByteEncoder.safe(np.frombuffer(c, np.uint8)) if len(c) > 2 else ()
+            a, b = (int(safe[0]), int(safe[-1])) if len(safe) else (len(c), len(c))
+            inner.append(c[a:b])
+            # before its first safe point, its ids, after its last one (None: it has no safe point)
+            self.known[c] = (c[:a], None, c[b:] if len(safe) else None)
+            self.size += 4 * len(c)
+        for c, ids in zip(fresh, self._split(inner), strict=True):
+            head, _, tail = self.known[c]
+            self.known[c] = (head, ids, tail)
         self.encoded += len(fresh)
-        plans, joins = [], set()
+        plans, joins = [], {}
         for chunks in split:
-            out, open_ = [], ""
+            out, open_ = [], b""
             for c in chunks:
-                head, ids, decimal, tail = self.known[c]
+                head, ids, tail = self.known[c]
                 open_ += head
                 if tail is not None:  # a chunk with a safe point closes the stretch around the join
-                    out += [*self._stretch(open_, joins), (ids, decimal)]
+                    out += [open_, ids]
+                    joins[open_] = None
                     open_ = tail
-            out += self._stretch(open_, joins)
+            out.append(open_)
+            joins[open_] = None
             plans.append(out)
-        table = self.segments.lookup(joins)
-        done = []
-        for out in plans:
-            found = [table[x] if isinstance(x, str) else x for x in out]
-            done.append((b"".join([x for x, _ in found]), b"".join([x for _, x in found])))
-        return done
+        # a stretch reaches from one safe point to another, or to an end of its text: its ids are those of the whole
+        found = self.coder.segments.lookup({j for j in joins if j})
+        told = {j: np.frombuffer(found[j], "<u4").astype(np.int32) if j else _EMPTY for j in joins}
+        return [np.concatenate([told[x] if isinstance(x, bytes) else x for x in out]) for out in plans]
+
+    def _split(self, inner: list[bytes]) -> list[np.ndarray]:
+        """The ids of what lies between the outermost safe points of each chunk."""
+        ids, n = self.coder.encode(inner)
+        ends = np.cumsum(n).tolist()
+        return [ids[e - k : e].copy() for e, k in zip(ends, n.tolist(), strict=True)]
+
+
+_EMPTY = np.zeros(0, np.int32)
+
+
+@lru_cache(2)
+def _decimals(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [f"{k},".encode() for k in range(size)]
+    lengths = np.array([len(p) for p in parts])
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def _gather(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) -> bytes:
+    flat, starts, lengths = table
+    n = lengths[ids]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
 
-    @staticmethod
-    def _stretch(text: str, joins: set[str]) -> list[str]:
-        """A stretch across a join, cut at the safe points that only the joined text shows."""
-        parts = _SAFE.split(text) if text else []
-        joins.update(parts)
-        return parts
+def decimal(ids: np.ndarray) -> bytes:
+    """The ids as decimal numbers, joined by commas."""
+    return _gather(_decimals(1 << 16), ids)[:-1]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids (packed uint16), ids_decimal (with trailing commas)`` of each whole text."""
-    schema = [("ids", pa.binary()), ("ids_decimal", pa.binary())]
-    return _each(docs, vocabulary, id_col, text_col, schema, "ids binary, ids_decimal binary", lambda ids, decimal: (ids, decimal))
+    """``doc_id, ids`` (packed unsigned 16-bit, little-endian) of each whole text."""
+    return _each(docs, vocabulary, id_col, text_col, [("ids", pa.binary())], "ids binary", lambda ids: (ids.astype("<u2").tobytes(),))
 
 
 def digest_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each whole text, decoded from its ids."""
     schema = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 
-    def told(ids: bytes, decimal: bytes):
-        back = decode(np.frombuffer(ids, dtype="<u2"), vocabulary)
-        return len(ids) // 2, hashlib.sha256(decimal[:-1]).hexdigest(), hashlib.sha256(back).hexdigest()
+    def told(ids: np.ndarray):
+        return len(ids), hashlib.sha256(decimal(ids)).hexdigest(), hashlib.sha256(decode(ids, vocabulary)).hexdigest()
 
     return _each(docs, vocabulary, id_col, text_col, schema, "n_tokens long, ids_sha256 string, decoded_sha256 string", told)
 
@@ -167,20 +183,23 @@ def _each(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, columns:
     rows = documents(docs, id_col, text_col)
     id_type = dict(rows.dtypes)["doc_id"]
     id_arrow = pa.string() if id_type == "string" else pa.int64()
-    routed, out = pa.schema([("doc_id", id_arrow), ("text", pa.string()), ("least", pa.int64())]), pa.schema([("doc_id", id_arrow), *columns])
+    routed = pa.schema([("doc_id", id_arrow), ("text", pa.binary()), ("cuts", pa.list_(pa.int32())), ("least", pa.int64())])
+    out = pa.schema([("doc_id", id_arrow), *columns])
 
     def route(batches):
         for part in slices(batches):
-            yield record(routed, part.column("doc_id"), part.column("text").cast(pa.string()), [cuts(t or b"")[1] for t in raw(part)])
+            texts = [t or b"" for t in raw(part)]
+            found = [cuts(t) for t in texts]
+            yield record(routed, part.column("doc_id"), texts, [c for c, _ in found], [low for _, low in found])
 
     def apply(batches):
         encoder = ChunkEncoder(vocabulary)
         for part in slices(batches):
-            done = encoder.encode([t or b"" for t in raw(part)])
-            yield record(out, part.column("doc_id"), *([*x] for x in zip(*(told(*d) for d in done), strict=True)))
+            done = encoder.encode(part.column("text").to_pylist(), part.column("cuts").to_pylist())
+            yield record(out, part.column("doc_id"), *([*x] for x in zip(*map(told, done), strict=True)))
 
-    together = rows.mapInArrow(route, f"doc_id {id_type}, text string, least long").hint("rebalance", "least")
-    return together.select("doc_id", "text").mapInArrow(apply, f"doc_id {id_type}, {ddl}")
+    together = rows.mapInArrow(route, f"doc_id {id_type}, text binary, cuts array<int>, least long").hint("rebalance", "least")
+    return together.select("doc_id", "text", "cuts").mapInArrow(apply, f"doc_id {id_type}, {ddl}")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
