@@ -277,7 +277,7 @@ _NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^\\p{
 _EACH = f"""each_ as (select l_orderkey::varchar as document_id, l_linenumber as nth, p_name as title, p_brand as description, p_type as task_description,
   {_uuid5("l_orderkey::varchar || ':' || p_name")} as id from lineitem join part on p_partkey = l_partkey),
 documents_ as (select distinct document_id as id from each_),
-datasets_ as (select id, document_id, title, description, 'None' as link from each_ qualify row_number() over (partition by id order by nth) = 1),
+datasets_ as (select id, document_id, title, description, 'None' as link from each_ qualify row_number() over (partition by id order by nth, description, task_description) = 1),
 tasks_ as (select {_uuid5("id || ':' || task_description")} as tid, id as dataset_id, task_description, nth from each_ qualify row_number() over (partition by {_uuid5("id || ':' || task_description")} order by nth) = 1)"""
 _KG = """nodes_ as (select id, min(k) as k from (select id, 1 as k from documents_ union all select id, 2 from datasets_ union all select tid, 3 from tasks_) group by id),
 edges_ as (select src, dst, min(type) as type from (select least(document_id, id) as src, greatest(document_id, id) as dst, 'contains_dataset' as type from datasets_
