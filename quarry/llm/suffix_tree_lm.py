@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame, functions as F
 from quarry.llm.common import documents, raw, record, slices
 from quarry.storage import materialise
 
-#: Longest context (7 symbols of 9 bits fit a key), the least share of all symbols that a context needs, the
+#: Longest context (its symbols of 9 bits and the next one fit a key), the least share of all symbols that a context needs, the
 #: count-weighted divergence (nats) and the smoothing constant of a context, and the least probability it keeps.
-DEPTH = 6
+DEPTH = 5
+#: Depths that are counted in one pass, before contexts are pruned.
+SHALLOW = 3
 LEAST_SHARE = 1e-5
 DIVERGENCE = 10.0
 SMOOTHING = 10.0
@@ -44,7 +46,6 @@ FREQUENT_SHARE = 1e-6
 #: Symbols: bytes 0-255 are 1-256, then the mark before a word, the end of a word, the end of a text.
 START, WORD_END, TEXT_END, SYMBOLS = 257, 258, 259, 258
 HELD_WORDS = 400_000
-REMEMBERED = 120_000
 #: Kinds of texts, the sample they are found in, the frequent words that tell them apart; the discount of a count.
 KINDS, SAMPLE, TELLING = 5, 2000, 256
 DISCOUNT = 0.75
@@ -114,24 +115,21 @@ def vocabulary(rows: DataFrame, kinds: Kinds) -> DataFrame:
     """``word, kind, c``: the tokens of all rows of ``text``, summed in the tasks first; the null word is the end."""
     schema = pa.schema([("word", pa.binary()), ("kind", pa.int32()), ("c", pa.int64())])
 
-    def flush(held):
+    def flush(held, ends):
         for k, words in held.items():
-            if words:
-                yield record(schema, list(words), np.full(len(words), k, np.int32), list(words.values()))
+            yield record(schema, [None, *words], np.full(len(words) + 1, k, np.int32), [ends[k], *words.values()])
 
     def count(batches):
-        held: dict[int, dict] = defaultdict(dict)
+        held, ends = defaultdict(Counter), Counter()
         for part in slices(batches):
             texts = [(t or b"").lower().split() for t in raw(part)]
             for k, ws in zip(kinds.of(texts).tolist(), texts, strict=True):
-                own = held[k]
-                for w in ws:
-                    own[w] = own.get(w, 0) + 1
-                own[None] = own.get(None, 0) + 1
+                held[k].update(ws)
+                ends[k] += 1
             if sum(map(len, held.values())) > HELD_WORDS:
-                yield from flush(held)
-                held = defaultdict(dict)
-        yield from flush(held)
+                yield from flush(held, ends)
+                held, ends = defaultdict(Counter), Counter()
+        yield from flush(held, ends)
 
     return rows.select("text").mapInArrow(count, "word binary, kind int, c long").groupBy("word", "kind").agg(F.sum("c").alias("c"))
 
@@ -183,17 +181,22 @@ class SuffixTree:
         return out
 
     def log10(self, key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        state, todo = self.find(key), np.arange(len(key))
-        p = np.ones(len(key))
+        """Of each symbol after its history; equal pairs are looked up once."""
+        both, where = np.unique((key << np.uint64(9)) | symbol.astype(np.uint64), return_inverse=True)
+        return np.log10(self.chance(self.find(both >> np.uint64(9)), (both & np.uint64(511)).astype(np.int64)))[where]
+
+    def chance(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        state, todo = state.copy(), np.arange(len(state))
+        p = np.ones(len(state))
         while len(todo):
-            want = state[todo] * 512 + symbol[todo].astype(np.int64)
+            want = state[todo] * 512 + symbol[todo]
             at = np.minimum(np.searchsorted(self.entries, want), len(self.entries) - 1)
             hit = self.entries[at] == want
             p[todo[hit]] *= self.values[at[hit]]
             todo = todo[~hit]
             p[todo] *= self.passed[state[todo]]
             state[todo] = self.parent[state[todo]]
-        return np.log10(p)
+        return p
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """log10 of the probability of each word."""
@@ -212,40 +215,31 @@ def grow(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> SuffixTree:
     root = np.zeros(512)
     np.add.at(root, counts[0][1], counts[0][2])
     root[symbols] += 0.5
-    kept: dict[int, tuple[int, float, dict[int, float]]] = {0: (0, 0.0, dict(zip(symbols.tolist(), (root[symbols] / root[symbols].sum()).tolist(), strict=True)))}
-
-    def longest(key: int, d: int) -> int:
-        return next((k for j in range(d, 0, -1) if (k := key & ((1 << (9 * j)) - 1)) in kept), 0)
-
-    def chance(key: int, symbol: int) -> float:
-        p = 1.0
-        while True:
-            parent, passed, own = kept[key]
-            if symbol in own:
-                return p * own[symbol]
-            p, key = p * passed, parent
-
+    tree = SuffixTree(np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1), symbols, root[symbols] / root[symbols].sum())
     for d, (key, symbol, n) in enumerate(counts[1:], 1):
+        if not len(key):
+            continue
         order = np.lexsort((symbol, key))
-        key, symbol, n = key[order], symbol[order], n[order]
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
-        new = {}
-        for a, b in zip(cut, cut[1:], strict=False):
-            total, k = float(n[a:b].sum()), int(key[a])
-            up = longest(k, d - 1)
-            of, c = symbol[a:b].tolist(), n[a:b].astype(float)
-            q = np.array([chance(up, s) for s in of])
-            if (c * np.log(c / total / q)).sum() < DIVERGENCE:
-                continue
-            big = c >= LEAST_ENTRY * total
-            passed = (total - c[big].sum() + SMOOTHING) / (total + SMOOTHING)
-            own = c[big] / (total + SMOOTHING) + passed * q[big]
-            new[k] = (up, passed, dict(zip(np.array(of)[big].tolist(), own.tolist(), strict=True)))
-        kept |= new
-    keys = sorted(kept)
-    number = {k: j for j, k in enumerate(keys)}
-    entries = sorted((number[k] * 512 + s, p) for k in keys for s, p in kept[k][2].items())
-    return SuffixTree(np.array(keys, np.uint64), np.array([number[kept[k][0]] for k in keys]), np.array([kept[k][1] for k in keys]), np.array([e for e, _ in entries]), np.array([p for _, p in entries]))
+        key, symbol, n = key[order], symbol[order], n[order].astype(float)
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        owner = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
+        total = np.add.reduceat(n, begin)
+        up = tree.find(key[begin] & np.uint64((1 << (9 * (d - 1))) - 1))
+        q = tree.chance(up[owner], symbol)
+        stays = np.add.reduceat(n * np.log(n / total[owner] / q), begin) >= DIVERGENCE
+        big = n >= LEAST_ENTRY * total[owner]
+        passed = (total - np.add.reduceat(np.where(big, n, 0), begin) + SMOOTHING) / (total + SMOOTHING)
+        own = big & stays[owner]
+        value = n / (total + SMOOTHING)[owner] + passed[owner] * q
+        fresh = np.cumsum(stays) - 1 + len(tree.keys)  # numbers before sorting by key
+        keys = np.concatenate([tree.keys, key[begin][stays]])
+        number = np.empty(len(keys), np.int64)
+        order = np.argsort(keys)
+        number[order] = np.arange(len(keys))
+        entries = np.concatenate([number[tree.entries // 512] * 512 + tree.entries % 512, number[fresh[owner[own]]] * 512 + symbol[own]])
+        by = np.argsort(entries)
+        tree = SuffixTree(keys[order], number[np.concatenate([tree.parent, up[stays]])][order], np.concatenate([tree.passed, passed[stays]])[order], entries[by], np.concatenate([tree.values, value[own]])[by])
+    return tree
 
 
 def learn(words: DataFrame, symbols: list[int], ends: list[int]) -> list[SuffixTree]:
@@ -257,42 +251,43 @@ def learn(words: DataFrame, symbols: list[int], ends: list[int]) -> list[SuffixT
     counts: list[list] = [[] for _ in kinds]
     frequent: list[np.ndarray] = []
     least = F.element_at(F.array(*[F.lit(max(1.0, LEAST_SHARE * n)) for n in symbols]), F.col("kind") + 1)
-    for d in range(DEPTH + 1):
-        shared = None if d < 2 else spark.sparkContext.broadcast(frequent)  # at most 1/LEAST_SHARE keys of a kind
-        table = words.mapInArrow(_count_level(d, shared), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-        if d:
-            table = table.withColumn("context", F.shiftrightunsigned("key", 9))
-            sums = table.groupBy("kind", "context").agg(F.sum("n").alias("m")).filter(F.col("m") >= least)
-            table = table.join(sums, ["kind", "context"], "left_semi")
-        found, frequent = table.select("kind", "key", "n").toPandas(), []
+    for depths in (range(SHALLOW + 1), *([d] for d in range(SHALLOW + 1, DEPTH + 1))):
+        shared = spark.sparkContext.broadcast(frequent) if frequent else None  # at most 1/LEAST_SHARE keys of a kind
+        table = words.mapInArrow(_count_level(depths, shared), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+        table = table.withColumn("context", F.shiftrightunsigned("key", 9))
+        sums = table.groupBy("kind", "context").agg(F.sum("n").alias("m")).filter((F.col("m") >= least) | (F.col("context") == 0))
+        found, frequent = table.join(sums, ["kind", "context"], "left_semi").select("kind", "key", "n").toPandas(), []
+        key, kind, n = found["key"].to_numpy().astype(np.uint64), found["kind"].to_numpy(), found["n"].to_numpy()
+        depth = sum(((key >> np.uint64(9 * k)) > 0).astype(int) for k in range(1, DEPTH + 1))  # symbols are never 0
         for k in kinds:
-            own = found[found["kind"] == k]
-            key = own["key"].to_numpy().astype(np.uint64)
-            level = (key >> np.uint64(9), (key & np.uint64(511)).astype(np.int64), own["n"].to_numpy())
-            if d < 2 and ends[k]:
-                level = tuple(np.append(x, y).astype(x.dtype) for x, y in zip(level, (START if d else 0, TEXT_END, 1), strict=True))
-            counts[k].append(level)
-            frequent.append(np.unique(level[0]))
+            for d in depths:
+                own = (kind == k) & (depth == d)
+                level = (key[own] >> np.uint64(9), (key[own] & np.uint64(511)).astype(np.int64), n[own])
+                if d < 2 and ends[k]:
+                    level = tuple(np.append(x, y).astype(x.dtype) for x, y in zip(level, (START if d else 0, TEXT_END, 1), strict=True))
+                counts[k].append(level)
+            frequent.append(np.unique(counts[k][-1][0]))
     return [grow(c) for c in counts]
 
 
-def _count_level(d: int, shared):
-    """Counts (context of exactly d symbols, next symbol); a context is worth counting only if its last d - 1
-    symbols were frequent enough."""
+def _count_level(depths, shared):
+    """Counts (context of exactly d symbols, next symbol) for each depth d; with ``shared``, a context is worth
+    counting only if its last d - 1 symbols were frequent enough."""
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def apply(batches):
         for part in slices(batches, "word", 1 << 20):
             kinds = part.column("kind").to_numpy()
             for k in np.unique(kinds):
-                own = part.filter(pa.array(kinds == k))
-                sym, size = spell(own.column("word").to_pylist())
-                at, before, key = contexts(sym, size, d)
-                ok = before >= d
-                if shared is not None:
-                    ok &= np.isin(key & np.uint64((1 << (9 * (d - 1))) - 1), shared.value[k])
-                both, n = np.unique((key[ok] << np.uint64(9)) | sym[at[ok]], return_counts=True)
-                yield record(schema, np.full(len(both), k, np.int32), both.view(np.int64), n)
+                sym, size = spell(part.filter(pa.array(kinds == k)).column("word").to_pylist())
+                at, before, key = contexts(sym, size, max(depths))
+                for d in depths:
+                    ok = before >= d
+                    own = key & np.uint64((1 << (9 * d)) - 1)
+                    if shared is not None:
+                        ok &= np.isin(own & np.uint64((1 << (9 * (d - 1))) - 1), shared.value[k])
+                    both, n = np.unique((own[ok] << np.uint64(9)) | sym[at[ok]], return_counts=True)
+                    yield record(schema, np.full(len(both), k, np.int32), both.view(np.int64), n)
 
     return apply
 
@@ -356,31 +351,36 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
             spelled = [t.words(list(frequent)) if frequent else np.zeros(0) for t in model.trees]
             whole = [_log_word(by_kind[:, k], model.tokens[k], model.left[k], spelled[k]) for k in range(len(spelled))]
             end = [float(_log_word(model.ends[k], model.tokens[k], model.left[k], t.text_end())) for k, t in enumerate(model.trees)]
-            _workers.update({"of": shared, "whole": whole, "end": end, "spelled": defaultdict(dict)})
-        whole, end, remembered = _workers["whole"], _workers["end"], _workers["spelled"]
+            _workers.update({"of": shared, "whole": whole, "end": end})
+        whole, end = _workers["whole"], _workers["end"]
         for part in slices(batches):
             split = [(t or b"").lower().split() for t in raw(part)]
             kind = model.kinds.of(split).tolist()
-            rares, cols = [], ([], [], [], [], [])
-            fresh: dict[int, set] = defaultdict(set)
-            for ws, k in zip(split, kind, strict=True):
-                at = [frequent.get(w, -1) for w in ws]
-                rare = Counter(w for w, j in zip(ws, at, strict=True) if j < 0)
-                fresh[k].update(rare.keys() - remembered[k].keys())
-                rares.append(rare)
+            cols, index, rows_of = ([], [], [], [], []), [{} for _ in model.trees], [[] for _ in model.trees]
+            for row, (ws, k) in enumerate(zip(split, kind, strict=True)):
+                at = [*map(frequent.get, ws)]
+                if None in at:
+                    number = index[k].setdefault
+                    own = [number(w, len(index[k])) for w, j in zip(ws, at, strict=True) if j is None]
+                    rows_of[k].append((row, own))
+                    at = [j for j in at if j is not None]
                 at = np.array(at, int)
-                at = at[at >= 0]
-                known = len(at) + (n > 0)
-                for c, x in zip(cols, (k, len(ws) + 1, known, base_of[at].sum() + end_base, whole[k][at].sum() + end[k] + model.prior[k]), strict=True):
+                for c, x in zip(cols, (k, len(ws) + 1, len(at) + (n > 0), base_of[at].sum() + end_base, whole[k][at].sum() + end[k] + model.prior[k]), strict=True):
                     c.append(x)
-            for k, some in fresh.items():
-                if some:
-                    some = list(some)
-                    remembered[k].update(zip(some, model.trees[k].words(some).tolist(), strict=True))
-            packed = [[{"w": _signed(xxhash.xxh64_intdigest(w, SEED)), "n": m, "s": remembered[k][w]} for w, m in rare.items()] for rare, k in zip(rares, kind, strict=True)]
+            found = []  # of each kind: row, word hash, count, log10 of the spelling
+            for k, held in enumerate(rows_of):
+                if held:
+                    some = list(index[k])
+                    spelled, hashed = model.trees[k].words(some), np.array([xxhash.xxh64_intdigest(w, SEED) for w in some], np.uint64).view(np.int64)
+                    each = np.concatenate([np.array(own) + row * len(some) for row, own in held])
+                    both, count = np.unique(each, return_counts=True)
+                    row, w = np.divmod(both, len(some))
+                    found.append((row, hashed[w], count, spelled[w]))
+            row, hashed, count, spelled = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+            order = np.argsort(row, kind="stable")
+            flat = pa.StructArray.from_arrays([pa.array(hashed[order], pa.int64()), pa.array(count[order].astype(np.int32)), pa.array(spelled[order].astype(np.float64))], names=["w", "n", "s"])
+            packed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(split)))]).astype(np.int32)), flat)
             yield record(schema, part.column("doc_id"), np.array(cols[0], np.int32), *cols[1:], packed)
-            if sum(map(len, remembered.values())) > REMEMBERED:
-                remembered.clear()
 
     ddl = f"doc_id {id_type}, kind int, n_tokens long, n_known long, base double, score double, rare array<struct<w:long,n:int,s:double>>"
     partly = materialise(rows.mapInArrow(apply, ddl).withColumn("row", F.monotonically_increasing_id()))
