@@ -10,13 +10,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Bytes of text that one vectorised step of a Python worker handles (a longer document stands alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of text that Spark hands to a Python worker at once (its default of 10,000 would hold far more memory).
+BATCH_ROWS = 2000
 #: What separates words wherever a contract says ``[^\x20\x09-\x0D]+``: exactly what bytes.split() splits at.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """``doc_id`` and ``text`` alone, so that no further column of the input can clash with ours."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) > BATCH_ROWS or int(conf.get(name)) <= 0:
+        conf.set(name, str(BATCH_ROWS))
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
 
 

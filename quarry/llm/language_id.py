@@ -58,16 +58,16 @@ def codewords(n: int) -> np.ndarray:
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature ids of all texts, one row per byte (pair, triple), and where each text starts."""
+    """Feature ids of all texts (pairs, triples; one for each byte), and where each text starts."""
     parts = [b" " + t.lower().encode("utf-8", "replace") + b" " for t in texts]
     size = np.array([len(p) for p in parts])
     ends = np.cumsum(size)
     b = np.frombuffer(b"".join(parts) + b"  ", dtype=np.uint8).astype(np.uint32)
     two = (b[:-2] << 8) | b[1:-1]
     three = (((two << 8) | b[2:]) * np.uint32(2654435761)) >> np.uint32(16)
-    out = np.stack([two, three + np.uint32(PAIRS)], axis=1).astype(np.int64)
-    out[ends - 1] = FEATURES  # n-grams that would reach into the next text
-    out[ends - 2, 1] = FEATURES
+    out = np.stack([two, three + np.uint32(PAIRS)]).astype(np.int32)
+    out[:, ends - 1] = FEATURES  # n-grams that would reach into the next text
+    out[1, ends - 2] = FEATURES
     return out, ends - size
 
 
@@ -89,9 +89,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         total = np.zeros((len(index), FEATURES + 1), np.int64)
         for part in slices(batches):
             ids, starts = features(part.column("text").to_pylist())
-            which = np.repeat([index[x] for x in part.column("lang").to_pylist()], np.diff(np.append(starts, len(ids))))
+            which = np.repeat([index[x] for x in part.column("lang").to_pylist()], np.diff(np.append(starts, ids.shape[1])))
             for j in (0, 1):
-                total += np.bincount(which * (FEATURES + 1) + ids[:, j], minlength=total.size).reshape(total.shape)
+                total += np.bincount(which * (FEATURES + 1) + ids[j], minlength=total.size).reshape(total.shape)
         total[:, FEATURES] = 0
         k, f = np.nonzero(total)
         yield record(schema, k.astype(np.int32), f.astype(np.int32), total[k, f])
@@ -135,8 +135,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             names, score, unsure = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             if told:
                 ids, starts = features([texts[k] for k in told])
-                size = np.diff(np.append(starts, len(ids)))
-                total = sum(np.add.reduceat(m.weights[ids[:, j]], starts, axis=0) for j in (0, 1)).astype(np.float64)
+                size = np.diff(np.append(starts, ids.shape[1]))
+                total = sum(np.add.reduceat(m.weights[ids[j]], starts, axis=0) for j in (0, 1)).astype(np.float64)
                 # evidence of a text grows with its length up to 64 bytes' worth of n-grams
                 best, sure = decode(m, total / size[:, None] * np.minimum(size, 64)[:, None] / 8)
                 for k, b in zip(told, best.tolist(), strict=True):
