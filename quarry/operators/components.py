@@ -46,14 +46,15 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((hung.values(), hung.keys()), schemas[0].types, strict=True)], schema=schemas[0])
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", forests: bool = False) -> DataFrame:
     """``id, component`` for every node with an edge to another; the component is the least id reachable.
 
-    Edges with a null end and self-loops are ignored, repeated and reversed edges count once; no edges, no rows."""
+    Edges with a null end and self-loops are ignored, repeated and reversed edges count once; no edges, no rows.
+    ``forests``: the edges of each partition are a forest already."""
     spark, kind = edges.sparkSession, dict(edges.dtypes)[src]
     pairs = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("a") < F.col("b")))
     contract = lambda df: df.mapInArrow(_contract, f"a {kind}, b {kind}").distinct()
-    table, path = spark_table(contract(pairs))
+    table, path = spark_table(pairs.distinct() if forests else contract(pairs))
     while True:
         state = table.groupBy("b").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()["most"]
         if (state or 1) == 1 and not table.join(table.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
