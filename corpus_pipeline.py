@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.llm import language_id, packing, simhash, superkmer_dedup, weak_quality
+from quarry.session import ship
 from quarry.storage import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,6 +23,7 @@ def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognisable language (no text or no letter) and ambiguous ones."""
+    ship(spark)
     model = language_id.fit(docs)
     return _kept(docs, language_id.predict(docs, model).filter("lang_pred <> 'und' and not ambiguous"))
 

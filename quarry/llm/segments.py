@@ -17,7 +17,7 @@ import regex  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Segments and pieces that a worker remembers, and the longest that it does, in characters.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 LONGEST = 200
 #: Characters whose class, case and normal form no version of Unicode changes.
 _PLAIN = regex.compile(r"[\n\t\x20-\x7e\xa1-\xac\xae-\xff]*\Z")
@@ -124,7 +124,7 @@ class PieceTable:
 
     A piece is known by its first eight bytes, its last eight and its length, which tell it exactly."""
 
-    SLOTS = 1 << 20
+    SLOTS = 1 << 19
 
     def __init__(self, merges: MergeTable):
         self.merges = merges

@@ -168,7 +168,7 @@ def components(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """``doc_id, fp, component_id`` from ``doc_id, fp``: the least id reachable over links."""
     prints = materialise(prints)
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    named = connected_components(links(nodes.filter("rep is not null"), bits))
+    named = connected_components(links(nodes.filter("rep is not null"), bits), forests=True)
     of_fp = nodes.join(named.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
@@ -317,6 +317,6 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     dealt = placed.join(sizes, ["segment", "key"]).withColumn("side", side).select("segment", "key", "rep", "fp", "side", pair).select("segment", "key", "p.one", "p.two", "side", "rep", "fp")
     sorted_ = dealt.repartition("segment", "key", "one", "two").sortWithinPartitions("segment", "key", "one", "two")
     most = int(np.ceil((differing(similarity) + 0.005) * 64 * words))
-    named = connected_components(sorted_.mapInArrow(_compare_wide(most), f"src {rep}, dst {rep}"))
+    named = connected_components(sorted_.mapInArrow(_compare_wide(most), f"src {rep}, dst {rep}"), forests=True)
     of_fp = nodes.join(named.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.filter("doc_id is not null").join(of_fp, "fp").select("doc_id", "component_id")

@@ -35,7 +35,7 @@ LABELLED_SAMPLE = 10_000
 KEEP_ABOVE = 0.5
 #: Toxic marks: documents one is seen in, its precision, documents it must add; lengths of word beginnings.
 LEAST_SEEN, PRECISION, LEAST_GAIN, BEGINNINGS = 5, 0.9, 3, (4, 6, 8)
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 _SHAPES, _BUCKETS = 512, 512
 _WORD = re.compile(r"[^\W_]+")
 _workers: dict = {}
