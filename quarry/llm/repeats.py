@@ -31,9 +31,13 @@ from quarry.storage import materialise
 
 #: Places of a minimiser beyond which its windows are counted by hash instead of in one bucket.
 FREQUENT = 300
+#: Repeated windows of a frequent minimiser that go to its strings as one list, in the mean, and the most lists (a
+#: string has up to window - gram + 1 windows, so that lists are fewer rows).
+LISTED = 1024
+MOST_LISTS = 16
 #: Windows that are treated in one vectorised step, bytes of text in a slice, and of distinct strings in an index.
-BLOCK = 1 << 20
-SLICE = 1 << 20
+BLOCK = 1 << 19
+SLICE = 1 << 19
 INDEXED = 1 << 19
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -125,7 +129,8 @@ def covered(docs: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str =
     ranges may touch or overlap, and the lists are null where there are none)."""
     rows = documents(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
     places = rows.select("text", "row").mapInArrow(_minimisers(kind), "h long, row long")
-    twice = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > FREQUENT).alias("hot"))
+    # written, so that the join below reads it by a shuffle of its own and a frequent minimiser can be split
+    twice = materialise(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > FREQUENT).alias("hot")))
     wanted = places.join(twice, "h").groupBy("row").agg(F.collect_list("h").alias("hs"), F.collect_list("hot").alias("hots"))
     strings = materialise(rows.select("row", "text").join(wanted, "row").mapInArrow(_strings(kind), "h long, row long, start long, many int, body binary, hot boolean"))
     few = strings.filter("not hot").select("h", "row", "start", "body").repartition("h").sortWithinPartitions("h")
@@ -134,8 +139,14 @@ def covered(docs: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str =
     hot = strings.filter("hot").withColumn("content", F.xxhash64("body"))
     distinct = hot.groupBy("h", "content").agg(F.count("*").alias("n"), F.first("body").alias("body"))
     windows = distinct.mapInArrow(_windows(kind), "h long, content long, at int, w1 long, w2 long, n long")
-    found = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2")
-    hits = windows.join(found, ["w1", "w2"]).groupBy("h", "content").agg(F.collect_list("at").alias("hit"))
+    found = materialise(windows.groupBy("h", "w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "w1", "w2"))
+    sizes = found.groupBy("h").agg(F.count("*").alias("m"))
+    # a minimiser's repeated windows go to its strings in a few lists if there are few, else window by window
+    short = sizes.filter(F.col("m") <= LISTED * MOST_LISTS).select("h", F.ceil(F.col("m") / LISTED).cast("int").alias("lists"))
+    lists = found.join(short, "h").groupBy("h", F.pmod(F.xxhash64("w1"), F.col("lists")).alias("list")).agg(F.collect_list(F.col("w1").bitwiseXOR(F.col("w2"))).alias("known"))
+    listed = distinct.select("h", "content", "body").join(lists, "h").mapInArrow(_listed(kind), "h long, content long, hit array<int>")
+    single = windows.join(found.join(short, "h", "left_anti"), ["h", "w1", "w2"]).select("h", "content", F.array("at").alias("hit"))
+    hits = listed.unionByName(single).groupBy("h", "content").agg(F.flatten(F.collect_list("hit")).alias("hit"))
     marks_hot = hot.select("h", "content", "row", "start").join(hits, ["h", "content"]).select("row", "start", "hit").mapInArrow(_spread(kind), "row long, a long, b long")
 
     ranges = marks.unionByName(marks_hot).groupBy("row").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
@@ -231,6 +242,28 @@ def _windows(kind: Kind):
     return apply
 
 
+def _listed(kind: Kind):
+    schema = pa.schema([("h", pa.int64()), ("content", pa.int64()), ("hit", pa.list_(pa.int32()))])
+
+    def apply(batches):
+        for part in slices(batches, "body", SLICE // 8):
+            e = kind.elements(part.column("body").to_pylist())
+            begin, out = np.cumsum(e.sizes) - e.sizes, []
+            one, two = (gram_hash(e.values, kind.window, b) for b in _BASES)
+            own, lists = one ^ two, part.column("known")
+            known, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for k, (a, n) in enumerate(zip(begin.tolist(), (e.sizes - kind.window + 1).tolist(), strict=True)):
+                mine = np.sort(known[at[k] : at[k + 1]])
+                place = np.minimum(np.searchsorted(mine, own[a : a + n]), len(mine) - 1)
+                out.append(np.flatnonzero(mine[place] == own[a : a + n]).astype(np.int32))
+            keep = [k for k, hit in enumerate(out) if len(hit)]
+            if keep:
+                rows = pa.array(keep)
+                yield record(schema, part.column("h").take(rows), part.column("content").take(rows), [out[k] for k in keep])
+
+    return apply
+
+
 def _spread(kind: Kind):
     schema = pa.schema([("row", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 

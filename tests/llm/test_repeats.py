@@ -53,10 +53,12 @@ def brute_words(rows, window):
     return out
 
 
-@pytest.mark.parametrize("frequent", [300, 4])
+@pytest.mark.parametrize(("frequent", "listed"), [(300, 1024), (4, 1024), (4, 3)])
 @pytest.mark.parametrize(("operator", "brute"), [(rlbwt_dedup, brute_bytes), (superkmer_dedup, brute_words)])
-def test_equals_brute_force(spark, write_docs, monkeypatch, operator, brute, frequent):
+def test_equals_brute_force(spark, write_docs, monkeypatch, operator, brute, frequent, listed):
     monkeypatch.setattr(repeats, "FREQUENT", frequent)
+    monkeypatch.setattr(repeats, "LISTED", listed)
+    monkeypatch.setattr(repeats, "MOST_LISTS", 16 if listed > 3 else 4)
     rows = corpus()
     found = Counter(tuple(r) for r in operator.query(spark, write_docs(rows)).collect())
     assert found == Counter(brute(rows, operator.WINDOW))
