@@ -182,7 +182,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 # Near copies by similarity: a wide fingerprint.  At a similarity of 0.8 of the shingle sets some 15 % of the bits
 # differ, too many for an exact index of 64 bits.  So the fingerprint gets more words, of independent hashes, and
 # the first budget of the ring - how much its starting segment may differ - is held at 0 for many short segments,
-# which finds a pair with the wished recall; the full Hamming check over all words then decides.
+# which finds a pair with the wished recall.  The Hamming check over the first words is wide enough to lose almost no
+# pair; what it links is a group of candidates, in which the exact Jaccard similarity of the shingle sets decides.
 
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
@@ -190,6 +191,11 @@ RECALL = 0.9
 #: Distinct fingerprints that share a segment by chance, in the mean, and that one task compares with each other.
 STRANGERS = 4
 BLOCK = 2048
+#: Shingles of a block of candidates (a text of more stands alone).
+BLOCK_SHINGLES = 1 << 20
+#: Words of the fingerprint that the Hamming check reads, and the standard deviations that it allows over the mean.
+CHECKED = 4
+ALLOWED = 4
 
 
 def differing(similarity: float) -> float:
@@ -204,19 +210,35 @@ def wide_shape(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -
     return bits, max(segments, -(-512 // bits))
 
 
+def furthest(similarity: float, bits: int = 64 * CHECKED) -> int:
+    """The most bits of ``bits`` that a pair of candidates may differ in."""
+    p = differing(similarity)
+    return int(np.ceil(bits * p + ALLOWED * np.sqrt(bits * p * (1 - p))))
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    return np.unique(np.array(shingle_hashes(text, size), dtype=np.uint64))
+
+
+def digest(own: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(own.tobytes())
+
+
 def wide_fingerprints(docs: DataFrame, words: int, shingle: int = NEAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: fingerprints of ``words`` times 64 bits over the distinct shingles, as bytes."""
+    """``doc_id, fp, own, shingles``: fingerprints of ``words`` times 64 bits over the distinct shingles, as bytes, the
+    digest of the set of shingles and its size."""
     from quarry.llm.common import mix
 
     rows = documents(docs, id_col, text_col)
     id_type = dict(rows.dtypes)["doc_id"]
-    schema = pa.schema([("doc_id", pa.string() if id_type == "string" else pa.int64()), ("fp", pa.binary())])
+    schema = pa.schema([("doc_id", pa.string() if id_type == "string" else pa.int64()), ("fp", pa.binary()), ("own", pa.binary()), ("shingles", pa.int64())])
     seeds = mix(np.arange(1, words + 1, dtype=np.uint64))
 
     def apply(batches):
         for part in slices(batches):
             out = np.zeros((part.num_rows, words), np.uint64)
-            hashes = [np.unique(np.array(shingle_hashes(t or b"", shingle), dtype=np.uint64)) for t in raw(part)]
+            hashes = [shingle_set(t or b"", shingle) for t in raw(part)]
             n = np.array([len(h) for h in hashes])
             some = np.flatnonzero(n)
             if len(some):
@@ -230,13 +252,13 @@ def wide_fingerprints(docs: DataFrame, words: int, shingle: int = NEAR_SHINGLE,
                         bits = np.unpackbits(h[begin[a] : begin[b - 1] + own[b - 1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                         votes = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
                         out[some[a:b], w] = np.packbits(2 * votes > own[a:b, None], axis=1, bitorder="little").view(np.uint64).ravel()
-            yield record(schema, part.column("doc_id"), [x.tobytes() for x in out])
+            yield record(schema, part.column("doc_id"), [x.tobytes() for x in out], [digest(h) for h in hashes], n)
 
-    return rows.mapInArrow(apply, f"doc_id {id_type}, fp binary")
+    return rows.mapInArrow(apply, f"doc_id {id_type}, fp binary, own binary, shingles long")
 
 
 def _segments(bits: int, segments: int):
-    """Each fingerprint under the value of each of its segments."""
+    """The checked words of each fingerprint under the value of each of its segments."""
 
     def apply(batches):
         for b in batches:
@@ -246,7 +268,8 @@ def _segments(bits: int, segments: int):
                 flat = np.unpackbits(rows, axis=1, bitorder="little")[:, : bits * segments].reshape(part.num_rows, segments, bits)
                 key = np.packbits(np.pad(flat, ((0, 0), (0, 0), (0, 64 - bits))), axis=2, bitorder="little").view(np.int64)[:, :, 0]
                 i, t = np.divmod(np.arange(key.size), segments)
-                yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(key.ravel()), part.column("rep").take(pa.array(i)), part.column("fp").take(pa.array(i))], names=["segment", "key", "rep", "fp"])
+                checked = pa.array([x.tobytes() for x in rows[:, : 8 * CHECKED]], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(key.ravel()), part.column("rep").take(pa.array(i)), checked.take(pa.array(i))], names=["segment", "key", "rep", "fp"])
 
     return apply
 
@@ -301,22 +324,103 @@ def _compare_wide(most: int):
     return apply
 
 
+def joined(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each of some sets (none is empty) the place of one that it is linked with, over pairs of a Jaccard similarity
+    of ``similarity`` or more.  Sets that are linked already are not compared again."""
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark, root = np.zeros(len(flat), bool), np.full(len(sets), -1)
+    rest, held, at = np.arange(len(sets)), flat, ends - size  # those that may be open, their members and where these begin
+    for first in range(len(sets)):
+        if root[first] >= 0:
+            continue
+        root[first], queue = first, [first]
+        while queue:
+            if 2 * np.count_nonzero(root[rest] < 0) < len(rest):
+                stay = root[rest] < 0
+                held, rest = held[np.repeat(stay, size[rest])], rest[stay]
+                at = np.cumsum(size[rest]) - size[rest]
+            if not len(rest):
+                break
+            a = queue.pop()
+            members = flat[ends[a] - size[a] : ends[a]]
+            mark[members] = True
+            both = np.add.reduceat(mark[held], at, dtype=np.int64)
+            mark[members] = False
+            near = rest[(both / (size[a] + size[rest] - both) >= similarity) & (root[rest] < 0)]
+            root[near] = first
+            queue += near.tolist()
+    return root
+
+
+def _confirm(similarity: float):
+    def pairs(group: list):
+        root = joined([np.frombuffer(x, np.uint64) for x, _ in group], similarity) if len(group) > 1 else np.zeros(len(group), int)
+        return [(group[r][1], group[k][1]) for k, r in enumerate(root.tolist()) if r != k]
+
+    def apply(batches):
+        group, key, links, kind = [], None, [], None
+        for b in batches:
+            kind = b.schema.field("rep").type
+            for *now, held, rep in zip(*(b.column(c).to_pylist() for c in ("component", "one", "two", "held", "rep")), strict=True):
+                if now != key:
+                    links += pairs(group)
+                    group, key = [], now
+                group.append((held, rep))
+        hung = forest(iter(links + pairs(group)))
+        if hung:
+            yield pa.RecordBatch.from_arrays([pa.array(hung.values(), kind), pa.array(hung.keys(), kind)], names=["src", "dst"])
+
+    return apply
+
+
+def _dealt(many: str, per_block: int):
+    return F.ceil(F.col(many) / per_block).cast("int")
+
+
+def _pairs():
+    """Every pair of blocks that holds the row's ``side`` of ``blocks``."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("side"), j).alias("one"), F.greatest(F.col("side"), j).alias("two")))).alias("p")
+
+
+def confirmed_links(docs: DataFrame, members: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """A forest (``src, dst``) of links between ``members`` (``rep, own, shingles, component``) of a component whose sets
+    of shingles have a Jaccard similarity of ``similarity`` or more.  Large components meet by pairs of blocks."""
+    rep = dict(members.dtypes)["rep"]
+    schema = pa.schema([("rep", pa.string() if rep == "string" else pa.int64()), ("component", pa.string() if rep == "string" else pa.int64()), ("own", pa.binary()), ("held", pa.binary())])
+
+    def read(batches):
+        for part in slices(batches):
+            sets = [shingle_set(t or b"", shingle) for t in raw(part)]
+            own = part.column("own").to_pylist()
+            at = [k for k, x in enumerate(sets) if digest(x) == own[k]]  # rows of the same id may hold other texts
+            yield record(schema, part.column("rep").take(pa.array(at, pa.int64())), part.column("component").take(pa.array(at, pa.int64())), [own[k] for k in at], [sets[k].tobytes() for k in at])
+
+    texts = documents(docs, id_col, text_col).join(members.select("rep", "own", "component"), F.col("doc_id") == F.col("rep")).select("rep", "component", "own", "text")
+    sets = texts.mapInArrow(read, f"rep {rep}, component {rep}, own binary, held binary").distinct()
+    sizes = members.groupBy("component").agg(F.count("*").alias("many"), F.sum("shingles").alias("much")).withColumn("blocks", F.greatest(_dealt("many", BLOCK), _dealt("much", BLOCK_SHINGLES)))
+    dealt = sets.join(sizes, "component").withColumn("side", F.pmod(F.xxhash64("own"), F.col("blocks")).cast("int")).select("component", "rep", "held", _pairs()).select("component", "p.one", "p.two", "rep", "held")
+    return dealt.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two").mapInArrow(_confirm(similarity), f"src {rep}, dst {rep}")
+
+
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
-    """``doc_id, component_id``: groups of documents with about ``similarity`` of their shingles in common (Jaccard,
-    estimated by the fingerprints' Hamming distance), or more.  Null ids are left out."""
+    """``doc_id, component_id``: groups of documents linked by pairs with ``similarity`` of their shingles in common
+    (Jaccard) or more: candidates by the fingerprints' Hamming distance, each confirmed exactly.  Null ids are left out."""
     rep = {"string": "string"}.get(dict(docs.dtypes)[id_col], "long")
     bits, segments = wide_shape(docs.count(), similarity, recall)
     words = -(-bits * segments // 64)
     prints = materialise(wide_fingerprints(docs, words, shingle, id_col, text_col))
-    nodes = materialise(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    placed = nodes.mapInArrow(_segments(bits, segments), f"segment int, key long, rep {rep}, fp binary")
-    slim = nodes.mapInArrow(_segments(bits, segments), f"segment int, key long, rep {rep}, fp binary").select("segment", "key")
-    sizes = slim.groupBy("segment", "key").agg(F.count("*").alias("many")).filter("many > 1").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+    nodes = materialise(prints.filter("doc_id is not null").groupBy("own", "fp", "shingles").agg(F.min("doc_id").alias("rep")))
+    able = nodes.filter(F.col("shingles") / (F.col("shingles") + 1) >= similarity)  # smaller sets are like no other set
+    placed = able.mapInArrow(_segments(bits, segments), f"segment int, key long, rep {rep}, fp binary")
+    slim = able.mapInArrow(_segments(bits, segments), f"segment int, key long, rep {rep}, fp binary").select("segment", "key")
+    sizes = slim.groupBy("segment", "key").agg(F.count("*").alias("many")).filter("many > 1").withColumn("blocks", _dealt("many", BLOCK))
     side = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("side"), j).alias("one"), F.greatest(F.col("side"), j).alias("two")))).alias("p")
-    dealt = placed.join(sizes, ["segment", "key"]).withColumn("side", side).select("segment", "key", "rep", "fp", "side", pair).select("segment", "key", "p.one", "p.two", "side", "rep", "fp")
+    dealt = placed.join(sizes, ["segment", "key"]).withColumn("side", side).select("segment", "key", "rep", "fp", "side", _pairs()).select("segment", "key", "p.one", "p.two", "side", "rep", "fp")
     sorted_ = dealt.repartition("segment", "key", "one", "two").sortWithinPartitions("segment", "key", "one", "two")
-    most = int(np.ceil((differing(similarity) + 0.005) * 64 * words))
-    named = connected_components(sorted_.mapInArrow(_compare_wide(most), f"src {rep}, dst {rep}"), forests=True)
-    of_fp = nodes.join(named.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.filter("doc_id is not null").join(of_fp, "fp").select("doc_id", "component_id")
+    loose = connected_components(sorted_.mapInArrow(_compare_wide(furthest(similarity)), f"src {rep}, dst {rep}"), forests=True)
+    members = materialise(nodes.join(loose.withColumnRenamed("id", "rep"), "rep").filter(F.col("shingles") / (F.col("shingles") + 1) >= similarity).select("rep", "own", "shingles", "component"))
+    named = connected_components(confirmed_links(docs, members, similarity, shingle, id_col, text_col), forests=True)
+    of_own = nodes.join(named.withColumnRenamed("id", "rep"), "rep", "left").select("own", F.coalesce("component", "rep").alias("component_id"))
+    return prints.filter("doc_id is not null").join(of_own, "own").select("doc_id", "component_id")

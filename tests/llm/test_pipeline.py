@@ -32,6 +32,45 @@ def test_near_groups_against_brute_force(spark, docs_of):
         assert found[a] == a or any(jaccard(texts[a], texts[b]) >= 0.7 for b in range(a))
 
 
+def test_near_groups_at_the_threshold_itself(spark, docs_of):
+    """Pairs of texts with replaced ends, at 0.7 to 0.9: all of 0.8 and more are found (but for the index's recall), and
+    none below it is."""
+    rng = random.Random(6)
+    rows, pairs = [], []
+    for k in range(240):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice((60, 104, 204, 404)))]
+        wanted = (0.7, 0.75, 0.78, 0.8, 0.8, 0.82)[k % 6]
+        n = len(words) - 4
+        common = -(-2 * n * wanted // (1 + wanted))  # of n shingles, rounded up
+        cut = int(n - common)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: len(words) - cut] + [f"v{rng.randint(0, 10**6)}" for _ in range(cut)]))]
+        pairs.append(jaccard(rows[-2][1], rows[-1][1]))
+    found = {r.doc_id: r.component_id for r in simhash.near_groups(docs_of(rows)).collect()}
+    linked = [found[2 * k] == found[2 * k + 1] for k in range(240)]
+    assert all(found[2 * k] == 2 * k for k in range(240))
+    assert not any(x for x, j in zip(linked, pairs, strict=True) if j < 0.8)
+    like = [x for x, j in zip(linked, pairs, strict=True) if 0.8 <= j < 0.83]
+    assert len(like) > 100 and sum(like) >= 0.97 * len(like)
+
+
+@pytest.mark.parametrize("shingles", [1 << 20, 500])
+def test_confirmed_components_against_brute_force(spark, docs_of, monkeypatch, shingles):
+    """A family of texts around the threshold, in one group of candidates and dealt over many blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
+    rng = random.Random(7)
+    base = " ".join("w" + str(rng.randint(0, 3000)) for _ in range(150))
+    rows = [(k, near_copy(base, rng, rng.randint(1, 4))) for k in range(60)] + [(5, "another text of the same id")]
+    want = {k: k for k in range(60)}
+    for a in range(60):
+        for b in range(a):
+            if jaccard(rows[a][1], rows[b][1]) >= 0.8 and want[a] != want[b]:
+                low, high = sorted((want[a], want[b]))
+                want = {k: low if c == high else c for k, c in want.items()}
+    assert 1 < len(set(want.values())) < 60
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs_of(rows)).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("block", [2048, 4])
 def test_blocks_lose_nothing(spark, docs_of, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
