@@ -181,15 +181,16 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 # Near copies by similarity: a wide fingerprint.  At a similarity of 0.8 of the shingle sets some 15 % of the bits
 # differ, too many for an exact index of 64 bits.  So the fingerprint gets more words, of independent hashes, and
-# the first budget of the ring - how much its starting segment may differ - is held at 0 for many short segments,
-# which finds a pair with the wished recall.  The Hamming check over the first words is wide enough to lose almost no
+# the ring's chain budgets give way to banding: a segment must be equal, for so many segments that a pair at the
+# threshold is found with the wished recall at every size of the input (proportional budgets, 2 to 4 bits of a
+# segment of 12 to 18, would let most pairs of strangers meet).  The Hamming check over the first words is wide enough to lose almost no
 # pair; what it links is a group of candidates, in which the exact Jaccard similarity of the shingle sets decides.
 
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
-RECALL = 0.9
+RECALL = 0.99
 #: Distinct fingerprints that share a segment by chance, in the mean, and that one task compares with each other.
-STRANGERS = 4
+STRANGERS = 64
 BLOCK = 2048
 #: Shingles of a block of candidates (a text of more stands alone).
 BLOCK_SHINGLES = 1 << 20

@@ -53,6 +53,13 @@ def test_near_groups_at_the_threshold_itself(spark, docs_of):
     assert len(like) > 100 and sum(like) >= 0.97 * len(like)
 
 
+@pytest.mark.parametrize("n", [1, 16_384, 262_145, 10**6, 15 * 10**6, 10**9])
+def test_the_index_finds_nearly_all_pairs_at_every_size(n):
+    bits, segments = simhash.wide_shape(n)
+    equal = (1 - simhash.differing(simhash.SIMILARITY)) ** bits  # a segment of a pair at the threshold
+    assert 1 - (1 - equal) ** segments >= 0.989
+
+
 @pytest.mark.parametrize("shingles", [1 << 20, 500])
 def test_confirmed_components_against_brute_force(spark, docs_of, monkeypatch, shingles):
     """A family of texts around the threshold, in one group of candidates and dealt over many blocks."""
