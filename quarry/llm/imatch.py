@@ -1,17 +1,18 @@
 """I-Match document fingerprints over randomised lexicons.
 
 Terms (lower-cased words) count if their document frequency lies in a band, that is, their inverse document
-frequency does: rarer ones are noise, more frequent ones tell nothing.  A text's distinct band terms are sorted
+frequency does: rarer ones are noise, more frequent ones tell nothing.  Frequencies are of distinct texts, so copies
+of a text don't make its terms frequent.  A text with fewer than ``FEWEST`` band terms takes further ones until it
+has as many: more frequent ones from the rarest on, then noise in the order of its hashes.  A text's terms are sorted
 and hashed once for each of ``SUBSETS`` random sub-lexicons.  Sub-lexicons are nested by rate (1/2**level); a
 fingerprint keeps the three levels around log2 of its number of terms, where a sub-lexicon holds about one of
 them.  The share of sub-lexicons with equal hashes, of those that hold a term of either text, is the likeness;
 it estimates the overlap of the two term sets.
 
 The lexicon is broadcast: a term of the band is in at least ``RAREST`` of all documents, so there are at most
-(mean distinct terms of a document) / RAREST of them, however large the corpus.
+(mean distinct terms of a document) / RAREST of them, however large the corpus; more frequent ones are fewer still.
 
-Defined results: null text counts as empty; texts without a band term are hashed over all their terms; texts
-without any have an all-zero fingerprint; equal fingerprints have likeness 1.  Equal ids are ordered by a hash
+Defined results: null text counts as empty; texts without any term have an all-zero fingerprint; equal fingerprints have likeness 1.  Equal ids are ordered by a hash
 of their text; after the last document comes the first; a single document is its own next.
 """
 
@@ -27,9 +28,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.common import SLICE_BYTES, documents, mix, raw, record, slices, u64
 
-#: The band of document frequencies, as shares of all documents.
+#: The band of document frequencies, as shares of all distinct texts.
 RAREST = 1 / 2000
 COMMONEST = 1 / 50
+#: Terms that a text is hashed over at least, if it has as many.
+FEWEST = 32
 SUBSETS = 64
 LEVELS = 3
 #: Terms longer than this many bytes are never in the lexicon; terms a counting worker holds before it passes them on.
@@ -38,21 +41,37 @@ HELD_TERMS = 400_000
 #: Documents of a range of ids in the mean, and the most ranges.
 RANGE_ROWS = 200
 MOST_RANGES = 1 << 16
+#: Bits of the map of texts that may have copies (others of the same bit are only sorted out later).
+COPY_BITS = 1 << 24
 _SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64))
-_lexicons: dict[int, dict[bytes, int]] = {}
+_lexicons: dict[int, tuple[dict[bytes, int], dict[bytes, int]]] = {}
 
 
 def terms(text: bytes) -> set[bytes]:
     return set(text.lower().split())
 
 
-def document_frequencies(rows: DataFrame) -> DataFrame:
-    """``term, n``: how many rows of ``text`` hold each term, summed in the tasks first."""
-    schema = pa.schema([("term", pa.binary()), ("n", pa.int64())])
+def copies(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """How many distinct texts there are, and a map of ``COPY_BITS`` bits (as bytes) in which those that occur more
+    than once have theirs set; ``rows`` have ``th``, a hash of the text."""
+    per_bucket = 8 * 4096  # of bitmap_construct_agg
+    groups = rows.groupBy("th").agg(F.count("*").alias("n")).withColumn("bit", F.pmod("th", F.lit(COPY_BITS)))
+    told = groups.groupBy(F.floor(F.col("bit") / per_bucket).alias("bucket")).agg(F.count("*").alias("texts"), F.expr(f"bitmap_construct_agg(bit % {per_bucket}) filter (where n > 1)").alias("map")).collect()
+    held = np.zeros((-(-COPY_BITS // per_bucket), 4096), np.uint8)
+    for r in told:
+        if r["map"]:
+            held[r["bucket"]] = np.frombuffer(r["map"], np.uint8)
+    return sum(r["texts"] for r in told), held.ravel()
 
-    def count(batches):
+
+def document_frequencies(rows: DataFrame, copied: np.ndarray) -> DataFrame:
+    """``term, n``: how many distinct texts of ``rows`` (``text, th``) hold each term, summed in the tasks first.  Only
+    texts that may have copies travel to be told apart."""
+    schema, shared = pa.schema([("term", pa.binary()), ("n", pa.int64())]), rows.sparkSession.sparkContext.broadcast(copied)
+
+    def count(parts):
         held: dict[bytes, int] = {}
-        for part in slices(batches):
+        for part in parts:
             for t in raw(part):
                 for w in terms(t or b""):
                     held[w] = held.get(w, 0) + 1
@@ -62,33 +81,64 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
         if held:
             yield record(schema, list(held), list(held.values()))
 
-    return rows.select("text").mapInArrow(count, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    def marked(batch: pa.RecordBatch) -> np.ndarray:
+        bit = batch.column("th").to_numpy() % COPY_BITS
+        return (shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
 
+    def single(batches):
+        yield from count(slices(b.filter(pa.array(~marked(b))) for b in batches))
 
-def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST, text_col: str = "text") -> list[bytes]:
-    """The terms of the band, sorted (their number is bounded, see above)."""
-    rows = docs.select(F.col(text_col).alias("text"))
-    total = rows.count()
+    def repeated(batches):
+        for b in batches:
+            yield b.filter(pa.array(marked(b))).select(["text"])
+
+    once = rows.mapInArrow(single, "term binary, n long")
+    more = rows.mapInArrow(repeated, "text string").distinct().mapInArrow(lambda batches: count(slices(batches)), "term binary, n long")
+    return once.unionByName(more).groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST, text_col: str = "text") -> tuple[list[bytes], list[bytes]]:
+    """The terms of the band, sorted, and those that are more frequent, the rarest first (both are bounded, see above)."""
+    rows = documents(docs, text_col, text_col).select("text", F.xxhash64("text").alias("th"))
+    total, copied = copies(rows)
     low = max(1, int(np.ceil(rarest * total)))
-    found = document_frequencies(rows).filter((F.col("n") >= low) & (F.col("n") <= max(low, commonest * total)) & (F.length("term") <= LONGEST_TERM))
-    return sorted(bytes(t) for t in found.select("term").toPandas()["term"])
+    found = document_frequencies(rows, copied).filter((F.col("n") >= low) & (F.length("term") <= LONGEST_TERM)).toPandas()
+    told = sorted(zip(found["n"].tolist(), map(bytes, found["term"]), strict=True))
+    high = max(low, commonest * total)
+    return sorted(t for n, t in told if n <= high), [t for n, t in told if n > high]
 
 
-def _table(shared) -> dict[bytes, int]:
+def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST, text_col: str = "text") -> list[bytes]:
+    """The terms of the band, sorted."""
+    return vocabulary(docs, rarest, commonest, text_col)[0]
+
+
+def _table(shared) -> tuple[dict[bytes, int], dict[bytes, int]]:
     key = id(shared)
     if key not in _lexicons:
         _lexicons.clear()
-        _lexicons[key] = {t: xxhash.xxh64_intdigest(t) for t in shared.value}
+        band, common = shared.value
+        _lexicons[key] = {t: xxhash.xxh64_intdigest(t) for t in band}, {t: k for k, t in enumerate(common)}
     return _lexicons[key]
 
 
-def fingerprint_texts(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(level, hashes [texts x LEVELS x SUBSETS]); 0 is a sub-lexicon without a term of the text."""
+def filled(hashes: list[int], others: set[bytes], common: dict[bytes, int]) -> list[int]:
+    """The hashes of a text's band terms and of the first of its others, up to ``FEWEST``."""
+    h, last = xxhash.xxh64_intdigest, len(common)
+    order = sorted((common.get(w, last), h(w)) for w in others)
+    return hashes + [x for _, x in order[: FEWEST - len(hashes)]]
+
+
+def fingerprint_texts(texts: list[bytes], known: dict[bytes, int], common: dict[bytes, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(level, hashes [texts x LEVELS x SUBSETS]); 0 is a sub-lexicon without a term of the text.  ``known``: the band's
+    hashes; ``common``: the ranks of more frequent terms."""
     counts, flat = [], []
     for t in texts:
         own = terms(t)
         band = known.keys() & own
-        hashes = [known[w] for w in band] if band else [xxhash.xxh64_intdigest(w) for w in own]
+        hashes = [known[w] for w in band]
+        if len(hashes) < FEWEST:
+            hashes = filled(hashes, own - band, common or {})
         counts.append(len(hashes))
         flat += hashes
     n = np.array(counts)
@@ -175,13 +225,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def fingerprint_documents(docs: DataFrame, words: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_documents(docs: DataFrame, words: list[bytes], id_col: str = "doc_id", text_col: str = "text", common: list[bytes] | None = None) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = docs.sparkSession.sparkContext.broadcast((words, common or []))
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def apply(batches):
-        known, held, unpack = _table(shared), None, zstandard.ZstdDecompressor().decompress
+        (known, often), held, unpack = _table(shared), None, zstandard.ZstdDecompressor().decompress
         for part in slices(batches, "packed", SLICE_BYTES // 2):
             rows = list(zip(*(part.column(c).to_pylist() for c in ("range", "guest", "doc_id")), map(unpack, part.column("packed").to_pylist()), strict=True))
             if held:
@@ -193,7 +243,7 @@ def fingerprint_documents(docs: DataFrame, words: list[bytes], id_col: str = "do
             told = [t.decode("utf-8", "replace") for t in plain]
             own = [k for k in range(len(rows) - 1) if not rows[k][1]]  # a guest only tells what comes next
             changed = [edited(told[k], told[k + 1]).encode("utf-8", "replace") for k in own]
-            level, hashes = fingerprint_texts(plain + changed, known)
+            level, hashes = fingerprint_texts(plain + changed, known, often)
             a, nxt, e = np.array(own, int), np.array(own, int) + 1, np.arange(len(own)) + len(rows)
             yield record(
                 schema, [rows[k][2] for k in own], [len(told[k]) for k in own], [hashlib.sha256(c).hexdigest() for c in changed], [text_of(level[k], hashes[k]) for k in own], [text_of(level[k], hashes[k]) for k in e],
@@ -207,4 +257,5 @@ def fingerprint_documents(docs: DataFrame, words: list[bytes], id_col: str = "do
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: fingerprints of every document and of its edited text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return fingerprint_documents(docs, lexicon(docs))
+    words, common = vocabulary(docs)
+    return fingerprint_documents(docs, words, common=common)

@@ -52,3 +52,38 @@ def test_likeness_estimates_overlap():
         level, h = imatch.fingerprint_texts([b" ".join(a), b" ".join(b)], known)
         overlap = share * 400 / (800 - share * 400)
         assert abs(imatch.likeness(level[:1], h[:1], level[1:], h[1:])[0] - overlap) < 0.25
+
+
+def test_copies_do_not_make_terms_frequent(spark, docs_of):
+    texts = [f"own{k} shared{k // 2} every" for k in range(200)] + ["hot0 hot1"] * 60 + ["own7 shared3 every"] * 60 + [None, "", ""]
+    words, common = imatch.vocabulary(docs_of(list(enumerate(texts))))
+    assert {b"hot0", b"hot1", b"own7", b"shared3", b"own8"} <= set(words) and common == [b"every"]
+
+
+def test_frequencies_are_of_distinct_texts(spark, docs_of, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(imatch, "COPY_BITS", 1 << 16)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randint(0, 40)}" for _ in range(5)) for _ in range(200)]
+    texts += rng.choices(texts, k=150) + [None, "", ""]
+    rows = docs_of(list(enumerate(texts))).select("text", F.xxhash64("text").alias("th"))
+    total, copied = imatch.copies(rows)
+    found = {bytes(r.term).decode(): r.n for r in imatch.document_frequencies(rows, copied).collect()}
+    distinct = set(texts)
+    assert total == len(distinct)
+    assert found == {w: sum(w in (t or "").split() for t in distinct) for w in {w for t in distinct for w in (t or "").split()}}
+
+
+def test_an_edit_that_brings_band_terms_keeps_the_rest():
+    """The text has no band term; the last quarter of its edited form has some."""
+    rng = random.Random(4)
+    known = {f"t{k}".encode(): rng.getrandbits(64) for k in range(50)}
+    for often in ({}, {f"c{k}".encode(): k for k in range(300)}):
+        likes = []
+        for _ in range(20):
+            a = [f"c{k}".encode() for k in rng.sample(range(300), 80)]
+            b = a[:60] + rng.sample(sorted(known), 8) + [f"c{k}".encode() for k in rng.sample(range(300), 12)]
+            level, h = imatch.fingerprint_texts([b" ".join(a), b" ".join(b)], known, often)
+            likes.append(imatch.likeness(level[:1], h[:1], level[1:], h[1:])[0])
+        assert np.mean(likes) > 0.2 and min(likes) > 0
