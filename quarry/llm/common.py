@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of text that one vectorised step of a Python worker handles (a longer document stands alone).
 SLICE_BYTES = 1 << 20
@@ -26,6 +27,13 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mo
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
 
 
+def id_field(rows: DataFrame, column: str = "doc_id") -> tuple[str, pa.DataType]:
+    """The type of an id column (any that Arrow knows: string, short, int, long, decimal, binary ...) in Spark's and in
+    Arrow's words, for the schemas that our functions return."""
+    kind = rows.schema[column].dataType
+    return kind.simpleString(), to_arrow_type(kind)
+
+
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

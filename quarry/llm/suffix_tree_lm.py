@@ -1,137 +1,97 @@
 """Language-model scoring with probabilistic suffix trees.
 
-A text is a chain of words and an end; a word is spelled byte by byte from a start mark to an end mark.  A context
-is the last 0 to ``DEPTH`` symbols within the word.  Of the contexts that make up at least ``LEAST_SHARE`` of all
-symbols those stay whose next-symbol distribution diverges enough from the one of their longest retained suffix
-(their count times the Kullback-Leibler divergence); a symbol is scored in the longest retained suffix of its
-history.  Distributions are smoothed by their parent's, so probabilities sum to one everywhere.
-
-Texts of unlike kinds (languages, say) have trees of their own: kinds are found without labels, by k-means over
-the most frequent words of a bounded sample, and a text is scored by its most likely kind, whose share of the
-texts counts as well.  Above the spelling stands the word as a whole: its count in the kind, less a discount, and
-what the discounts leave goes to the tree.  So the score is the log10 probability of one chain of choices.
-
-All training words count: their counts are summed over the whole corpus (which also gives the base score), and
-the trees are grown from them level by level.  A level has at most 1/LEAST_SHARE contexts of each of ``KINDS``
-kinds, so what is broadcast is bounded.  Counts of words that make up at least ``FREQUENT_SHARE`` of the tokens
-are broadcast (at most 1/FREQUENT_SHARE words); those of all other words are joined.
+A text is a chain of tokens: its words and an end.  A context is the last one or two tokens before a token (a mark
+stands before the text).  A context seen in training (``LEAST_COUNT`` times or more) stays if its next-token
+distribution diverges enough from the one of its longest retained suffix (count times Kullback-Leibler divergence);
+a token is scored in the longest retained suffix of its history.  Counts are discounted, and what the discounts leave
+goes to the parent's distribution, down to the counts of single tokens (the empty context) and from there to the
+spelling of words, byte by byte, by a second suffix tree over the distinct training words.  So every string has a
+probability, and a score is the log10 probability of one chain of choices.
+
+Next-token distributions tell tokens apart that make up ``FREQUENT_SHARE`` of all tokens or more (at most
+1/FREQUENT_SHARE words, broadcast as flat arrays); the others are one class, within which the single-token
+distribution decides.  Contexts are of any words.
+
+Nothing of the context tree is gathered: every occurrence (training or not) travels to the bucket of its last token,
+which holds all contexts that end in it and all they are followed by, so that one pass counts, tests, smooths and
+scores, and sends back a sum for each document.  There are as many contexts as training gives, without a bound.  Only
+contexts of ``HOT`` occurrences or more, too many for a bucket, form a broadcast top of the tree (entries of at least
+``LEAST_ENTRY`` of their context, so at most 1/LEAST_ENTRY for each of at most N/HOT contexts); their occurrences go to
+the bucket of the longer context instead.  Words too rare for the alphabet get their counts by a join.
 
 Defined results: null text counts as empty: its one token is the end; with no training text at all, every
-symbol is equally likely and the base knows no word.  Repeated rows are scored, and learned from, each.
+symbol is equally likely and the base knows no word.  Repeated rows are scored, and learned from, each; a null id
+counts as an id.  The order of rows of a partition must be repeatable (as that of a table scan is).
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import gc
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+import zstandard
+from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import documents, raw, record, slices
+from quarry.llm.common import documents, id_field, mix, raw, record, slices, u64
+from quarry.llm.superkmer_dedup import words as tokens_of
 from quarry.storage import materialise
 
-#: Longest context (its symbols of 9 bits and the next one fit a key), the least share of all symbols that a context needs, the
-#: count-weighted divergence (nats) and the smoothing constant of a context, and the least probability it keeps.
+#: Contexts of tokens: the least count, the count-weighted divergence (nats), and the least share of a context's count
+#: that an entry needs.
+LEAST_COUNT = 1
+DIVERGENCE = 5.0
+LEAST_ENTRY = 1e-3
+#: The share of all tokens that makes a word a symbol of its own, and the discount of a count.
+FREQUENT_SHARE = 2.5e-7
+DISCOUNT = 0.75
+#: Occurrences of a context beyond which it belongs to the broadcast top (and its share of all tokens, if that is
+#: more); occurrences of a bucket in the mean; occurrences that a worker sorts into buckets at once.
+HOT, HOT_SHARE = 250_000, 1e-6
+BUCKET = 250_000
+HELD = 1_500_000
+#: The spelling tree: longest context in bytes (its symbols of 9 bits and the next one fit a key), depths that are
+#: counted in one pass, the least share of all symbols that a context needs, the divergence, the smoothing constant
+#: and the least probability that a context keeps.
 DEPTH = 5
-#: Depths that are counted in one pass, before contexts are pruned.
 SHALLOW = 3
 LEAST_SHARE = 1e-5
-DIVERGENCE = 10.0
+SPELLING_DIVERGENCE = 10.0
 SMOOTHING = 10.0
-LEAST_ENTRY = 1e-4
-FREQUENT_SHARE = 1e-6
-#: Symbols: bytes 0-255 are 1-256, then the mark before a word, the end of a word, the end of a text.
+LEAST_CHANCE = 1e-4
+#: Symbols of a spelling: bytes 0-255 are 1-256, then the mark before a word, the end of a word, the end of a text.
 START, WORD_END, TEXT_END, SYMBOLS = 257, 258, 259, 258
 HELD_WORDS = 400_000
-#: Kinds of texts, the sample they are found in, the frequent words that tell them apart; the discount of a count.
-KINDS, SAMPLE, TELLING = 5, 2000, 256
-DISCOUNT = 0.75
-SEED = 42
-_workers: dict = {}
-
-
-class Kinds:
-    """Tells the kind of a text by its frequent words."""
-
-    def __init__(self, words: list[bytes], centres: np.ndarray):
-        self.column, self.centres = {w: k for k, w in enumerate(words)}, centres
-
-    def of(self, texts: list[list[bytes]]) -> np.ndarray:
-        if len(self.centres) < 2:
-            return np.zeros(len(texts), np.int32)
-        column, x = self.column, np.zeros((len(texts), len(self.column)))
-        for row, ws in zip(x, texts, strict=True):
-            own = [c for c in map(column.get, ws) if c is not None]
-            row += np.bincount(own, minlength=len(row)) if own else 0
-        return (_unit(x) @ self.centres.T).argmax(axis=1).astype(np.int32)
-
+#: Symbols of the token tree: the end, any word outside the alphabet, then the alphabet.
+END, RARE = 0, 1
+_BEFORE, _AFTER = u64(0xA0761D6478BD642F), u64(0xE7037ED1A0B428DB)
+_TRAINED = np.uint32(1 << 31)
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = np.sqrt(x)
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """``word, c``: the tokens of all rows of ``text``, summed in the tasks first; the null word is the end."""
+    schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 
-def find_kinds(rows: DataFrame, kinds: int = KINDS, sample: int = SAMPLE) -> Kinds:
-    """k-means from the farthest points over about ``sample`` texts, each by its 60 most frequent words."""
-    share = min(1.0, sample / max(rows.count(), 1))
-    drawn = rows.filter(F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30) < share)
-    schema = pa.schema([("text", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
-
-    def top(batches):
+    def count(batches):
+        held: Counter = Counter()
+        ends = 0
         for part in slices(batches):
             for t in raw(part):
-                ws = (t or b"").lower().split()
-                most = sorted(Counter(ws).items(), key=lambda x: (-x[1], x[0]))[:60]
-                if most:
-                    yield record(schema, [_signed(xxhash.xxh64_intdigest(t))] * len(most), [w[:100] for w, _ in most], [n for _, n in most])
-
-    told = drawn.select("text").mapInArrow(top, "text long, word binary, n long").toPandas()
-    told["word"] = told["word"].map(bytes)
-    seen = told.groupby("word")["text"].nunique().sort_index(kind="stable").sort_values(ascending=False, kind="stable")
-    words = seen.index[:TELLING].tolist()
-    column, texts = {w: k for k, w in enumerate(words)}, sorted(set(told["text"]))
-    at = {t: k for k, t in enumerate(texts)}
-    x = np.zeros((len(texts), len(words)))
-    for t, w, n in told.itertuples(index=False):
-        if w in column:
-            x[at[t], column[w]] = n
-    x = _unit(x[x.sum(axis=1) > 0])
-    if len(x) < 2 * kinds:
-        return Kinds(words, np.zeros((1, len(words))))
-    centres = x.mean(axis=0, keepdims=True)
-    while len(centres) < kinds:
-        centres = np.vstack([centres, x[(x @ centres.T).max(axis=1).argmin()]])
-    for _ in range(25):
-        own = (x @ centres.T).argmax(axis=1)
-        sums = np.stack([x[own == k].sum(axis=0) for k in range(kinds)])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return Kinds(words, centres)
-
-
-def vocabulary(rows: DataFrame, kinds: Kinds) -> DataFrame:
-    """``word, kind, c``: the tokens of all rows of ``text``, summed in the tasks first; the null word is the end."""
-    schema = pa.schema([("word", pa.binary()), ("kind", pa.int32()), ("c", pa.int64())])
-
-    def flush(held, ends):
-        for k, words in held.items():
-            yield record(schema, [None, *words], np.full(len(words) + 1, k, np.int32), [ends[k], *words.values()])
+                held.update((t or b"").lower().split())
+                ends += 1
+            if len(held) > HELD_WORDS:
+                yield record(schema, [None, *held], [ends, *held.values()])
+                held, ends = Counter(), 0
+        if ends:
+            yield record(schema, [None, *held], [ends, *held.values()])
 
-    def count(batches):
-        held, ends = defaultdict(Counter), Counter()
-        for part in slices(batches):
-            texts = [(t or b"").lower().split() for t in raw(part)]
-            for k, ws in zip(kinds.of(texts).tolist(), texts, strict=True):
-                held[k].update(ws)
-                ends[k] += 1
-            if sum(map(len, held.values())) > HELD_WORDS:
-                yield from flush(held, ends)
-                held, ends = defaultdict(Counter), Counter()
-        yield from flush(held, ends)
+    return rows.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
-    return rows.select("text").mapInArrow(count, "word binary, kind int, c long").groupBy("word", "kind").agg(F.sum("c").alias("c"))
+
+# ------------------------------------------------------------ spelling
 
 
 def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +119,7 @@ def contexts(sym: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.ndarray,
 
 
 @dataclass
-class SuffixTree:
+class SpellingTree:
     """Retained contexts in sorted key order (the empty one is first), each with its parent and what it passes
     on to it; the smoothed probabilities of the symbols it keeps, keyed by (context number, symbol)."""
 
@@ -200,6 +160,8 @@ class SuffixTree:
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """log10 of the probability of each word."""
+        if not words:
+            return np.zeros(0)
         sym, size = spell(words)
         at, _, key = contexts(sym, size, DEPTH)
         each = self.log10(key, sym[at])
@@ -209,13 +171,13 @@ class SuffixTree:
         return float(self.log10(np.array([START], np.uint64), np.array([TEXT_END]))[0])
 
 
-def grow(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> SuffixTree:
+def grow(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> SpellingTree:
     """The tree from (context key, symbol, count) of each depth, contexts that are too rare left out."""
     symbols = np.concatenate([np.arange(1, 257), [WORD_END, TEXT_END]])
     root = np.zeros(512)
     np.add.at(root, counts[0][1], counts[0][2])
     root[symbols] += 0.5
-    tree = SuffixTree(np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1), symbols, root[symbols] / root[symbols].sum())
+    tree = SpellingTree(np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1), symbols, root[symbols] / root[symbols].sum())
     for d, (key, symbol, n) in enumerate(counts[1:], 1):
         if not len(key):
             continue
@@ -226,8 +188,8 @@ def grow(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> SuffixTree:
         total = np.add.reduceat(n, begin)
         up = tree.find(key[begin] & np.uint64((1 << (9 * (d - 1))) - 1))
         q = tree.chance(up[owner], symbol)
-        stays = np.add.reduceat(n * np.log(n / total[owner] / q), begin) >= DIVERGENCE
-        big = n >= LEAST_ENTRY * total[owner]
+        stays = np.add.reduceat(n * np.log(n / total[owner] / q), begin) >= SPELLING_DIVERGENCE
+        big = n >= LEAST_CHANCE * total[owner]
         passed = (total - np.add.reduceat(np.where(big, n, 0), begin) + SMOOTHING) / (total + SMOOTHING)
         own = big & stays[owner]
         value = n / (total + SMOOTHING)[owner] + passed[owner] * q
@@ -238,73 +200,60 @@ def grow(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> SuffixTree:
         number[order] = np.arange(len(keys))
         entries = np.concatenate([number[tree.entries // 512] * 512 + tree.entries % 512, number[fresh[owner[own]]] * 512 + symbol[own]])
         by = np.argsort(entries)
-        tree = SuffixTree(keys[order], number[np.concatenate([tree.parent, up[stays]])][order], np.concatenate([tree.passed, passed[stays]])[order], entries[by], np.concatenate([tree.values, value[own]])[by])
+        tree = SpellingTree(keys[order], number[np.concatenate([tree.parent, up[stays]])][order], np.concatenate([tree.passed, passed[stays]])[order], entries[by], np.concatenate([tree.values, value[own]])[by])
     return tree
 
 
-def learn(words: DataFrame, symbols: list[int], ends: list[int]) -> list[SuffixTree]:
-    """Grows the trees from a vocabulary table (word, kind); ``symbols`` and ``ends`` are the numbers of its symbols
-    and of texts of each kind.  A word counts once, however frequent: the trees spell what discounts leave, and a
-    discount leaves as much of every word."""
+def learn_spelling(words: DataFrame, symbols: int, ends: int) -> SpellingTree:
+    """Grows the spelling tree from a vocabulary table (``word``); ``symbols`` and ``ends`` are the numbers of its
+    symbols and of texts.  A word counts once, however frequent: a spelling gets what discounts leave, and a discount
+    leaves as much of every word.  A level has at most 1/LEAST_SHARE contexts."""
     spark = words.sparkSession
-    kinds = range(len(ends))
-    counts: list[list] = [[] for _ in kinds]
-    frequent: list[np.ndarray] = []
-    least = F.element_at(F.array(*[F.lit(max(1.0, LEAST_SHARE * n)) for n in symbols]), F.col("kind") + 1)
+    counts: list = []
+    frequent: np.ndarray | None = None
+    least = max(1.0, LEAST_SHARE * symbols)
     for depths in (range(SHALLOW + 1), *([d] for d in range(SHALLOW + 1, DEPTH + 1))):
-        shared = spark.sparkContext.broadcast(frequent) if frequent else None  # at most 1/LEAST_SHARE keys of a kind
-        table = words.mapInArrow(_count_level(depths, shared), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+        shared = None if frequent is None else spark.sparkContext.broadcast(frequent)
+        table = words.select("word").mapInArrow(_count_level(depths, shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         table = table.withColumn("context", F.shiftrightunsigned("key", 9))
-        sums = table.groupBy("kind", "context").agg(F.sum("n").alias("m")).filter((F.col("m") >= least) | (F.col("context") == 0))
-        found, frequent = table.join(sums, ["kind", "context"], "left_semi").select("kind", "key", "n").toPandas(), []
-        key, kind, n = found["key"].to_numpy().astype(np.uint64), found["kind"].to_numpy(), found["n"].to_numpy()
+        sums = table.groupBy("context").agg(F.sum("n").alias("m")).filter((F.col("m") >= least) | (F.col("context") == 0))
+        found = table.join(sums, "context", "left_semi").select("key", "n").toPandas()
+        key, n = found["key"].to_numpy().astype(np.uint64), found["n"].to_numpy()
         depth = sum(((key >> np.uint64(9 * k)) > 0).astype(int) for k in range(1, DEPTH + 1))  # symbols are never 0
-        for k in kinds:
-            for d in depths:
-                own = (kind == k) & (depth == d)
-                level = (key[own] >> np.uint64(9), (key[own] & np.uint64(511)).astype(np.int64), n[own])
-                if d < 2 and ends[k]:
-                    level = tuple(np.append(x, y).astype(x.dtype) for x, y in zip(level, (START if d else 0, TEXT_END, 1), strict=True))
-                counts[k].append(level)
-            frequent.append(np.unique(counts[k][-1][0]))
-    return [grow(c) for c in counts]
+        for d in depths:
+            own = depth == d
+            level = (key[own] >> np.uint64(9), (key[own] & np.uint64(511)).astype(np.int64), n[own])
+            if d < 2 and ends:
+                level = tuple(np.append(x, y).astype(x.dtype) for x, y in zip(level, (START if d else 0, TEXT_END, 1), strict=True))
+            counts.append(level)
+        frequent = np.unique(counts[-1][0])
+    return grow(counts)
 
 
 def _count_level(depths, shared):
     """Counts (context of exactly d symbols, next symbol) for each depth d; with ``shared``, a context is worth
     counting only if its last d - 1 symbols were frequent enough."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
     def apply(batches):
         for part in slices(batches, "word", 1 << 20):
-            kinds = part.column("kind").to_numpy()
-            for k in np.unique(kinds):
-                sym, size = spell(part.filter(pa.array(kinds == k)).column("word").to_pylist())
-                at, before, key = contexts(sym, size, max(depths))
-                for d in depths:
-                    ok = before >= d
-                    own = key & np.uint64((1 << (9 * d)) - 1)
-                    if shared is not None:
-                        ok &= np.isin(own & np.uint64((1 << (9 * (d - 1))) - 1), shared.value[k])
-                    both, n = np.unique((own[ok] << np.uint64(9)) | sym[at[ok]], return_counts=True)
-                    yield record(schema, np.full(len(both), k, np.int32), both.view(np.int64), n)
+            sym, size = spell(part.column("word").to_pylist())
+            at, before, key = contexts(sym, size, max(depths))
+            for d in depths:
+                ok = before >= d
+                own = key & np.uint64((1 << (9 * d)) - 1)
+                if shared is not None:
+                    ok &= np.isin(own & np.uint64((1 << (9 * (d - 1))) - 1), shared.value)
+                both, n = np.unique((own[ok] << np.uint64(9)) | sym[at[ok]], return_counts=True)
+                yield record(schema, both.view(np.int64), n)
 
     return apply
 
 
-@dataclass
-class Model:
-    """``tokens`` (words and ends), ``left`` (what the discounts leave to the tree) and ``prior`` of each kind."""
-
-    kinds: Kinds
-    trees: list[SuffixTree]
-    tokens: np.ndarray
-    left: np.ndarray
-    prior: np.ndarray
-    ends: np.ndarray
+# ------------------------------------------------------------ single tokens
 
 
-def _log_word(c, tokens, left, spelled):
+def log_word(c, tokens: int, left: float, spelled):
     """log10 of (c - discount) / tokens + left * 10**spelled, for counts of 0 as well."""
     own = np.maximum(np.asarray(c, float) - DISCOUNT, 0) / max(tokens, 1)
     rest = np.log10(left) + spelled
@@ -312,92 +261,413 @@ def _log_word(c, tokens, left, spelled):
         return np.where(own > 0, np.log10(own + 10.0 ** np.maximum(rest, -300.0)), rest)
 
 
-def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score, kind``; ``training`` is a filter on ``doc_id``."""
+@dataclass
+class Alphabet:
+    """The frequent words as sorted hashes; by symbol, the log10 of its base and single-token probabilities."""
+
+    hashes: np.ndarray
+    base: np.ndarray
+    root: np.ndarray
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The symbol of each word hash."""
+        if not len(self.hashes):
+            return np.full(len(values), RARE, np.uint32)
+        at = np.minimum(np.searchsorted(self.hashes, values), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == values, at + 2, RARE).astype(np.uint32)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    out = [tokens_of(words[k : k + 100_000]).values for k in range(0, len(words), 100_000)]
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def alphabet_of(words: list[bytes], counts: np.ndarray, n: int, v: int, ends: int, left: float, tree: SpellingTree) -> Alphabet:
+    order = np.argsort(hashes := word_hashes(words))
+    spelled = np.concatenate([np.zeros(0), *(tree.words(words[k : k + 50_000]) for k in range(0, len(words), 50_000))])
+    root = np.concatenate([log_word(ends, n, left, tree.text_end())[None], [0.0], log_word(counts, n, left, spelled)[order]])
+    root[RARE] = np.log10(max(1 - (10 ** root[END] + (10 ** root[2:]).sum()), 1e-12))
+    base = np.log10(np.concatenate([[ends, 0], counts[order]]) + 1) - np.log10(n + v + 1)
+    return Alphabet(hashes[order], base, root)
+
+
+# ------------------------------------------------------------ contexts of tokens
+
+
+@dataclass
+class Top:
+    """Contexts too frequent for a bucket: those of one token (by ``one``, sorted keys) and of two (``two``), their
+    entries by (number, symbol), each with its whole probability, and what a context passes on to its parent."""
+
+    keys: tuple[np.ndarray, np.ndarray]
+    entries: tuple[np.ndarray, np.ndarray]
+    values: tuple[np.ndarray, np.ndarray]
+    passed: tuple[np.ndarray, np.ndarray]
+    parent: np.ndarray  # of each context of two tokens, the number of its one-token context
+    least_entry: float = LEAST_ENTRY
+
+    def number(self, level: int, keys: np.ndarray) -> np.ndarray:
+        """Which context a key is; -1: none of these."""
+        known = self.keys[level]
+        if not len(known):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, at, -1)
+
+    def chance(self, level: int, number: np.ndarray, symbol: np.ndarray, root: np.ndarray) -> np.ndarray:
+        if level < 0 or not len(number):
+            return root[symbol]
+        want = (number.astype(np.int64) << 32) | symbol.astype(np.int64)
+        entries, out = self.entries[level], np.empty(len(want))
+        at = np.minimum(np.searchsorted(entries, want), max(len(entries) - 1, 0))
+        hit = entries[at] == want if len(entries) else np.zeros(len(want), bool)
+        out[hit] = self.values[level][at[hit]]
+        miss = np.flatnonzero(~hit)
+        up = self.parent[number[miss]] if level else number[miss]
+        out[miss] = self.passed[level][number[miss]] * self.chance(level - 1, up, symbol[miss], root)
+        return out
+
+
+def context_keys(prev1: np.ndarray, prev2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    one = mix(prev1 + np.uint64(1))
+    return one, mix(one ^ (prev2 * u64(0x9FB21C651E98DF25)))
+
+
+def histories(texts: list[bytes], alphabet: Alphabet) -> tuple[np.ndarray, ...]:
+    """For all tokens of the texts, one after another: text number, symbol, hashes of the two tokens before."""
+    e = tokens_of(texts)
+    size = e.sizes + 1
+    ends = np.cumsum(size)
+    n = int(ends[-1])
+    word = np.ones(n, bool)
+    word[ends - 1] = False
+    values, symbol = np.full(n, _AFTER), np.zeros(n, np.uint32)
+    values[word], symbol[word] = e.values, alphabet.find(e.values)
+    place = np.arange(n) - np.repeat(ends - size, size)
+    prev1, prev2 = np.full(n, _BEFORE), np.full(n, _BEFORE)
+    prev1[1:], prev2[2:] = values[:-1], values[:-2]
+    prev1[place == 0] = _BEFORE
+    prev2[place < 2] = _BEFORE
+    return np.repeat(np.arange(len(texts)), size), symbol, prev1, prev2
+
+
+def smoothed(group: np.ndarray, symbol: np.ndarray, trained: np.ndarray, parent: np.ndarray, least_entry: float = LEAST_ENTRY) -> np.ndarray:
+    """The probability of each occurrence's symbol in its context ``group`` (numbers), if that is retained, else
+    ``parent``, its probability in the next shorter one.  Only occurrences that are ``trained`` count."""
+    if not len(group):
+        return parent
+    order = np.lexsort((symbol, group))
+    g, s, t, q = group[order], symbol[order], trained[order], parent[order]
+    new = np.concatenate([[True], g[1:] != g[:-1]])
+    fresh = new | np.concatenate([[True], s[1:] != s[:-1]])
+    entry, begin = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    owner = (np.cumsum(new) - 1)[begin]
+    c = np.add.reduceat(t.astype(np.int64), begin)
+    n = np.bincount(owner, weights=c)
+    of = n[owner]
+    kept = (c > 0) & (c >= least_entry * of)
+    value = np.where(kept, (c - DISCOUNT) / np.maximum(of, 1), 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        told = np.where(kept, c * np.log(c / of / q[begin]), 0)
+    stays = (n >= LEAST_COUNT) & (np.bincount(owner, weights=told) >= DIVERGENCE)
+    passed = 1 - np.bincount(owner, weights=value)
+    p = np.where(stays[owner], value + passed[owner] * q[begin], q[begin])
+    out = np.empty(len(p := p[entry]))
+    out[order] = p
+    return out
+
+
+def grow_top(rows: DataFrame, alphabet, hot: float, words: dict[int, int]) -> Top:
+    """Counts what follows the contexts of ``hot`` occurrences or more in training rows; ``words``: the counts of the
+    tokens (by hash) that have so many."""
+    spark, root = rows.sparkSession, 10 ** alphabet.value.root
+    none = np.zeros(0, np.int64)
+    top = Top((np.zeros(0, np.uint64),) * 2, (none, none), (np.zeros(0),) * 2, (np.zeros(0),) * 2, none, LEAST_ENTRY)
+    tokens = np.array(list(words), np.uint64)
+    many = np.array(list(words.values()), float)
+    before = np.full(len(tokens), _BEFORE)
+    up = none
+    schema = pa.schema([("context", pa.int64()), ("symbol", pa.int64()), ("n", pa.int64())])
+    for level in (0, 1):
+        if not len(tokens):
+            break
+        keys = context_keys(tokens, before)[level]
+        order = np.argsort(keys)
+        keys, tokens, before, many = keys[order], tokens[order], before[order], many[order]
+        if level:
+            up = up[order]
+        shared = spark.sparkContext.broadcast(keys)
+
+        def count(batches, level=level, shared=shared):
+            for part in slices(batches):
+                _, symbol, prev1, prev2 = histories([(t or b"").lower() for t in raw(part)], alphabet.value)
+                key = context_keys(prev1, prev2)[level]
+                at = np.minimum(np.searchsorted(shared.value, key), len(shared.value) - 1)
+                own = shared.value[at] == key
+                both, n = np.unique((at[own] << 32) | symbol[own], return_counts=True)
+                yield record(schema, both >> 32, both & 0xFFFFFFFF, n)
+
+        least = F.least(F.element_at(F.array(*[F.lit(float(LEAST_ENTRY * m)) for m in many]), F.col("context").cast("int") + 1), F.lit(float(hot)))
+        found = rows.select("text").mapInArrow(count, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
+        found = found.sort_values(["context", "symbol"])
+        context, symbol, c = (found[x].to_numpy() for x in ("context", "symbol", "n"))
+        kept = c >= LEAST_ENTRY * many[context]
+        x, s, k = context[kept], symbol[kept], c[kept]
+        q = top.chance(level - 1, up[x] if level else x, s, root)
+        stays = np.bincount(x, weights=k * np.log(k / many[x] / q), minlength=len(keys)) >= DIVERGENCE
+        value = (k - DISCOUNT) / many[x]
+        passed = np.where(stays, 1 - np.bincount(x, weights=value, minlength=len(keys)), 1.0)
+        held = stays[x]
+        put = lambda old, fresh, level=level: (fresh, old[1]) if level == 0 else (old[0], fresh)
+        top = Top(put(top.keys, keys), put(top.entries, (x[held] << 32) | s[held]), put(top.values, (value + passed[x] * q)[held]), put(top.passed, passed), up if level else none, LEAST_ENTRY)
+        if level == 0:  # contexts of two tokens that are as frequent: a hot token before a hot token, or the text's start
+            hash_of = np.concatenate([np.zeros(2, np.uint64), alphabet.value.hashes])
+            longer = (c >= hot) & (symbol > RARE)
+            first, second, number = tokens[context[longer]], hash_of[symbol[longer]], c[longer]
+            if _BEFORE in tokens:
+                first, second, number = np.append(first, _BEFORE), np.append(second, _BEFORE), np.append(number, many[tokens == _BEFORE])
+            one = context_keys(second, second)[0]
+            up = top.number(0, one)
+            known = up >= 0
+            tokens, before, many, up = second[known], first[known], number[known].astype(float), up[known]
+    return top
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of 32 or 64 bits, byte plane by byte plane, compressed."""
+    out = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(out)
+
+
+def _unpacked(blob: bytes, n: int, dtypes) -> list[np.ndarray]:
+    data, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), 0, []
+    for t in dtypes:
+        size = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(t).ravel())
+        at += n * size
+    return out
+
+
+_PACKS = "bucket int, batch long, kind int, n int, blob binary"
+_PACK_SCHEMA = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
+_NAMES, _SUMS, _TOKENS = 0, 1, 2  # kinds of packs: row keys of a batch, sums of its rows, occurrences
+
+
+def _emit(alphabet, top, buckets: int):
+    """Packs of occurrences for each bucket.  A batch is as many texts as hold about ``HELD`` tokens."""
+
+    def flush(held: list) -> list:
+        text = np.concatenate([x[0] + at for x, at in zip(held, np.cumsum([0, *(len(x[4]) for x in held[:-1])]), strict=True)])
+        symbol, prev1, prev2 = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+        keys, trained = np.concatenate([x[4] for x in held]), np.concatenate([x[5] for x in held])
+        batch = xxhash.xxh3_64_intdigest(keys.tobytes()) >> 1
+        out = [(batch % buckets, batch, _NAMES, len(keys), _packed(keys[:, 0].copy(), keys[:, 1].copy()))]
+        one, two = context_keys(prev1, prev2)
+        hot, both = top.value.number(0, one), top.value.number(1, two)
+        done = np.flatnonzero(both >= 0)
+        if len(done):
+            root = 10 ** alphabet.value.root
+            gain = np.log10(top.value.chance(1, both[done], symbol[done], root)) - alphabet.value.root[symbol[done]]
+            sums = np.bincount(text[done], weights=gain, minlength=len(keys))
+            some = np.unique(text[done])
+            out.append((batch % buckets, batch, _SUMS, len(some), _packed(some.astype(np.uint32), sums[some])))
+        rest = np.flatnonzero(both < 0)
+        where = np.where(hot[rest] < 0, one[rest], two[rest])
+        second = np.where(hot[rest] < 0, two[rest] >> np.uint64(33), hot[rest].astype(np.uint64) | np.uint64(1 << 31)).astype(np.uint32)
+        symbol, text = symbol[rest] | np.where(trained[text[rest]], _TRAINED, np.uint32(0)), text[rest].astype(np.uint32)
+        bucket = (where % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((where, bucket))
+        where, second, symbol, text, bucket = where[order], second[order], symbol[order], text[order], bucket[order]
+        cut = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            new = np.flatnonzero(np.concatenate([[True], where[a + 1 : b] != where[a : b - 1]]))
+            many = np.diff(np.append(new, b - a)).astype(np.uint32)
+            blob = len(new).to_bytes(4, "little") + _packed(where[a:b][new], many, second[a:b], symbol[a:b], text[a:b])
+            out.append((int(bucket[a]), batch, _TOKENS, b - a, blob))
+        return out
+
+    def apply(batches):
+        held, n = [], 0
+        for part in slices(batches):
+            text, symbol, prev1, prev2 = histories([(t or b"").lower() for t in raw(part)], alphabet.value)
+            keys = np.stack([part.column(c).to_numpy() for c in ("k1", "k2")], axis=1)
+            held.append((text, symbol, prev1, prev2, keys, part.column("trained").to_numpy(zero_copy_only=False)))
+            n += len(text)
+            if n >= HELD:
+                yield record(_PACK_SCHEMA, *map(list, zip(*flush(held), strict=True)))
+                held, n = [], 0
+        if held:
+            yield record(_PACK_SCHEMA, *map(list, zip(*flush(held), strict=True)))
+
+    return apply
+
+
+def _score_buckets(alphabet, top):
+    """Sums of log10 gains over the single-token distribution, for each row of a batch, from whole buckets."""
+
+    def bucket_sums(packs: list[tuple]) -> list[tuple]:
+        where, second, symbol, text, pack = [], [], [], [], []
+        for k, (_, n, blob) in enumerate(packs):
+            many = int.from_bytes(blob[:4], "little")
+            data = zstandard.ZstdDecompressor().decompress(blob[4:])
+            planes = np.frombuffer(data, np.uint8)
+            at = 0
+
+            def take(count, dtype, planes=planes):
+                nonlocal at
+                size = np.dtype(dtype).itemsize
+                out = np.ascontiguousarray(planes[at : at + count * size].reshape(size, count).T).view(dtype).ravel()
+                at += count * size
+                return out
+
+            own, times = take(many, np.uint64), take(many, np.uint32)
+            where.append(np.repeat(own, times))
+            for column in (second, symbol, text):
+                column.append(take(n, np.uint32))
+            pack.append(np.full(n, k, np.int64))
+        where, second, symbol, text, pack = map(np.concatenate, (where, second, symbol, text, pack))
+        trained, symbol, hot = symbol >= _TRAINED, (symbol & ~_TRAINED).astype(np.int64), second >= np.uint32(1 << 31)
+        root = 10 ** alphabet.value.root
+        group = np.unique(where, return_inverse=True)[1]
+        p = np.empty(len(where))
+        p[~hot] = smoothed(group[~hot], symbol[~hot], trained[~hot], root[symbol[~hot]], top.value.least_entry)
+        p[hot] = top.value.chance(0, (second[hot] & np.uint32(0x7FFFFFFF)).astype(np.int64), symbol[hot], root)
+        p = smoothed((group << 32) | second.astype(np.int64), symbol, trained, p, top.value.least_entry)
+        gain = np.log10(p) - alphabet.value.root[symbol]
+        rows, at = np.unique((pack << 32) | text.astype(np.int64), return_inverse=True)
+        sums = np.bincount(at, weights=gain, minlength=len(rows))
+        cut = np.searchsorted(rows >> 32, np.arange(len(packs) + 1))
+        return [(packs[k][0], _SUMS, b - a, _packed((rows[a:b] & 0xFFFFFFFF).astype(np.uint32), sums[a:b])) for k, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist(), strict=False))]
+
+    schema = pa.schema(list(_PACK_SCHEMA)[1:])
+
+    def apply(batches):
+        held, bucket = [], None
+        for b in batches:
+            out = []
+            for now, batch, kind, n, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "batch", "kind", "n", "blob")), strict=True):
+                if now != bucket and held:
+                    out += bucket_sums(held)
+                    held = []
+                bucket = now
+                if kind == _TOKENS:
+                    held.append((batch, n, blob))
+                else:
+                    out.append((batch, kind, n, blob))
+            if out:
+                yield record(schema, *map(list, zip(*out, strict=True)))
+        if held:
+            yield record(schema, *map(list, zip(*bucket_sums(held), strict=True)))
+
+    return apply
+
+
+def _by_row(batches):
+    """The packs of whole batches as ``k1, k2, gain``."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("gain", pa.float64())])
+
+    def rows(packs: list[tuple]) -> pa.RecordBatch:
+        (names,) = {(n, blob) for kind, n, blob in packs if kind == _NAMES}
+        k1, k2 = _unpacked(names[1], names[0], (np.int64, np.int64))
+        total = np.zeros(names[0])
+        for kind, n, blob in packs:
+            if kind == _SUMS:
+                text, sums = _unpacked(blob, n, (np.uint32, np.float64))
+                np.add.at(total, text, sums)
+        times = sum(kind == _NAMES for kind, _, _ in packs)  # equal batches of repeated rows come as one
+        return record(schema, np.repeat(k1, times), np.repeat(k2, times), np.repeat(total / times, times))
+
+    held, own = [], None
+    for b in batches:
+        for batch, *pack in zip(*(b.column(c).to_pylist() for c in ("batch", "kind", "n", "blob")), strict=True):
+            if batch != own and held:
+                yield rows(held)
+                held = []
+            own = batch
+            held.append(tuple(pack))
+    if held:
+        yield rows(held)
+
+
+def context_gains(rows: DataFrame, alphabet: Alphabet, n: int, ends: int, frequent: dict[int, int], hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
+    """``k1, k2, gain``: what contexts add to the single-token log10 probability of each row (``k1, k2, text,
+    trained``); ``frequent``: the counts of the alphabet's words by hash."""
+    context = rows.sparkSession.sparkContext
+    limit = max(hot, HOT_SHARE * n)
+    words = {h: c for h, c in frequent.items() if c >= limit}
+    if ends >= limit:
+        words[int(_BEFORE)] = ends
+    shared = context.broadcast(alphabet)
+    top = context.broadcast(grow_top(rows.filter("trained"), shared, limit, words))
+    buckets = max(1, min(1 << 30, int(1.2 * n / bucket)))
+    packs = rows.select("text", "k1", "k2", "trained").mapInArrow(_emit(shared, top, buckets), _PACKS)
+    sums = materialise(packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_score_buckets(shared, top), _PACKS.split(", ", 1)[1]))
+    return sums.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_by_row, "k1 long, k2 long, gain double")
+
+
+# ------------------------------------------------------------ scoring
+
+
+def score(docs: DataFrame, training: Column | str, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score``; ``training`` is a filter on ``doc_id``."""
     spark = docs.sparkSession
-    rows = documents(docs, id_col, text_col)
-    id_type = dict(rows.dtypes)["doc_id"]
-    learned_from = rows.filter(training)
-    kinds = find_kinds(learned_from)
-    counted = materialise(vocabulary(learned_from, kinds))
-    k_max = len(kinds.centres)
-    told = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("c")).otherwise(0)).alias("ends"), F.sum(F.coalesce(F.length("word"), F.lit(0)) + 1).alias("symbols")).collect()}
-    get = lambda f: np.array([told[k][f] if k in told else 0 for k in range(k_max)])
-    ends, tokens = get("ends"), get("n")
-    left = np.where(tokens > 0, DISCOUNT * get("v") / np.maximum(tokens, 1), 1.0)
-    prior = np.log10(np.where(ends > 0, ends, 0.5) / max(ends.sum(), 1)) if ends.sum() else np.zeros(k_max)
+    trained = F.coalesce(F.expr(training) if isinstance(training, str) else training, F.lit(False))
+    rows = documents(docs, id_col, text_col).withColumn("trained", trained)
+    rows = rows.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(1), "doc_id")})
+    counted = materialise(vocabulary(rows.filter("trained")))
+    told = counted.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("ends"), F.sum(F.coalesce(F.length("word"), F.lit(0)) + 1).alias("symbols")).first()
+    n, v, ends, symbols = (int(told[k] or 0) for k in ("n", "v", "ends", "symbols"))
+    left = DISCOUNT * v / n if n else 1.0
     words = counted.filter("word is not null")
-    trees = learn(words, get("symbols").tolist(), ends.tolist())
-    model = Model(kinds, trees, tokens, left, prior, ends)
-
-    by_word = words.groupBy("word").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("kind", "c"))).alias("of_kind"))  # one entry for each kind
-    n = int(tokens.sum())
-    v = by_word.count() + int(ends.sum() > 0)
-    bottom = float(np.log10(n + v + 1))
+    tree = learn_spelling(words, symbols, ends)
     bar = max(1.0, FREQUENT_SHARE * n)
-    often = by_word.filter(F.col("c") >= bar).select("word", "c", F.array(*[F.coalesce(F.element_at("of_kind", F.lit(k)), F.lit(0)) for k in range(k_max)]).alias("of_kind")).toPandas()  # at most 1/FREQUENT_SHARE words
-    frequent = {bytes(w): k for k, w in enumerate(often["word"])}
-    totals = np.array(often["c"], dtype=float)
-    by_kind = np.array([np.asarray(x) for x in often["of_kind"]], dtype=float).reshape(len(frequent), k_max)
-    shared = spark.sparkContext.broadcast((model, frequent, np.log10(totals + 1) - bottom, by_kind))
-    end_base = float(np.log10(ends.sum() + 1)) - bottom
-    schema = pa.schema([("doc_id", pa.string() if id_type == "string" else pa.int64()), ("kind", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int32()), ("s", pa.float64())])))])
+    often = words.filter(F.col("c") >= bar).toPandas()  # at most 1/FREQUENT_SHARE words
+    names, counts = list(map(bytes, often["word"])), often["c"].to_numpy(dtype=np.int64)
+    alphabet = alphabet_of(names, counts, n, v, ends, left, tree)
+    bottom = float(np.log10(n + v + 1))
+    keep = counts >= max(hot, HOT_SHARE * n)
+    frequent = dict(zip(word_hashes([w for w, k in zip(names, keep.tolist(), strict=True) if k]).tolist(), counts[keep].tolist(), strict=True))
+    del often, names
+    gains = materialise(context_gains(rows, alphabet, n, ends, frequent, hot, bucket)) if n else spark.createDataFrame([], "k1 long, k2 long, gain double")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the step before
+
+    shared = spark.sparkContext.broadcast((alphabet, tree))
+    id_type, id_arrow = id_field(rows)
+    rare_type = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int32()), ("s", pa.float64())]))
+    schema = pa.schema([("doc_id", id_arrow), ("k1", pa.int64()), ("k2", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("root", pa.float64()), ("rare", rare_type)])
 
     def apply(batches):
-        model, frequent, base_of, by_kind = shared.value
-        if _workers.get("of") is not shared:
-            _workers.clear()
-            # for each kind, what each frequent word and the end score
-            spelled = [t.words(list(frequent)) if frequent else np.zeros(0) for t in model.trees]
-            whole = [_log_word(by_kind[:, k], model.tokens[k], model.left[k], spelled[k]) for k in range(len(spelled))]
-            end = [float(_log_word(model.ends[k], model.tokens[k], model.left[k], t.text_end())) for k, t in enumerate(model.trees)]
-            _workers.update({"of": shared, "whole": whole, "end": end})
-        whole, end = _workers["whole"], _workers["end"]
+        alphabet, tree = shared.value
         for part in slices(batches):
-            split = [(t or b"").lower().split() for t in raw(part)]
-            kind = model.kinds.of(split).tolist()
-            cols, index, rows_of = ([], [], [], [], []), [{} for _ in model.trees], [[] for _ in model.trees]
-            for row, (ws, k) in enumerate(zip(split, kind, strict=True)):
-                at = [*map(frequent.get, ws)]
-                if None in at:
-                    number = index[k].setdefault
-                    own = [number(w, len(index[k])) for w, j in zip(ws, at, strict=True) if j is None]
-                    rows_of[k].append((row, own))
-                    at = [j for j in at if j is not None]
-                at = np.array(at, int)
-                for c, x in zip(cols, (k, len(ws) + 1, len(at) + (n > 0), base_of[at].sum() + end_base, whole[k][at].sum() + end[k] + model.prior[k]), strict=True):
-                    c.append(x)
-            found = []  # of each kind: row, word hash, count, log10 of the spelling
-            for k, held in enumerate(rows_of):
-                if held:
-                    some = list(index[k])
-                    spelled, hashed = model.trees[k].words(some), np.array([xxhash.xxh64_intdigest(w, SEED) for w in some], np.uint64).view(np.int64)
-                    each = np.concatenate([np.array(own) + row * len(some) for row, own in held])
-                    both, count = np.unique(each, return_counts=True)
-                    row, w = np.divmod(both, len(some))
-                    found.append((row, hashed[w], count, spelled[w]))
-            row, hashed, count, spelled = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
-            order = np.argsort(row, kind="stable")
-            flat = pa.StructArray.from_arrays([pa.array(hashed[order], pa.int64()), pa.array(count[order].astype(np.int32)), pa.array(spelled[order].astype(np.float64))], names=["w", "n", "s"])
-            packed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(split)))]).astype(np.int32)), flat)
-            yield record(schema, part.column("doc_id"), np.array(cols[0], np.int32), *cols[1:], packed)
-
-    ddl = f"doc_id {id_type}, kind int, n_tokens long, n_known long, base double, score double, rare array<struct<w:long,n:int,s:double>>"
-    partly = materialise(rows.mapInArrow(apply, ddl).withColumn("row", F.monotonically_increasing_id()))
-    seldom = by_word.filter(F.col("c") < bar).select(F.xxhash64("word").alias("w"), "c", "of_kind")
-    rare = partly.select("row", "kind", F.explode("rare").alias("r")).select("row", "kind", "r.*").join(seldom, "w", "left")
-    pick = lambda xs: F.element_at(F.array(*[F.lit(float(x)) for x in xs]), F.col("kind") + 1)
-    own = F.greatest(F.coalesce(F.element_at("of_kind", F.col("kind")), F.lit(0)) - DISCOUNT, F.lit(0.0)) / pick(np.maximum(tokens, 1))
-    rest = F.log10(pick(left)) + F.col("s")
+            e, many = tokens_of([(t or b"").lower() for t in raw(part)]), part.num_rows
+            owner, symbol = np.repeat(np.arange(many), e.sizes), alphabet.find(e.values)
+            known = symbol != RARE
+            add = lambda x, own=owner[known], many=many: np.bincount(own, weights=x, minlength=many)
+            base, root = add(alphabet.base[symbol[known]]) + alphabet.base[END], add(alphabet.root[symbol[known]]) + alphabet.root[END]
+            at = np.flatnonzero(~known)
+            some, first, index = np.unique(e.values[at], return_index=True, return_inverse=True)
+            spelled = [e.blob[e.lo[k] : e.hi[k]] for k in at[first].tolist()]
+            s = tree.words(spelled)
+            both, count = np.unique(owner[at] * max(len(some), 1) + index, return_counts=True)
+            row, w = np.divmod(both, max(len(some), 1))
+            flat = pa.StructArray.from_arrays([pa.array(spelled, pa.binary()).take(pa.array(w)), pa.array(count.astype(np.int32)), pa.array(s[w])], names=["w", "n", "s"])
+            packed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=many))]).astype(np.int32)), flat)
+            yield record(schema, *(part.column(c) for c in ("doc_id", "k1", "k2")), e.sizes + 1, np.bincount(owner[known], minlength=many) + int(ends > 0), base, root, packed)
+
+    ddl = f"doc_id {id_type}, k1 long, k2 long, n_tokens long, n_known long, base double, root double, rare array<struct<w:binary,n:int,s:double>>"
+    partly = materialise(rows.select("doc_id", "k1", "k2", "text").mapInArrow(apply, ddl).withColumn("row", F.monotonically_increasing_id()))
+    seldom = words.filter(F.col("c") < bar).select(F.col("word").alias("w"), "c")
+    rare = partly.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(seldom, "w", "left")
+    own = F.greatest(F.coalesce("c", F.lit(0)) - DISCOUNT, F.lit(0.0)) / max(n, 1)
+    rest = float(np.log10(left)) + F.col("s")
     each = F.when(own > 0, F.log10(own + F.pow(F.lit(10.0), F.greatest(rest, F.lit(-300.0))))).otherwise(rest)
     sums = rare.groupBy("row").agg(F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - bottom)).alias("b"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * each).alias("s"))
-    joined = partly.drop("rare").join(sums, "row", "left")
+    # rows that are equal in id and text have equal gains
+    of_key = gains.groupBy("k1", "k2").agg(F.avg("gain").alias("gain"))
+    joined = partly.drop("rare").join(sums, "row", "left").join(of_key, ["k1", "k2"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return joined.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("b")).alias("base_score"), (F.col("score") + zero("s")).alias("score"), "kind")
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    return joined.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("b")).alias("base_score"), (F.col("root") + zero("s") + zero("gain")).alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

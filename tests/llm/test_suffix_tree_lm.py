@@ -1,8 +1,10 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from quarry.llm import suffix_tree_lm as lm
 
 
@@ -37,6 +39,88 @@ def test_beats_the_base_on_held_out_texts(spark):
     assert len(rows) > 10 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def brute_scores(docs, spelled):
+    """The same model by dictionaries: ``docs`` are (id, trained, tokens); ``spelled`` gives the log10 of a spelling."""
+    train = [t for _, ok, t in docs if ok]
+    count = Counter(w for t in train for w in t)
+    n, v = sum(count.values()), len(count)
+    bar, left = max(1.0, lm.FREQUENT_SHARE * n), lm.DISCOUNT * v / n
+    single = lambda w: max(count[w] - lm.DISCOUNT, 0) / n + left * 10 ** spelled(w)
+    symbol = lambda w: w if w is None or (count[w] and count[w] >= bar) else lm.RARE
+    root = {w: single(w) for w in count if symbol(w) != lm.RARE}
+    root[lm.RARE] = max(1 - sum(root.values()), 1e-12)
+    tree = {}
+
+    def chance(context, x):
+        while context and context not in tree:
+            context = context[1:]
+        if not context:
+            return root[x]
+        kept, passed = tree[context]
+        return kept.get(x, 0) + passed * chance(context[1:], x)
+
+    for depth in (1, 2):
+        seen = {}
+        for t in train:
+            padded = ("^",) * depth + t
+            for k in range(len(t)):
+                seen.setdefault(padded[k : k + depth], Counter())[symbol(t[k])] += 1
+        for context, follow in seen.items():
+            m = sum(follow.values())
+            big = {x: c for x, c in follow.items() if c >= lm.LEAST_ENTRY * m}
+            told = sum(c * math.log(c / m / chance(context[1:], x)) for x, c in big.items())
+            if m >= lm.LEAST_COUNT and told >= lm.DIVERGENCE:
+                kept = {x: (c - lm.DISCOUNT) / m for x, c in big.items()}
+                tree[context] = (kept, 1 - sum(kept.values()))
+    out = []
+    for i, _, t in docs:
+        padded, total = ("^", "^") + t, 0.0
+        for k, w in enumerate(t):
+            x = symbol(w)
+            total += math.log10(chance(padded[k : k + 2], x)) + (math.log10(single(w) / root[x]) if x == lm.RARE else 0)
+        out.append((i, round(total, 4)))
+    return out, tree
+
+
+@pytest.mark.parametrize(("hot", "bucket", "share"), [(lm.HOT, lm.BUCKET, lm.FREQUENT_SHARE), (12, 40, lm.FREQUENT_SHARE), (12, 40, 0.004)])
+def test_scores_equal_a_plain_tree(spark, docs_of, monkeypatch, hot, bucket, share):
+    """Whatever is broadcast, joined or dealt to buckets; context entries below their least share are left out."""
+    monkeypatch.setattr(lm, "FREQUENT_SHARE", share)
+    monkeypatch.setattr(lm, "LEAST_ENTRY", 0.02)
+    monkeypatch.setattr(lm, "HOT_SHARE", 0.0)
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "cat", "dog", "the cat", "of the", f"x{rng.randint(0, 60)}"]) for _ in range(n))
+    texts = [prose(rng.randint(0, 40)) for _ in range(70)]
+    texts += texts[:9] + ["the cat of the dog"] * 20 + [None, "", "of THE cat", "new \x0bwords é", "the " * 300]
+    rows = [*enumerate(texts), (3, texts[3]), (3, texts[3]), (None, texts[5]), (4, "the same id")]
+    docs = [(i, i is not None and i % 5 != 0, (*(t or "").encode().lower().split(), None)) for i, t in rows]
+    trees = []
+    monkeypatch.setattr(lm, "learn_spelling", lambda *a, learn=lm.learn_spelling: trees.append(learn(*a)) or trees[-1])
+    found = lm.score(docs_of(rows), "doc_id % 5 <> 0", hot=hot, bucket=bucket).collect()
+    known = {}
+    spelled = lambda w: trees[0].text_end() if w is None else known.setdefault(w, None) or known.update({w: float(trees[0].words([w])[0])}) or known[w]
+    want, tree = brute_scores(docs, spelled)
+    assert sum(len(c) == 1 for c in tree) > 5 and sum(len(c) == 2 for c in tree) > 5
+    assert all(abs(a - b) < 1e-4 for a, b in zip(sorted(x for _, x in want), sorted(r.score for r in found), strict=True))
+    got, expected = (sorted(((-1 if i is None else i), x) for i, x in y) for y in ([(r.doc_id, r.score) for r in found], want))
+    assert [i for i, _ in got] == [i for i, _ in expected] and max(abs(a - b) for (_, a), (_, b) in zip(got, expected, strict=True)) < 1e-4
+
+
+def test_word_order_and_repeated_passages_count(spark, docs_of):
+    rng = random.Random(9)
+    passage = [f"w{rng.randint(0, 400)}" for _ in range(60)]
+    rows = [(k, " ".join(passage)) for k in range(4)] + [(10 + k, " ".join(f"w{rng.randint(0, 400)}" for _ in range(60))) for k in range(60)]
+    shuffled = passage[:]
+    rng.shuffle(shuffled)
+    found = {r.doc_id: r.score for r in lm.score(docs_of([*rows, (100, " ".join(passage)), (101, " ".join(shuffled))]), "doc_id < 100").collect()}
+    assert found[100] > 0.5 * found[101]
+
+
+def test_many_copies_under_one_id(spark, docs_of):
+    found = lm.score(docs_of([(1, "the same text here")] * 3000 + [(2, "another text")]), "doc_id = 1", hot=100, bucket=500).collect()
+    assert len(found) == 3001 and len({round(r.score, 9) for r in found}) == 2
+
+
 def test_no_training_text(spark, docs_of):
     (r,) = lm.score(docs_of([(1, "ab")]), "doc_id = 2").collect()
     assert r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0.0
