@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import documents, raw, record, slices
+from quarry.llm.common import documents, id_field, raw, record, slices
 from quarry.llm.segments import ByteEncoder, byte_letters
 
 #: Rolling-hash window (a power of two), mean chunk length and longest chunk, in bytes.
@@ -166,7 +166,13 @@ def decimal(ids: np.ndarray) -> bytes:
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` (packed unsigned 16-bit, little-endian) of each whole text."""
-    return _each(docs, vocabulary, id_col, text_col, [("ids", pa.binary())], "ids binary", lambda ids: (ids.astype("<u2").tobytes(),))
+
+    def told(ids: np.ndarray):
+        if len(ids) and ids.max() >> 16:
+            raise ValueError("the vocabulary has ids of more than 16 bits")
+        return (ids.astype("<u2").tobytes(),)
+
+    return _each(docs, vocabulary, id_col, text_col, [("ids", pa.binary())], "ids binary", told)
 
 
 def digest_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,8 +187,7 @@ def digest_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
 def _each(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, columns: list, ddl: str, told) -> DataFrame:
     rows = documents(docs, id_col, text_col)
-    id_type = dict(rows.dtypes)["doc_id"]
-    id_arrow = pa.string() if id_type == "string" else pa.int64()
+    id_type, id_arrow = id_field(rows)
     routed = pa.schema([("doc_id", id_arrow), ("text", pa.binary()), ("cuts", pa.list_(pa.int32())), ("least", pa.int64())])
     out = pa.schema([("doc_id", id_arrow), *columns])
 

@@ -11,14 +11,17 @@ it estimates the overlap of the two term sets.
 
 The lexicon is broadcast: a term of the band is in at least ``RAREST`` of all documents, so there are at most
 (mean distinct terms of a document) / RAREST of them, however large the corpus; more frequent ones are fewer still.
+A term takes ``LONG_TERM`` bytes at most (a longer one is known by its hash).
 
-Defined results: null text counts as empty; texts without any term have an all-zero fingerprint; equal fingerprints have likeness 1.  Equal ids are ordered by a hash
-of their text; after the last document comes the first; a single document is its own next.
+Defined results: null text counts as empty; texts without any term have an all-zero fingerprint; equal fingerprints
+have likeness 1.  Ids of any type with an order will do; null ids come first, equal ids are ordered by a hash of their
+text; after the last document comes the first; a single document is its own next.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import SLICE_BYTES, documents, mix, raw, record, slices, u64
+from quarry.llm.common import SLICE_BYTES, documents, id_field, mix, raw, record, slices, u64
 
 #: The band of document frequencies, as shares of all distinct texts.
 RAREST = 1 / 2000
@@ -35,12 +38,13 @@ COMMONEST = 1 / 50
 FEWEST = 32
 SUBSETS = 64
 LEVELS = 3
-#: Terms longer than this many bytes are never in the lexicon; terms a counting worker holds before it passes them on.
-LONGEST_TERM = 64
+#: Terms of more bytes than this are known by a 128-bit hash; terms a counting worker holds before it passes them on.
+LONG_TERM = 64
 HELD_TERMS = 400_000
-#: Documents of a range of ids in the mean, and the most ranges.
+#: Documents of a range of ids in the mean, the most ranges, and the ids drawn for each to find its bounds.
 RANGE_ROWS = 200
 MOST_RANGES = 1 << 16
+DRAWN = 16
 #: Bits of the map of texts that may have copies (others of the same bit are only sorted out later).
 COPY_BITS = 1 << 24
 _SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64))
@@ -48,7 +52,7 @@ _lexicons: dict[int, tuple[dict[bytes, int], dict[bytes, int]]] = {}
 
 
 def terms(text: bytes) -> set[bytes]:
-    return set(text.lower().split())
+    return {w if len(w) <= LONG_TERM else b"\0" + xxhash.xxh3_128_digest(w) for w in text.lower().split()}
 
 
 def copies(rows: DataFrame) -> tuple[int, np.ndarray]:
@@ -102,7 +106,7 @@ def vocabulary(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMO
     rows = documents(docs, text_col, text_col).select("text", F.xxhash64("text").alias("th"))
     total, copied = copies(rows)
     low = max(1, int(np.ceil(rarest * total)))
-    found = document_frequencies(rows, copied).filter((F.col("n") >= low) & (F.length("term") <= LONGEST_TERM)).toPandas()
+    found = document_frequencies(rows, copied).filter(F.col("n") >= low).toPandas()
     told = sorted(zip(found["n"].tolist(), map(bytes, found["term"]), strict=True))
     high = max(low, commonest * total)
     return sorted(t for n, t in told if n <= high), [t for n, t in told if n > high]
@@ -184,31 +188,35 @@ def text_of(level: int, hashes: np.ndarray) -> str:
 def in_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``range, guest, doc_id, th, packed`` (the text, compressed for its way) in ranges of ascending ids, each with
     the row that follows its last one as a guest."""
-    rows = documents(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = documents(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
+    id_type, id_arrow = id_field(rows)
     total = rows.count()
     wanted = max(1, min(MOST_RANGES, total // RANGE_ROWS))
-    cuts = sorted(set(rows.approxQuantile("doc_id", [k / wanted for k in range(1, wanted)], 0.25 / wanted))) if wanted > 1 else []
-    bound = np.array(cuts, dtype=np.int64)
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("range", pa.int32())])
+    # bounds from a sample of ids and texts' hashes: they decide where a row goes, not what comes out
+    drawn = rows.select("doc_id", "th").sample(min(1.0, 1.2 * DRAWN * wanted / max(total, 1)), 7).limit(2 * DRAWN * wanted) if wanted > 1 else rows.select("doc_id", "th").limit(0)
+    order = lambda i, th: (i is not None, i if i is not None else th, th)  # nulls first; equal ids by the text's hash
+    picked = sorted(order(*r) for r in drawn.collect())
+    cuts = sorted({picked[len(picked) * k // wanted] for k in range(1, wanted)}) if picked else []
+    schema = pa.schema([("doc_id", id_arrow), ("th", pa.int64()), ("range", pa.int32())])
 
-    def ranges_of(ids: pa.Array) -> np.ndarray:
-        known = ids.is_null().to_numpy(zero_copy_only=False)
-        return np.where(known, 0, np.searchsorted(bound, ids.fill_null(0).to_numpy(), side="left")).astype(np.int32)
+    def ranges_of(ids: pa.Array, th: pa.Array) -> np.ndarray:
+        return np.array([bisect_right(cuts, order(*x)) for x in zip(ids.to_pylist(), th.to_pylist(), strict=True)], np.int32)
 
     def place(batches):
         for b in batches:
-            yield record(schema, b.column("doc_id"), b.column("th"), ranges_of(b.column("doc_id")))
+            yield record(schema, b.column("doc_id"), b.column("th"), ranges_of(b.column("doc_id"), b.column("th")))
 
-    first = F.min(F.struct(F.coalesce(F.col("doc_id").isNotNull(), F.lit(False)).alias("known"), "doc_id", "th")).alias("f")
-    firsts = rows.select("doc_id", "th").mapInArrow(place, "doc_id long, th long, range int").groupBy("range").agg(first).select("range", "f.doc_id", "f.th").collect()
-    firsts = sorted((r["range"], r["doc_id"], r["th"]) for r in firsts) if all(r["doc_id"] is not None for r in firsts) else sorted(((r["range"], r["doc_id"], r["th"]) for r in firsts), key=lambda r: r[0])
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th")).alias("f")
+    firsts = rows.select("doc_id", "th").mapInArrow(place, f"doc_id {id_type}, th long, range int").groupBy("range").agg(first).select("range", "f.doc_id", "f.th").collect()
+    firsts = sorted(((r["range"], r["doc_id"], r["th"]) for r in firsts), key=lambda r: r[0])
     before = {(i, th): firsts[k - 1][0] for k, (_, i, th) in enumerate(firsts)}  # the range before a first row, cyclic
-    out = pa.schema([("range", pa.int32()), ("guest", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("packed", pa.binary())])
+    out = pa.schema([("range", pa.int32()), ("guest", pa.int32()), ("doc_id", id_arrow), ("th", pa.int64()), ("packed", pa.binary())])
 
     def route(batches):
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
         for part in slices(batches):
-            ids, th, at = part.column("doc_id"), part.column("th"), ranges_of(part.column("doc_id"))
+            ids, th = part.column("doc_id"), part.column("th")
+            at = ranges_of(ids, th)
             guests = [(k, before[key]) for k, key in enumerate(zip(ids.to_pylist(), th.to_pylist(), strict=True)) if key in before]
             text = pa.array([pack(t or b"") for t in raw(part)], pa.binary())
             yield record(out, at, np.zeros(len(at), np.int32), ids, th, text)
@@ -216,7 +224,7 @@ def in_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 k = pa.array([g[0] for g in guests])
                 yield record(out, [g[1] for g in guests], [1] * len(guests), ids.take(k), th.take(k), text.take(k))
 
-    return rows.mapInArrow(route, "range int, guest int, doc_id long, th long, packed binary").repartition("range").sortWithinPartitions("range", "guest", "doc_id", "th")
+    return rows.mapInArrow(route, f"range int, guest int, doc_id {id_type}, th long, packed binary").repartition("range").sortWithinPartitions("range", "guest", "doc_id", "th")
 
 
 def edited(text: str, following: str) -> str:
@@ -228,7 +236,8 @@ def edited(text: str, following: str) -> str:
 def fingerprint_documents(docs: DataFrame, words: list[bytes], id_col: str = "doc_id", text_col: str = "text", common: list[bytes] | None = None) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``."""
     shared = docs.sparkSession.sparkContext.broadcast((words, common or []))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    id_type, id_arrow = id_field(docs, id_col)
+    schema = pa.schema([("doc_id", id_arrow), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def apply(batches):
         (known, often), held, unpack = _table(shared), None, zstandard.ZstdDecompressor().decompress
@@ -250,7 +259,7 @@ def fingerprint_documents(docs: DataFrame, words: list[bytes], id_col: str = "do
                 likeness(level[a], hashes[a], level[e], hashes[e]), likeness(level[a], hashes[a], level[nxt], hashes[nxt]),
             )
 
-    ddl = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    ddl = f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_ranges(docs, id_col, text_col).mapInArrow(apply, ddl)
 
 

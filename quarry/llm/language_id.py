@@ -11,14 +11,14 @@ Defined results: null text, or text without a letter: ``und``, score 0, not ambi
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import documents, record, remainder, slices
+from quarry.llm.common import documents, id_field, record, remainder, slices
 
 UNKNOWN = "und"
 #: Hashed features: all byte pairs, then byte triples folded into as many buckets; the last one weighs nothing.
@@ -28,7 +28,7 @@ FEATURES = 2 * PAIRS
 SAMPLE_PER_LANGUAGE = 3000
 #: Posterior of the best language below which a prediction counts as ambiguous.
 AMBIGUOUS_BELOW = 0.6
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # signs such as 2 or 1/2 in one character are no letters
 
 
 @dataclass
@@ -123,8 +123,8 @@ def decode(model: LanguageModel, margins: np.ndarray) -> tuple[np.ndarray, np.nd
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", ambiguous_below: float = AMBIGUOUS_BELOW) -> DataFrame:
     """``doc_id, lang_pred, score, ambiguous`` for every row, from its text alone."""
     rows = documents(docs, id_col, text_col)
-    id_type = pa.string() if dict(rows.dtypes)["doc_id"] == "string" else pa.int64()
-    schema = pa.schema([("doc_id", id_type), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
+    id_type, id_arrow = id_field(rows)
+    schema = pa.schema([("doc_id", id_arrow), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages times features at most
 
     def apply(batches):
@@ -144,7 +144,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                 score[told], unsure[told] = sure, sure < ambiguous_below
             yield record(schema, part.column("doc_id"), names, score, unsure)
 
-    return rows.mapInArrow(apply, f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(apply, f"doc_id {id_type}, lang_pred string, score double, ambiguous boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarry.llm.common import documents, raw, record, slices
+from quarry.llm.common import documents, id_field, raw, record, slices
 from quarry.llm.segments import WordEncoder
 from quarry.storage import materialise
 
@@ -36,8 +36,8 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col:
     No token of this vocabulary crosses white space, and its normaliser treats each side on its own, so the words
     between ASCII white space are encoded one by one, each distinct word once."""
     rows = documents(docs, id_col, text_col)
-    id_type = dict(rows.dtypes)["doc_id"]
-    schema = pa.schema([("doc_id", pa.string() if id_type == "string" else pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    id_type, id_arrow = id_field(rows)
+    schema = pa.schema([("doc_id", id_arrow), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def apply(batches):
         encoder, wide = WordEncoder.of(vocabulary), 4 * capacity
@@ -113,8 +113,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     offsets = salted.groupBy("length", "series").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     rows = numbered.join(offsets, ["length", "series"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("before")).alias("nth"))
     shared = pieces.sparkSession.sparkContext.broadcast(table)  # its size depends on the capacity alone
-    id_type = dict(pieces.dtypes)["doc_id"]
-    schema = pa.schema([("doc_id", pa.string() if id_type == "string" else pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    id_type, id_arrow = id_field(pieces)
+    schema = pa.schema([("doc_id", id_arrow), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def assign(batches):
         keys, first, at = shared.value.T

@@ -7,34 +7,37 @@ minimiser occurs at a second place: else none of these windows can occur twice.
 
 1. minimisers of all texts are counted; those that occur twice go back to their texts, with a mark if frequent;
 2. the texts send the strings of those minimisers;
-3. a bucket holds the strings of whole minimisers, at most ``FREQUENT`` each, and finds their repeated windows
-   with the operator's own index;
-4. a frequent minimiser (a line or passage of very many texts) would overload a bucket: its strings are first
-   counted by content, then the windows of the distinct ones by a 128-bit hash, all with partial sums;
+3. a bucket holds the strings of whole minimisers and finds their repeated windows with the operator's own index;
+4. strings of a frequent minimiser (a line or passage of very many texts) are counted by content first, so that a
+   bucket holds distinct ones with their counts.  If these are still more than ``BODIES``, they are cut again, into
+   runs of windows that share the minimiser of longer grams as well, and so on up to grams as long as the window, where
+   a bucket holds a single string.  So every bucket is bounded, and every window is judged by the operator's index;
 5. the repeated windows go back to the texts.
 
-Every step is a shuffle on a uniform hash, holds a bounded group in memory, and can be repeated after a loss.
-A row is known by a 64-bit hash of its id and text, so repeated rows and clashing ids do no harm.
+Every step is a shuffle on a uniform hash, holds a bounded group in memory, and can be repeated after a loss.  Joins on
+minimisers and contents take the keys of at least 1/``HEAVY`` of all rows (at most ``HEAVY`` keys) by a broadcast.
+Texts and strings are told apart by 128 bits, so repeated rows and clashing ids do no harm.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.common import documents, mix, raw, record, slices, u64
 from quarry.storage import materialise
 
-#: Places of a minimiser beyond which its windows are counted by hash instead of in one bucket.
+#: Places of a minimiser beyond which its strings are counted by content first, and the distinct strings of a bucket
+#: beyond which they are cut by a longer minimiser.
 FREQUENT = 300
-#: Repeated windows of a frequent minimiser that go to its strings as one list, in the mean, and the most lists (a
-#: string has up to window - gram + 1 windows, so that lists are fewer rows).
-LISTED = 1024
-MOST_LISTS = 16
+BODIES = 2000
+#: A join's keys with at least this fraction of its rows are broadcast instead of shuffled.
+HEAVY = 10_000
 #: Windows that are treated in one vectorised step, bytes of text in a slice, and of distinct strings in an index.
 BLOCK = 1 << 19
 SLICE = 1 << 19
@@ -124,33 +127,65 @@ def intervals(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def covered(docs: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame, spread: str, payload: list[str]) -> DataFrame:
+    """``left`` with the ``payload`` of the row of ``right`` (unique by ``keys``), where there is one; rows of ``left``
+    whose keys are in ``heavy`` (few, and all of them in ``right``) get it by a broadcast and stay spread by the hash of
+    column ``spread``."""
+    there = F.struct(*payload)
+    few = right.join(F.broadcast(heavy), keys, "left_semi").select(*keys, there.alias("_few"))
+    rest = right.join(F.broadcast(heavy), keys, "left_anti").select(*keys, there.alias("_rest"), F.lit(0).alias("_salt"))
+    salted = left.join(F.broadcast(few), keys, "left").withColumn("_salt", F.when(F.col("_few").isNotNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(100_003))).otherwise(0).cast("int"))
+    both = salted.join(rest, [*keys, "_salt"], "left").withColumn("_got", F.coalesce("_few", "_rest")).filter("_got is not null")
+    return both.select(*left.columns, *[F.col("_got")[c].alias(c) for c in payload])
+
+
+def _heavy(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of a table of counts ``n`` that hold 1/HEAVY of the sum or more."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.filter(F.col("n") >= max(total / HEAVY, 2)).select(*keys)
+
+
+def covered(docs: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str = "text", frequent: int | None = None, bodies: int | None = None) -> DataFrame:
     """``doc_id, text, starts, ends``: each row with the ranges of elements that repeated windows cover (the
     ranges may touch or overlap, and the lists are null where there are none)."""
-    rows = documents(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
-    places = rows.select("text", "row").mapInArrow(_minimisers(kind), "h long, row long")
-    # written, so that the join below reads it by a shuffle of its own and a frequent minimiser can be split
-    twice = materialise(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > FREQUENT).alias("hot")))
-    wanted = places.join(twice, "h").groupBy("row").agg(F.collect_list("h").alias("hs"), F.collect_list("hot").alias("hots"))
-    strings = materialise(rows.select("row", "text").join(wanted, "row").mapInArrow(_strings(kind), "h long, row long, start long, many int, body binary, hot boolean"))
-    few = strings.filter("not hot").select("h", "row", "start", "body").repartition("h").sortWithinPartitions("h")
-    marks = few.mapInArrow(_buckets(kind), "row long, a long, b long")
-
-    hot = strings.filter("hot").withColumn("content", F.xxhash64("body"))
-    distinct = hot.groupBy("h", "content").agg(F.count("*").alias("n"), F.first("body").alias("body"))
-    windows = distinct.mapInArrow(_windows(kind), "h long, content long, at int, w1 long, w2 long, n long")
-    found = materialise(windows.groupBy("h", "w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "w1", "w2"))
-    sizes = found.groupBy("h").agg(F.count("*").alias("m"))
-    # a minimiser's repeated windows go to its strings in a few lists if there are few, else window by window
-    short = sizes.filter(F.col("m") <= LISTED * MOST_LISTS).select("h", F.ceil(F.col("m") / LISTED).cast("int").alias("lists"))
-    lists = found.join(short, "h").groupBy("h", F.pmod(F.xxhash64("w1"), F.col("lists")).alias("list")).agg(F.collect_list(F.col("w1").bitwiseXOR(F.col("w2"))).alias("known"))
-    listed = distinct.select("h", "content", "body").join(lists, "h").mapInArrow(_listed(kind), "h long, content long, hit array<int>")
-    single = windows.join(found.join(short, "h", "left_anti"), ["h", "w1", "w2"]).select("h", "content", F.array("at").alias("hit"))
-    hits = listed.unionByName(single).groupBy("h", "content").agg(F.flatten(F.collect_list("hit")).alias("hit"))
-    marks_hot = hot.select("h", "content", "row", "start").join(hits, ["h", "content"]).select("row", "start", "hit").mapInArrow(_spread(kind), "row long, a long, b long")
-
-    ranges = marks.unionByName(marks_hot).groupBy("row").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
-    return rows.join(ranges, "row", "left").select("doc_id", "text", "starts", "ends")
+    frequent, bodies = frequent or FREQUENT, bodies or BODIES
+    rows = documents(docs, id_col, text_col).withColumns({"row": F.xxhash64("doc_id", "text"), "row2": F.xxhash64("text", F.lit(1), "doc_id")})
+    places = rows.select("text", "row").mapInArrow(_minimisers(kind), "h long, row long")  # rows of equal hash only get each other's minimisers
+    counted = materialise(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    twice = counted.select("h", (F.col("n") > frequent).alias("hot"))
+    wanted = spread_join(places, twice, ["h"], _heavy(counted, ["h"]), "row", ["hot"]).groupBy("row").agg(F.collect_list("h").alias("hs"), F.collect_list("hot").alias("hots"))
+    strings = materialise(rows.select("row", "row2", "text").join(wanted, "row").mapInArrow(_strings(kind), "h long, row long, row2 long, start long, body binary, c1 long, c2 long"))
+    few = strings.filter("c1 is null").select("h", "row", "row2", "start", "body").repartition("h").sortWithinPartitions("h")
+    marks = few.mapInArrow(_buckets(kind), "row long, row2 long, a long, b long")
+
+    often = strings.filter("c1 is not null")
+    distinct = materialise(often.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.first("h").alias("h"), F.first("body").alias("body")))
+    hits = _hits(distinct, kind, bodies).groupBy("c1", "c2").agg(F.flatten(F.collect_list("hit")).alias("hit"))
+    told = spread_join(often.select("c1", "c2", "row", "row2", "start"), hits, ["c1", "c2"], _heavy(distinct.select("c1", "c2", "n"), ["c1", "c2"]), "row", ["hit"])
+    marks_often = told.select("row", "row2", "start", "hit").mapInArrow(_spread(kind), "row long, row2 long, a long, b long")
+
+    ranges = marks.unionByName(marks_often).groupBy("row", "row2").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
+    return rows.join(ranges, ["row", "row2"], "left").select("doc_id", "text", "starts", "ends")
+
+
+def _hits(distinct: DataFrame, kind: Kind, bodies: int) -> DataFrame:
+    """``c1, c2, hit``: which windows (numbers) of distinct strings (``c1, c2, n, h, body``) are repeated, counting each
+    string ``n`` times.  A string may come in several rows."""
+    sizes = materialise(distinct.groupBy("h").agg(F.count("*").alias("n")))
+    crowded = sizes.filter(F.col("n") > bodies)
+    shape = "c1 long, c2 long, hit array<int>"
+    if kind.gram >= kind.window or not crowded.limit(1).count():
+        return distinct.repartition("h").sortWithinPartitions("h").mapInArrow(_counted(kind), shape)
+    dealt = materialise(spread_join(distinct, sizes.select("h", (F.col("n") > bodies).alias("crowded")), ["h"], _heavy(sizes, ["h"]), "c1", ["crowded"]))
+    found = dealt.filter("not crowded").drop("crowded").repartition("h").sortWithinPartitions("h").mapInArrow(_counted(kind), shape)
+    longer = replace(kind, gram=kind.window if kind.gram > kind.window // 3 else kind.window * 3 // 5)
+    parts = materialise(dealt.filter("crowded").select("c1", "c2", "n", "body").mapInArrow(_cut(longer), "p1 long, p2 long, at int, n long, h long, c1 long, c2 long, body binary"))
+    within = materialise(parts.groupBy("c1", "c2").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.first("h").alias("h"), F.first("body").alias("body")))
+    below = _hits(within.drop("parts"), longer, bodies).groupBy("c1", "c2").agg(F.flatten(F.collect_list("hit")).alias("hit"))
+    told = within.select("c1", "c2").join(below, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("hit", F.array().cast("array<int>")).alias("hit"))
+    heavy = _heavy(within.select("c1", "c2", F.col("parts").alias("n")), ["c1", "c2"])
+    back = spread_join(parts.select("c1", "c2", "p1", "p2", "at"), told, ["c1", "c2"], heavy, "p1", ["hit"]).filter(F.size("hit") > 0)
+    return found.unionByName(back.select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), F.transform("hit", lambda x: x + F.col("at")).alias("hit")))
 
 
 def _minimisers(kind: Kind):
@@ -166,11 +201,11 @@ def _minimisers(kind: Kind):
 
 
 def _strings(kind: Kind):
-    schema = pa.schema([("h", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("many", pa.int32()), ("body", pa.binary()), ("hot", pa.bool_())])
+    schema = pa.schema([("h", pa.int64()), ("row", pa.int64()), ("row2", pa.int64()), ("start", pa.int64()), ("body", pa.binary()), ("c1", pa.int64()), ("c2", pa.int64())])
 
     def apply(batches):
         for part in slices(batches, limit=SLICE):
-            e, row = kind.elements([t or b"" for t in raw(part)]), part.column("row").to_numpy()
+            e, row, row2 = kind.elements([t or b"" for t in raw(part)]), part.column("row").to_numpy(), part.column("row2").to_numpy()
             lists, hots = part.column("hs"), part.column("hots")
             owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
             own = lambda text, h: mix(h ^ mix(text.astype(np.uint64)))
@@ -183,13 +218,25 @@ def _strings(kind: Kind):
                 if not len(sel):
                     continue
                 t, s, m = text[sel], first[sel], many[sel]
-                lo, hi = e.lo[s].tolist(), e.hi[s + m + kind.window - 2].tolist()
-                body = [kind.canonical(e.blob[a:b]) for a, b in zip(lo, hi, strict=True)]
-                yield record(schema, h[sel].view(np.int64), row[t], s - begin[t], m.astype(np.int32), body, np.isin(key[sel], hot_keys))
+                body, hot = _bodies(e, kind, s, m), np.isin(key[sel], hot_keys)
+                c1, c2 = _contents(body, hot)
+                yield record(schema, h[sel].view(np.int64), row[t], row2[t], s - begin[t], body, c1, c2)
 
     return apply
 
 
+def _bodies(e: Elements, kind: Kind, first: np.ndarray, many: np.ndarray) -> list[bytes]:
+    """The strings of runs of ``many`` windows from flat positions on."""
+    lo, hi = e.lo[first].tolist(), e.hi[first + many + kind.window - 2].tolist()
+    return [kind.canonical(e.blob[a:b]) for a, b in zip(lo, hi, strict=True)]
+
+
+def _contents(bodies: list[bytes], wanted: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """128-bit hashes of the wanted strings as two columns, null for the others."""
+    told = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) if w else bytes(16) for x, w in zip(bodies, wanted.tolist(), strict=True)), np.int64).reshape(-1, 2)
+    return tuple(pa.array(told[:, k], pa.int64(), mask=~wanted) for k in (0, 1))
+
+
 def _whole_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
     """Regroups sorted batches so that all rows of one ``h`` come together, about ``limit`` bytes at a time."""
     held: list[pa.RecordBatch] = []
@@ -210,70 +257,63 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.
 
 
 def _buckets(kind: Kind):
-    schema = pa.schema([("row", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("row", pa.int64()), ("row2", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def apply(batches):
         for table in _whole_groups(batches, INDEXED):
             number: dict[bytes, int] = {}
             which = np.array([number.setdefault(x, len(number)) for x in table.column("body").to_pylist()])
             spans = [intervals(hit) for hit in kind.repeated(list(number), np.bincount(which), kind.window)]
-            row, start = table.column("row").to_pylist(), table.column("start").to_pylist()
-            out = [(r, s + a, s + b + kind.window - 1) for r, s, w in zip(row, start, which.tolist(), strict=True) for a, b in spans[w]]
+            row, row2, start = (table.column(c).to_pylist() for c in ("row", "row2", "start"))
+            out = [(r, r2, s + a, s + b + kind.window - 1) for r, r2, s, w in zip(row, row2, start, which.tolist(), strict=True) for a, b in spans[w]]
             if out:
                 yield record(schema, *map(list, zip(*out, strict=True)))
 
     return apply
 
 
-def _windows(kind: Kind):
-    schema = pa.schema([("h", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64())])
+def _counted(kind: Kind):
+    """The repeated windows of distinct strings, buckets of whole minimisers at a time."""
+    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("hit", pa.list_(pa.int32()))])
 
     def apply(batches):
-        for part in slices(batches, "body", SLICE // 8):
-            e = kind.elements(part.column("body").to_pylist())
-            many = e.sizes - kind.window + 1
-            text = np.repeat(np.arange(len(many)), many)
-            at = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-            flat = (np.cumsum(e.sizes) - e.sizes)[text] + at
-            w1, w2 = (gram_hash(e.values, kind.window, b)[flat].view(np.int64) for b in _BASES)
-            h, content, n = (part.column(c).to_numpy()[text] for c in ("h", "content", "n"))
-            yield record(schema, h, content, at.astype(np.int32), w1, w2, n)
+        for table in _whole_groups(batches, INDEXED):
+            found = kind.repeated(table.column("body").to_pylist(), table.column("n").to_numpy(), kind.window)
+            keep = [k for k, hit in enumerate(found) if hit.any()]
+            if keep:
+                at = pa.array(keep)
+                c1, c2 = (table.column(c).combine_chunks().take(at) for c in ("c1", "c2"))
+                yield record(schema, c1, c2, [np.flatnonzero(found[k]).astype(np.int32) for k in keep])
 
     return apply
 
 
-def _listed(kind: Kind):
-    schema = pa.schema([("h", pa.int64()), ("content", pa.int64()), ("hit", pa.list_(pa.int32()))])
+def _cut(kind: Kind):
+    """Strings cut into runs of windows that share the minimiser of ``kind``."""
+    schema = pa.schema([("p1", pa.int64()), ("p2", pa.int64()), ("at", pa.int32()), ("n", pa.int64()), ("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("body", pa.binary())])
 
     def apply(batches):
         for part in slices(batches, "body", SLICE // 8):
             e = kind.elements(part.column("body").to_pylist())
-            begin, out = np.cumsum(e.sizes) - e.sizes, []
-            one, two = (gram_hash(e.values, kind.window, b) for b in _BASES)
-            own, lists = one ^ two, part.column("known")
-            known, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            for k, (a, n) in enumerate(zip(begin.tolist(), (e.sizes - kind.window + 1).tolist(), strict=True)):
-                mine = np.sort(known[at[k] : at[k + 1]])
-                place = np.minimum(np.searchsorted(mine, own[a : a + n]), len(mine) - 1)
-                out.append(np.flatnonzero(mine[place] == own[a : a + n]).astype(np.int32))
-            keep = [k for k, hit in enumerate(out) if len(hit)]
-            if keep:
-                rows = pa.array(keep)
-                yield record(schema, part.column("h").take(rows), part.column("content").take(rows), [out[k] for k in keep])
+            begin = np.cumsum(e.sizes) - e.sizes
+            p1, p2, n = (part.column(c).to_numpy() for c in ("c1", "c2", "n"))
+            for text, h, first, many in runs(e, kind):
+                body = _bodies(e, kind, first, many)
+                yield record(schema, p1[text], p2[text], (first - begin[text]).astype(np.int32), n[text], h.view(np.int64), *_contents(body, np.ones(len(body), bool)), body)
 
     return apply
 
 
 def _spread(kind: Kind):
-    schema = pa.schema([("row", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("row", pa.int64()), ("row2", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def apply(batches):
         for b in batches:
             out = []
-            for r, s, hit in zip(*(b.column(c).to_pylist() for c in ("row", "start", "hit")), strict=True):
+            for r, r2, s, hit in zip(*(b.column(c).to_pylist() for c in ("row", "row2", "start", "hit")), strict=True):
                 mask = np.zeros(max(hit) + 1, bool)
                 mask[hit] = True
-                out += [(r, s + x, s + y + kind.window - 1) for x, y in intervals(mask)]
+                out += [(r, r2, s + x, s + y + kind.window - 1) for x, y in intervals(mask)]
             if out:
                 yield record(schema, *map(list, zip(*out, strict=True)))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm import repeats
-from quarry.llm.common import mix, raw, record, slices
+from quarry.llm.common import id_field, mix, raw, record, slices
 
 WINDOW = 200
 GRAM = 32
@@ -127,8 +127,8 @@ def byte_windows(window: int = WINDOW, gram: int = GRAM) -> repeats.Kind:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``texts``, the kept bytes as ``kept``."""
     rows = repeats.covered(docs, byte_windows(window), id_col, text_col)
-    id_type = dict(rows.dtypes)["doc_id"]
-    names = [("doc_id", pa.string() if id_type == "string" else pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
+    id_type, id_arrow = id_field(rows)
+    names = [("doc_id", id_arrow), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
     schema = pa.schema(names if texts else names[:5])
 
     def apply(batches):

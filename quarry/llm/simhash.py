@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import documents, raw, record, slices
+from quarry.llm.common import documents, id_field, raw, record, slices
 from quarry.operators.components import connected_components, forest
 from quarry.storage import materialise
 
@@ -68,8 +68,8 @@ def fingerprint_texts(texts: list[bytes], size: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (the fingerprint as a signed long)."""
     rows = documents(docs, id_col, text_col)
-    id_type = dict(rows.dtypes)["doc_id"]
-    schema = pa.schema([("doc_id", pa.string() if id_type == "string" else pa.int64()), ("fp", pa.int64())])
+    id_type, id_arrow = id_field(rows)
+    schema = pa.schema([("doc_id", id_arrow), ("fp", pa.int64())])
 
     def apply(batches):
         for part in slices(batches):
@@ -232,8 +232,8 @@ def wide_fingerprints(docs: DataFrame, words: int, shingle: int = NEAR_SHINGLE,
     from quarry.llm.common import mix
 
     rows = documents(docs, id_col, text_col)
-    id_type = dict(rows.dtypes)["doc_id"]
-    schema = pa.schema([("doc_id", pa.string() if id_type == "string" else pa.int64()), ("fp", pa.binary()), ("own", pa.binary()), ("shingles", pa.int64())])
+    id_type, id_arrow = id_field(rows)
+    schema = pa.schema([("doc_id", id_arrow), ("fp", pa.binary()), ("own", pa.binary()), ("shingles", pa.int64())])
     seeds = mix(np.arange(1, words + 1, dtype=np.uint64))
 
     def apply(batches):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm import repeats
-from quarry.llm.common import mix, raw, record, slices
+from quarry.llm.common import id_field, mix, raw, record, slices
 
 WINDOW = 35
 GRAM = 8
@@ -72,8 +72,8 @@ def word_windows(window: int = WINDOW, gram: int = GRAM) -> repeats.Kind:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` and, with ``texts``, the kept words as ``kept``."""
     rows = repeats.covered(docs, word_windows(window), id_col, text_col)
-    id_type = dict(rows.dtypes)["doc_id"]
-    names = [("doc_id", pa.string() if id_type == "string" else pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
+    id_type, id_arrow = id_field(rows)
+    names = [("doc_id", id_arrow), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
     schema = pa.schema(names if texts else names[:4])
 
     def apply(batches):

@@ -24,9 +24,9 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import documents, raw, record, slices
+from quarry.llm.common import documents, id_field, raw, record, slices
 from quarry.storage import materialise
 
 #: Bounds of the training samples: texts of the scorer, labelled documents of the toxic head.
@@ -149,15 +149,17 @@ def expectation_maximisation(patterns: dict[str, int], rounds: int = 200) -> dic
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels by accelerated gradient; the last weight is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = v = np.zeros(x.shape[1])
-    step = 4 / max(float((x * x).sum(axis=1).max(initial=1)), 1e-9)
+    x, y = np.hstack([x, np.ones((len(x), 1), np.float32)]), y.astype(np.float32)
+    w = v = np.zeros(x.shape[1], np.float32)
+    step = np.float32(4 / max(float((x * x).sum(axis=1).max(initial=1)), 1e-9))
     for k in range(rounds):
-        g = x.T @ (1 / (1 + np.exp(-np.clip(x @ v, -60, 60))) - y) / max(len(x), 1) + ridge * v
+        g = x.T @ (1 / (1 + np.exp(-np.clip(x @ v, -60, 60))) - y) / np.float32(max(len(x), 1)) + np.float32(ridge) * v
         new = v - step * g
-        v = new + k / (k + 3) * (new - w)
+        v = new + np.float32(k / (k + 3)) * (new - w)
+        if np.abs(new - w).max() < 1e-6:
+            break
         w = new
-    return w
+    return w.astype(np.float64)
 
 
 def marks_in(text: str) -> set[str]:
@@ -192,13 +194,14 @@ def marks(rows: DataFrame) -> list[str]:
         for part in slices(batches):
             yield record(held, [sorted(marks_in(t) & candidates) for t in part.column("text").to_pylist()])
 
-    left, out = [set(r["marks"]) for r in rows.filter("toxic").select("text").mapInArrow(hold, "marks array<string>").collect()], []
+    left, out = [set(r["marks"]) for r in rows.filter("toxic").select("text").mapInArrow(hold, "marks array<string>").limit(2 * LABELLED_SAMPLE).collect()], []
+    gain = Counter(m for ms in left for m in ms)
     while True:
-        gain = Counter(m for ms in left for m in ms)
         best = max(gain.items(), key=lambda x: (x[1], -len(x[0]), x[0]), default=(None, 0))
         if best[1] < LEAST_GAIN:
             return out
         out.append(best[0])
+        gain.subtract(m for ms in left if best[0] in ms for m in ms)
         left = [ms for ms in left if best[0] not in ms]
 
 
@@ -209,10 +212,11 @@ class QualityModel:
     marks: list[str]
 
 
-def _share(rows: DataFrame, bound: int) -> Column:
-    """A filter that keeps about ``bound`` rows, picked by a hash of their id."""
+def _drawn(rows: DataFrame, bound: int) -> DataFrame:
+    """About ``bound`` rows, picked by a hash of the whole row (equal rows come together: what gathers them has a limit
+    of its own)."""
     share = min(1.0, bound / max(rows.count(), 1))
-    return F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30) < share
+    return rows.filter(F.xxhash64(*rows.columns).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30) < share)
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
@@ -239,14 +243,14 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
             if stats:
                 yield record(drawn, [votes_of(s) for s in stats], [x.astype(np.float16).tobytes() for x in features(stats, triples)])
 
-    sample = rows.filter(_share(rows, SAMPLE)).select("text").mapInArrow(draw, "votes string, x binary").toPandas()
+    sample = _drawn(rows, SAMPLE).select("text").mapInArrow(draw, "votes string, x binary").limit(2 * SAMPLE).toPandas()
     x = np.frombuffer(b"".join(map(bytes, sample["x"])), np.float16).astype(np.float32).reshape(len(sample), -1) if len(sample) else np.zeros((0, _SHAPES + _BUCKETS), np.float32)
     weights = train(x, np.array([posterior[v] for v in sample["votes"]]))
 
     found: list[str] = []
     if labels is not None:
         told = labels.select(F.col("doc_id"), "toxic").filter("toxic is not null")
-        picked = F.broadcast(told.filter(_share(told, LABELLED_SAMPLE)))  # about as many rows as the bound says
+        picked = F.broadcast(_drawn(told, LABELLED_SAMPLE).limit(2 * LABELLED_SAMPLE))
         found = marks(rows.join(picked, "doc_id").select("text", "toxic"))
     return QualityModel(posterior, weights, found)
 
@@ -277,8 +281,8 @@ def predict(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_c
     """``doc_id, quality_score, weak_label, toxic_words, keep`` for every row; ``weak_label`` is the posterior of
     the row's votes, ``toxic_words`` its number of distinct words with a toxic mark."""
     rows = documents(docs, id_col, text_col)
-    id_type = dict(rows.dtypes)["doc_id"]
-    schema = pa.schema([("doc_id", pa.string() if id_type == "string" else pa.int64()), ("quality_score", pa.float64()), ("weak_label", pa.float64()), ("toxic_words", pa.int32()), ("keep", pa.bool_())])
+    id_type, id_arrow = id_field(rows)
+    schema = pa.schema([("doc_id", id_arrow), ("quality_score", pa.float64()), ("weak_label", pa.float64()), ("toxic_words", pa.int32()), ("keep", pa.bool_())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: patterns, weights, marks of the sample
 
     def apply(batches):

@@ -53,17 +53,26 @@ def brute_words(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("frequent", "listed"), [(300, 1024), (4, 1024), (4, 3)])
+@pytest.mark.parametrize(("frequent", "bodies", "heavy"), [(300, 2000, 10_000), (4, 2000, 20), (2, 3, 20), (1, 1, 10_000)])
 @pytest.mark.parametrize(("operator", "brute"), [(rlbwt_dedup, brute_bytes), (superkmer_dedup, brute_words)])
-def test_equals_brute_force(spark, write_docs, monkeypatch, operator, brute, frequent, listed):
+def test_equals_brute_force(spark, write_docs, monkeypatch, operator, brute, frequent, bodies, heavy):
+    """However few strings make a minimiser frequent, a bucket crowded (it is cut again and again) or a key heavy."""
     monkeypatch.setattr(repeats, "FREQUENT", frequent)
-    monkeypatch.setattr(repeats, "LISTED", listed)
-    monkeypatch.setattr(repeats, "MOST_LISTS", 16 if listed > 3 else 4)
+    monkeypatch.setattr(repeats, "BODIES", bodies)
+    monkeypatch.setattr(repeats, "HEAVY", heavy)
     rows = corpus()
     found = Counter(tuple(r) for r in operator.query(spark, write_docs(rows)).collect())
     assert found == Counter(brute(rows, operator.WINDOW))
 
 
+@pytest.mark.parametrize(("operator", "brute"), [(rlbwt_dedup, brute_bytes), (superkmer_dedup, brute_words)])
+def test_a_very_long_text(spark, write_docs, operator, brute):
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randint(0, 5000)}" for _ in range(20_000))
+    rows = [(1, text), (2, text[:30_000] + " other words " + text[30_000:60_000]), (3, None)]
+    assert Counter(tuple(r) for r in operator.query(spark, write_docs(rows)).collect()) == Counter(brute(rows, operator.WINDOW))
+
+
 @pytest.mark.parametrize("operator", [rlbwt_dedup, superkmer_dedup])
 def test_empty_table(spark, write_docs, operator):
     assert operator.query(spark, write_docs([])).collect() == []
