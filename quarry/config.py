@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 @dataclass
 class Config:
+    # The names and defaults of the parameters, and the stored tables' names below.
     input_folder: str = ""
     api_key: str = ""
     cache_root: str = ".cache"
@@ -49,6 +50,8 @@ class Config:
     embedding_dimension: int = 1536
     #: Injected services; None takes the deterministic built-in one.
     extractor: Callable | None = field(default=None, repr=False)
+    #: The text of a PDF from its bytes.
+    pdf_text: Callable[[bytes], str] | None = field(default=None, repr=False)
     embedder: Callable | None = field(default=None, repr=False)
     judge: Callable | None = field(default=None, repr=False)
     answerer: Callable | None = field(default=None, repr=False)

@@ -12,7 +12,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.storage import remove, spark_table
+from quarry.operators.joins import heavy_keys, spread_join
+from quarry.storage import materialise, remove, spark_table
+
+#: Edges from which a hub is worth spreading (fewer fit one task whatever their keys).
+SPREAD_FROM = 1_000_000
 
 
 def forest(pairs: Iterator[tuple]) -> dict:
@@ -56,13 +60,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", f
     contract = lambda df: df.mapInArrow(_contract, f"a {kind}, b {kind}").distinct()
     table, path = spark_table(pairs.distinct() if forests else contract(pairs))
     while True:
-        state = table.groupBy("b").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()["most"]
-        if (state or 1) == 1 and not table.join(table.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
+        state = table.groupBy("b").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("edges")).first()
+        if (state["most"] or 1) == 1 and not table.join(table.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
             break
         both = table.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(table.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        more = both.filter("v > u")
+        if state["edges"] < SPREAD_FROM:
+            named = more.join(least, "u")
+        else:  # the hub of a large component is a heavy key
+            least = materialise(least)
+            named = spread_join(more, least, ["u"], heavy_keys(least, ["u"]), "v", ["m"])
+        large = named.select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        low = large.groupBy("b").agg(F.min("a").alias("m"))  # after the first step no node has many lesser neighbours
         small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("e")).select("e.*").filter("a < b")
         previous, (table, path) = path, spark_table(contract(small.distinct()))
         remove(spark, previous)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quarry.functions.scalars import cosine, dot
 
 BLOCK = 4096
+#: Right blocks that are broadcast (at most BLOCK vectors each); more are shuffled.
+BROADCAST_BLOCKS = 8
 
 
 def _blocks(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
@@ -30,7 +32,11 @@ def topk_join(left: DataFrame, right: DataFrame, k: int, id_col: str = "hex_id",
     a, _ = _blocks(left, id_col, vector_col)
     b, n = _blocks(right, id_col, vector_col)
     kind = dict(left.dtypes)[id_col]
-    pairs = a.select("ids", "vs", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(b.select("block", F.col("ids").alias("ids_b"), F.col("vs").alias("vs_b")), "block").repartition(F.xxhash64("ids", "block"))
+    one, two = a.select("ids", "vs", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")), b.select("block", F.col("ids").alias("ids_b"), F.col("vs").alias("vs_b"))
+    if n <= BROADCAST_BLOCKS:  # counted: left blocks meet the right ones where they are
+        pairs = one.join(F.broadcast(two), "block")
+    else:
+        pairs = one.join(two, "block").repartition(F.xxhash64("ids", "block"))
     arrow = {"string": pa.string()}.get(kind, pa.int64())
     schema = pa.schema([("a", arrow), ("b", arrow), ("sim", pa.float64())])
 

@@ -13,7 +13,8 @@ from quarry.operators.pagerank import pagerank
 from quarry.operators.services import ANSWER_PROMPT
 
 NOTHING_FOUND = "Sorry, no related dataset was found."
-NO_ANSWER = "Sorry, no answer could be generated."
+NO_ANSWER = "Sorry, the answer came back empty."
+FAILED = "Sorry, no answer could be generated."
 
 
 def candidate_count(top_k: int) -> int:
@@ -42,12 +43,12 @@ def dataset_scores(tasks: DataFrame, nodes: DataFrame, edges: DataFrame, offset:
     return near.join(tasks, "id").groupBy(F.col("neighbour").alias("id")).agg(F.max(F.col("score") + offset).alias("score"))
 
 
-def search(query: list[float], vectors: DataFrame, task_nodes: DataFrame, task_edges: DataFrame, nodes: DataFrame, edges: DataFrame, datasets: DataFrame, top_k: int = 5, initial_k: int = 2, similarity: float = 0.85, least: float = 0.6, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
+def search(query: list[float], vectors: DataFrame, task_nodes: DataFrame, task_edges: DataFrame, nodes: DataFrame, edges: DataFrame, datasets: DataFrame, top_k: int = 5, initial_k: int = 2, similarity: float = 0.85, least: float = 0.6, alpha: float = 0.85, other: float = 0.001, offset: float = 0.1, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
     """``rank, score, id, document_id, title, description, link`` of the best datasets for a query vector.  Without
     a seed the ranks are those of the whole task graph."""
     found = seeds(topk_query(vectors, query, initial_k), initial_k, similarity, least)
-    ranks = pagerank(task_nodes, task_edges, found, alpha, max_iter=max_iter, tol=tol)
-    scores = dataset_scores(top_tasks(ranks, found, top_k), nodes, edges)
+    ranks = pagerank(task_nodes, task_edges, found, alpha, other, max_iter=max_iter, tol=tol)
+    scores = dataset_scores(top_tasks(ranks, found, top_k), nodes, edges, offset)
     best = scores.orderBy(F.desc("score"), "id").limit(max(0, top_k)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     return datasets.join(F.broadcast(best), "id").select("rank", "score", "id", "document_id", "title", "description", "link").orderBy("rank")
 
@@ -76,7 +77,7 @@ def answer(task: str, hits: DataFrame, tasks: DataFrame, top_k: int = 5, chat: C
     try:
         return chat([{"role": "user", "content": ANSWER_PROMPT.format(top_k=top_k, context=context, task=task)}]) or NO_ANSWER
     except Exception:
-        return NO_ANSWER
+        return FAILED
 
 
 def wanted(top_k: int, rate: float = 2.0) -> int:

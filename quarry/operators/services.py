@@ -96,18 +96,38 @@ def keywords_in(reply: str) -> list[str]:
     return [*words[:-1], words[-1][:-1] if words[-1].endswith(".") else words[-1]] if words else []
 
 
-def chat_extractor(chat: Callable[[list[dict]], str]) -> Callable[[str], dict]:
-    """Extraction by chat: are datasets used, which, and the keywords of each task."""
+PROMPTS = {"existence": EXISTENCE_PROMPT, "extraction": EXTRACTION_PROMPT, "keywords": KEYWORDS_PROMPT}
+DECOMPOSITION_PROMPT = (
+    "Does this describe one specific research task, or several? Answer with one JSON object: "
+    '{{"is_specific": true or false, "tasks": [the tasks, each a short phrase of its own]}}.\n\n{task}'
+)
+
+
+def decompose(task: str, chat: Callable[[list[dict]], str]) -> list[str]:
+    """The tasks that a description is made of; itself if it is specific or the reply makes no sense."""
+    span = re.search(r"\{.*\}", chat([{"role": "user", "content": DECOMPOSITION_PROMPT.format(task=task)}]), re.S)
+    try:
+        told = json.loads(span[0], strict=False) if span else None
+    except ValueError:
+        told = None
+    found = [t.strip() for t in told.get("tasks") or [] if isinstance(t, str) and t.strip()] if isinstance(told, dict) else []
+    return [task] if not found or told.get("is_specific") is True else found
+
+
+def chat_extractor(chat: Callable[[list[dict]], str], prompts: dict[str, str] | None = None) -> Callable[[str], dict]:
+    """Extraction by chat: are datasets used, which, and the keywords of each task.  ``prompts`` replaces some of
+    ``PROMPTS``."""
+    told = {**PROMPTS, **(prompts or {})}
 
     def extract(text: str) -> dict:
-        messages = [{"role": "system", "content": EXISTENCE_PROMPT}, {"role": "user", "content": text}]
+        messages = [{"role": "system", "content": told["existence"]}, {"role": "user", "content": text}]
         first = chat(messages)
         if not next(iter(json_in_reply(first).values())):
             return {"datasets_used": False, "datasets": []}
-        messages += [{"role": "assistant", "content": first}, {"role": "user", "content": EXTRACTION_PROMPT}]
+        messages += [{"role": "assistant", "content": first}, {"role": "user", "content": told["extraction"]}]
         found = []
         for d in json_in_reply(chat(messages)):
-            reply = chat([{"role": "system", "content": KEYWORDS_PROMPT}, {"role": "user", "content": d.get("task")}])
+            reply = chat([{"role": "system", "content": told["keywords"]}, {"role": "user", "content": d.get("task")}])
             found.append({"title": d.get("title"), "description": d.get("description"), "task_description": d.get("task"), "link": d.get("link"), "task": keywords_in(reply)})
         return {"datasets_used": True, "datasets": found}
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import logging
 from dataclasses import fields
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,7 +16,7 @@ from quarry.config import Config
 from quarry.operators import extract as ex
 from quarry.operators import graph, resolve, search, services
 from quarry.session import ship
-from quarry.sources import files, store
+from quarry.sources import files, pdf, store
 from quarry.storage import materialise
 
 log = logging.getLogger("quarry")
@@ -41,7 +42,7 @@ class Engine:
         )
 
     def table(self, name: str) -> DataFrame:
-        schema = {"preprocessed": schemas.PREPROCESSED, "extractions": schemas.EXTRACTIONS, "documents": schemas.DOCUMENTS, "datasets": schemas.DATASETS, "tasks": schemas.TASKS, "aliases": schemas.ALIASES, "different": schemas.DIFFERENT, "filename_map": "fingerprint string, path string"}
+        schema = {"preprocessed": schemas.PREPROCESSED, "extractions": schemas.EXTRACTIONS, "documents": schemas.DOCUMENTS, "datasets": schemas.DATASETS, "tasks": schemas.TASKS, "aliases": schemas.ALIASES, "different": schemas.DIFFERENT, "filename_map": "fingerprint string, path string", "failed": "path string, reason string"}
         kind = schema.get(name) or (schemas.VECTORS if name.endswith("vectors") else schemas.NODES if name.endswith("nodes") else schemas.EDGES)
         return store.read_table(self.spark, self._path(name), kind)
 
@@ -49,14 +50,15 @@ class Engine:
         store.append(rows, self._path(name))
 
     def _replace(self, name: str, rows: DataFrame) -> None:
-        materialise(rows).write.mode("overwrite").parquet(self._path(name))
+        """Writes beside the old table and then takes its place, so that a crash leaves one of them whole."""
+        store.replace(rows, self._path(name))
 
     # stages
 
     def preprocess(self, folder: str | None = None) -> DataFrame:
         """Reads a folder; returns the files that failed with the reason."""
         found = files.scan_folder(self.spark, folder or self.config.input_folder)
-        texts, failed = files.load_texts(found)
+        texts, failed = files.load_texts(found, self.config.pdf_text or pdf.pdf_text, self.config.preprocess_workers)
         self._append("preprocessed", texts.join(self.table("preprocessed").select("fingerprint"), "fingerprint", "left_anti"))
         self._replace("filename_map", self.table("filename_map").unionByName(files.filename_map(found)).groupBy("fingerprint").agg(F.max("path").alias("path")))
         return failed
@@ -86,8 +88,10 @@ class Engine:
 
     def build_graph(self) -> None:
         nodes, edges = graph.build_graph(self.table("documents"), self.table("datasets"), self.table("tasks"), self.table("nodes"), self.table("edges"))
-        for name, rows in (("nodes", materialise(nodes)), ("edges", materialise(edges))):
-            rows.write.mode("overwrite").parquet(self._path(name))
+        nodes, edges = materialise(nodes), materialise(edges)
+        self._replace("nodes", nodes)
+        self._replace("edges", edges)
+        log.info("graph: %s", self.counts(processed=False))
 
     def link_tasks(self) -> None:
         c, nodes, edges = self.config, self.table("nodes"), self.table("edges")
@@ -116,10 +120,26 @@ class Engine:
         if not self.config.input_folder:
             raise ValueError("input_folder is needed")
         failed = self.preprocess_and_extract()
+        self.finish()
+        log.info("stored: %s", {r["stage"]: r["rows"] for r in self.progress().collect()})
+        return failed
+
+    def finish(self) -> None:
+        """The stages after extraction, up to a searchable graph."""
         for stage in (self.import_all, self.embed, self.build_graph, self.link_tasks, self.merge_datasets, self.separate_tasks):
             log.info("stage %s", stage.__name__)
             stage()
-        return failed
+
+    def counts(self, processed: bool = True) -> dict[str, int]:
+        """Nodes and edges of a graph by type, as ``node document``, ``edge similar_task`` and so on."""
+        name = "processed_" if processed else ""
+        told = self.table(f"{name}nodes").select(F.lit("node").alias("of"), "type").unionByName(self.table(f"{name}edges").select(F.lit("edge").alias("of"), "type"))
+        return {f"{r['of']} {r['type']}": r["n"] for r in told.groupBy("of", "type").agg(F.count("*").alias("n")).collect()}
+
+    def progress(self) -> DataFrame:
+        """``stage, rows``: how much each stage has stored."""
+        names = ("preprocessed", "extractions", "documents", "datasets", "tasks", "task_vectors", "dataset_vectors")
+        return reduce(DataFrame.unionByName, [self.table(n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("stage"), "rows") for n in names])
 
     # queries
 
@@ -127,7 +147,7 @@ class Engine:
         given = {"top_k_datasets": top_k_datasets, "initial_k": initial_k, "similarity_threshold": similarity_threshold, "min_seed_similarity": min_seed_similarity, "pagerank_alpha": pagerank_alpha}
         k, first, similar, least, alpha = (getattr(self.config, n) if v is None else v for n, v in given.items())
         query = [float(x) for x in self.embedder([task.replace("\n", " ")])[0]]
-        return search.search(query, self.table("task_vectors"), self.table("task_nodes"), self.table("task_edges"), self.table("processed_nodes"), self.table("processed_edges"), self.table("datasets"), k, first, similar, least, alpha)
+        return search.search(query, self.table("task_vectors"), self.table("task_nodes"), self.table("task_edges"), self.table("processed_nodes"), self.table("processed_edges"), self.table("datasets"), k, first, similar, least, alpha, self.config.other_seed_weight, self.config.score_offset)
 
     def qa(self, task: str, top_k_datasets: int | None = None, search_rate: float | None = None, with_merged: bool = False, **options) -> str:
         k = self.config.top_k_datasets if top_k_datasets is None else top_k_datasets

@@ -1,12 +1,12 @@
 """The driver's queries: each operator over the driver's tables, and the same in DuckDB SQL.
 
 The stand-ins: a document is an order, its datasets are the names of its parts, their tasks the part types; task
-vectors are ``embeddings``, whose keywords are the first words of the document of the same number.
+vectors are ``embeddings``, whose keywords are the words of the document of the same number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import scalars as S
 from quarry.operators import components, extract, graph, knn, pagerank, resolve, search, services
@@ -14,7 +14,7 @@ from quarry.sources import files, store
 from quarry.storage import materialise
 
 WEAK, STRONG = 0.30, 0.40
-ROUNDS = 10
+TOLERANCE, MOST_ROUNDS = 1e-6, 100  # PageRank stops as it does in the engine
 QUERY_ID = 7
 
 
@@ -28,11 +28,14 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(parts, "l_partkey")
     one = F.struct(F.col("p_name").alias("title"), F.col("p_brand").alias("description"), F.col("p_type").alias("task_description"), F.lit("None").alias("link"), F.split("p_type", " ").alias("task"))
     listed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", one.alias("d")))).alias("x"))
-    return listed.select(F.col("l_orderkey").cast("string").alias("fingerprint"), F.lit(True).alias("datasets_used"), F.col("x.d").alias("datasets"))
+    order = F.col("l_orderkey")
+    used = F.when(order % 10 == 3, F.lit(False)).when(order % 10 != 4, F.lit(True))  # some say no, some say nothing
+    return listed.select(order.cast("string").alias("fingerprint"), used.alias("datasets_used"), F.when(order % 7 != 0, F.col("x.d")).alias("datasets"))
 
 
 def store_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return store.import_extractions(extractions(spark, sf_dir))
+    """Documents, datasets and tasks, each written once for all that a query builds on them."""
+    return tuple(map(materialise, store.import_extractions(materialise(extractions(spark, sf_dir)))))
 
 
 def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +43,7 @@ def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keywords_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.split(F.lower("text"), " "), 1, 6)
+    words = F.array_distinct(F.split(F.lower("text"), " "))
     return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words.alias("keywords"))
 
 
@@ -69,15 +72,15 @@ def loader_dispatch(spark, d):
 
 
 def import_documents(spark, d):
-    return store_of(spark, d)[0]
+    return store.import_extractions(extractions(spark, d))[0]
 
 
 def import_datasets(spark, d):
-    return store_of(spark, d)[1]
+    return store.import_extractions(extractions(spark, d))[1]
 
 
 def import_tasks(spark, d):
-    return store_of(spark, d)[2].select("id", "dataset_id", "task_description", F.array_join("keywords", ",").alias("keywords"), S.low63("id").alias("int64_id"))
+    return store.import_extractions(extractions(spark, d))[2].select("id", "dataset_id", "task_description", F.array_join("keywords", ",").alias("keywords"), S.low63("id").alias("int64_id"))
 
 
 def insert_if_absent(spark, d):
@@ -170,13 +173,19 @@ def task_graph(spark, d):
 
 def pagerank_global(spark, d):
     nodes, near = similar_tasks(spark, d)
-    return _rounded(pagerank.pagerank(nodes, near, max_iter=ROUNDS, tol=0.0), "score", digits=9)
+    return _rounded(pagerank.pagerank(nodes, near), "score", digits=9)
+
+
+def pagerank_joined(spark, d):
+    """The same by joins over written tables, as for graphs that no driver holds."""
+    nodes, near = similar_tasks(spark, d)
+    return _rounded(pagerank.pagerank(nodes, materialise(near), local=False), "score", digits=9)
 
 
 def pagerank_personalized(spark, d):
     nodes, near = similar_tasks(spark, d)
     seeds = nodes.filter(F.col("id").isin(QUERY_ID, 11))
-    return _rounded(pagerank.pagerank(nodes, near, seeds, max_iter=ROUNDS, tol=0.0), "score", digits=9)
+    return _rounded(pagerank.pagerank(nodes, near, seeds), "score", digits=9)
 
 
 def _world(spark, d):
@@ -193,26 +202,26 @@ def _world(spark, d):
 def related_tasks(spark, d):
     tasks, near, *_ = _world(spark, d)
     seeds = tasks.filter(F.col("id") == QUERY_ID)
-    return _rounded(search.top_tasks(pagerank.pagerank(tasks, near, seeds, max_iter=ROUNDS, tol=0.0), seeds, 3), "score", digits=9)
+    return _rounded(search.top_tasks(pagerank.pagerank(tasks, near, seeds), seeds, 3), "score", digits=9)
 
 
 def dataset_scores(spark, d):
     tasks, near, nodes, edges, _ = _world(spark, d)
     seeds = tasks.filter(F.col("id") == QUERY_ID)
-    top = search.top_tasks(pagerank.pagerank(tasks, near, seeds, max_iter=ROUNDS, tol=0.0), seeds, 3)
+    top = search.top_tasks(pagerank.pagerank(tasks, near, seeds), seeds, 3)
     return _rounded(search.dataset_scores(top, nodes, edges), "score", digits=9)
 
 
 def search_flagship(spark, d):
     tasks, near, nodes, edges, told = _world(spark, d)
     vectors = vectors_of(spark, d).withColumnRenamed("id", "hex_id")
-    return _rounded(search.search(_query(spark, d), vectors, tasks, near, nodes, edges, told, 5, max_iter=ROUNDS, tol=0.0), "score", digits=9)
+    return _rounded(search.search(_query(spark, d), vectors, tasks, near, nodes, edges, told, 5), "score", digits=9)
 
 
 def qa_context(spark, d):
+    """The context of every dataset, numbered within its document."""
     datasets, tasks = store_of(spark, d)[1:]
-    first = datasets.filter("document_id in ('1', '2', '3')")
-    hits = graph.numbered(first, "id")
+    hits = datasets.withColumn("rank", F.row_number().over(Window.partitionBy("document_id").orderBy("id")))
     return search.context_rows(hits, tasks)
 
 
@@ -235,6 +244,16 @@ def contracted_edges(spark, d):
     return moved.select(F.least(F.col("src").cast("long"), F.col("dst").cast("long")).alias("src"), F.greatest(F.col("src").cast("long"), F.col("dst").cast("long")).alias("dst"))
 
 
+def merged_aliases(spark, d):
+    """What contraction leaves of the nodes: representatives with their aliases."""
+    vectors = vectors_of(spark, d)
+    joined = components.connected_components(resolve.candidates(vectors.withColumnRenamed("id", "hex_id"), 10, 0.34), "lo", "hi")
+    text = lambda df, *cols: df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    nodes = text(vectors, "id").select("id", F.lit("dataset").alias("type"), F.array().cast("array<string>").alias("aliases"))
+    none = spark.createDataFrame([], "src string, dst string, type string, weight double")
+    return graph.contract(nodes, none, text(joined, "id", "component"))[0].select("id", F.array_join("aliases", ",").alias("aliases"))
+
+
 def resolved_datasets(spark, d):
     """Entity resolution over part names (candidates by hashed embeddings, the built-in judge)."""
     parts = _read(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
@@ -252,17 +271,18 @@ def recall_at_k(spark, d):
 
 
 def rule_extraction(spark, d):
-    """The deterministic extractor over texts that name datasets."""
+    """The deterministic extractor over whole texts, in which each 'of' became the name of a dataset, so that titles,
+    tasks and keywords come from the words around it."""
     docs = _read(spark, d, "documents").filter("text is not null")
-    text = F.concat(F.lit("We train on the Open Set"), F.col("doc_id"), F.lit(" dataset from https://x.org/"), F.col("doc_id"), F.lit(" here. Ranking of documents by topic. "), F.col("text"))
+    text = F.regexp_replace("text", " of ", F.concat(F.lit(" Set"), F.col("doc_id") % 5, F.lit(" dataset at https://x.org/"), F.col("doc_id"), F.lit(" ")))
     found, _ = extract.extract(docs.select(F.col("doc_id").cast("string").alias("fingerprint"), text.alias("text")))
-    first = found.select("fingerprint", F.explode("datasets").alias("d")).filter(F.col("d.title").contains("Open Set"))
-    return first.select("fingerprint", "d.title", "d.link", "d.task_description", F.array_join("d.task", ",").alias("keywords"))
+    each = found.select("fingerprint", F.explode("datasets").alias("d"))
+    return each.select("fingerprint", "d.title", "d.description", "d.link", "d.task_description", F.array_join("d.task", ",").alias("keywords"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (search_flagship, doc_fingerprint_dedup, loader_dispatch, import_documents, import_datasets, import_tasks, insert_if_absent, incremental_anti, dataset_texts, title_normalize, keyword_overlap, keyword_parse, kg_nodes, kg_edges, kg_degree, doc_dataset_counts, merged_counts, knn_topk, query_topk, seed_select, task_edges, task_graph, pagerank_global, pagerank_personalized, related_tasks, dataset_scores, qa_context, dataset_candidates, merge_components, contracted_edges, resolved_datasets, recall_at_k, rule_extraction)
+    for f in (search_flagship, doc_fingerprint_dedup, loader_dispatch, import_documents, import_datasets, import_tasks, insert_if_absent, incremental_anti, dataset_texts, title_normalize, keyword_overlap, keyword_parse, kg_nodes, kg_edges, kg_degree, doc_dataset_counts, merged_counts, knn_topk, query_topk, seed_select, task_edges, task_graph, pagerank_global, pagerank_joined, pagerank_personalized, related_tasks, dataset_scores, qa_context, dataset_candidates, merge_components, contracted_edges, merged_aliases, resolved_datasets, recall_at_k, rule_extraction)
 }
 
 # ---------------------------------------------------------------- DuckDB
@@ -275,8 +295,8 @@ def _uuid5(name: str) -> str:
 
 _NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '\\b(a|the|an|dataset|corpus|data)\\b', '', 'g'), '\\s+', ' ', 'g'))"
 _EACH = f"""each_ as (select l_orderkey::varchar as document_id, l_linenumber as nth, p_name as title, p_brand as description, p_type as task_description,
-  {_uuid5("l_orderkey::varchar || ':' || p_name")} as id from lineitem join part on p_partkey = l_partkey),
-documents_ as (select distinct document_id as id from each_),
+  {_uuid5("l_orderkey::varchar || ':' || p_name")} as id from lineitem join part on p_partkey = l_partkey where l_orderkey % 10 <> 3 and l_orderkey % 7 <> 0),
+documents_ as (select distinct l_orderkey::varchar as id from lineitem join part on p_partkey = l_partkey where l_orderkey % 10 <> 3),
 datasets_ as (select id, document_id, title, description, 'None' as link from each_ qualify row_number() over (partition by id order by nth, description, task_description) = 1),
 tasks_ as (select {_uuid5("id || ':' || task_description")} as tid, id as dataset_id, task_description, nth from each_ qualify row_number() over (partition by {_uuid5("id || ':' || task_description")} order by nth) = 1)"""
 _KG = """nodes_ as (select id, min(k) as k from (select id, 1 as k from documents_ union all select id, 2 from datasets_ union all select tid, 3 from tasks_) group by id),
@@ -285,30 +305,28 @@ edges_ as (select src, dst, min(type) as type from (select least(document_id, id
 _KNN = """v_ as (select vec_id as id, embedding::double[] as e from embeddings),
 knn_ as (select a.id as a, b.id as b, list_dot_product(a.e, b.e) as sim, row_number() over (partition by a.id order by list_dot_product(a.e, b.e) desc, b.id) as rank from v_ a, v_ b qualify rank <= 10),
 pairs_ as (select least(a, b) as lo, greatest(a, b) as hi, max(sim) as sim from knn_ where a <> b group by 1, 2)"""
-_EDGES = f"""kw_ as (select doc_id as id, list_slice(string_split(lower(text), ' '), 1, 6) as k from documents),
+_EDGES = f"""kw_ as (select doc_id as id, list_distinct(string_split(lower(text), ' ')) as k from documents),
 near_ as (select lo as src, hi as dst, case when sim > {STRONG} then 1.0 when coalesce(len(list_intersect(x.k, y.k)) / least(len(list_distinct(x.k)), len(list_distinct(y.k))), 0) >= 0.7 then 1.0 else sim end as weight
   from pairs_ left join kw_ x on x.id = lo left join kw_ y on y.id = hi where sim >= {WEAK})"""
 _QUERY = f"q_ as (select list_transform(embedding, lambda x: x::double * 0.9 + 0.01) as q from embeddings where vec_id = {QUERY_ID})"
 
 
 def _ranks(seeds: str) -> str:
-    """PageRank's rounds as chained expressions; ``seeds`` is an SQL condition on id, or empty."""
+    """PageRank's rounds as a recursion; ``seeds`` is an SQL condition on id, or empty."""
     raw = f"case when {seeds} then 1.0 else 0.001 end" if seeds else "1.0"
-    out = [
-        "both_ as (select src, dst, weight from near_ union all select dst, src, weight from near_)",
-        "step_ as (select src, dst, weight / sum(weight) over (partition by src) as share from both_)",
-        f"p_ as (select id, w / sum(w) over () as p, 1.0 / count(*) over () as r, id in (select src from both_) as linked from (select id, {raw} as w from v_))",
-        "r0_ as materialized (select * from p_)",
-    ]
-    for k in range(ROUNDS):
-        out.append(
-            f"r{k + 1}_ as materialized (select r.id, r.p, 0.85 * (coalesce(f.got, 0) + (select coalesce(sum(r), 0) from r{k}_ where not linked) * r.p) + 0.15 * r.p as r, r.linked from r{k}_ r left join (select dst, sum(share * r) as got from step_ join r{k}_ on id = src group by dst) f on f.dst = r.id)"
-        )
-    return ",\n".join(out)
+    return f"""both_ as (select src, dst, weight from near_ union all select dst, src, weight from near_),
+step_ as (select src, dst, weight / sum(weight) over (partition by src) as share from both_),
+p_ as materialized (select id, w / sum(w) over () as p, 1.0 / count(*) over () as r, id in (select src from both_) as linked from (select id, {raw} as w from v_)),
+ranks_ as (select 0 as k, id, p, r, linked, 1e9::double as change, count(*) over () as n from p_
+  union all select k, id, p, new_, linked, sum(abs(new_ - r)) over () as change, n from (
+    select x.k + 1 as k, x.id, x.p, x.r, x.linked, x.n, 0.85 * (coalesce(f.got, 0) + (select coalesce(sum(r), 0) from ranks_ where not linked) * x.p) + 0.15 * x.p as new_
+    from ranks_ x left join (select dst, sum(share * r) as got from step_ join ranks_ on id = src group by dst) f on f.dst = x.id
+    where x.change >= x.n * {TOLERANCE} and x.k < {MOST_ROUNDS})),
+r_ as (select id, r from ranks_ where k = (select max(k) from ranks_))"""
 
 
 _WORLD = "ds_ as (select id, unnest([1000000 + floor(id / 3)::bigint, 2000000 + id % 7]) as ds from v_)"
-_TOP = f"top_ as (select id from (select id from r{ROUNDS}_ order by r desc, id limit {{n}}) union select id from v_ where id in ({{seeds}})), score_ as (select ds as id, max(r + 0.1) as score from top_ join r{ROUNDS}_ using (id) join ds_ using (id) group by ds)"
+_TOP = f"top_ as (select id from (select id from r_ order by r desc, id limit {{n}}) union select id from v_ where id in ({{seeds}})), score_ as (select ds as id, max(r + 0.1) as score from top_ join r_ using (id) join ds_ using (id) group by ds)"
 _COMP = """e_ as (select lo as a, hi as b from pairs_ where sim >= 0.34 union select hi, lo from pairs_ where sim >= 0.34),
 reach_ as (select a as id, a as to_ from e_ union select r.id, e_.b from reach_ r join e_ on e_.a = r.to_),
 comp_ as (select id, min(to_) as component from reach_ group by id)"""
@@ -324,7 +342,7 @@ ORACLES = {
     "incremental_anti": "select doc_id as id, length(text) as n from documents where doc_id not in (select vec_id from embeddings)",
     "dataset_texts": "select p_partkey::varchar as id, regexp_replace(' ' || p_name || ' ' || case when p_size % 3 > 0 then p_type || ' \t' else '' end, '^\\s+|\\s+$', '', 'g') as text from part",
     "title_normalize": "select p_partkey, " + _NORMAL.format("'The ' || p_name || ' (' || p_size || ')  Data-set, a Dataset! of ' || p_brand") + " as title from part",
-    "keyword_overlap": """with k as (select doc_id as id, list_slice(string_split(lower(text), ' '), 1, 6) as k from documents)
+    "keyword_overlap": """with k as (select doc_id as id, list_distinct(string_split(lower(text), ' ')) as k from documents)
       select a.id, round(len(list_intersect(a.k, b.k)) / least(len(list_distinct(a.k)), len(list_distinct(b.k))), 6) as overlap from k a join k b on b.id - 1 = a.id""",
     "keyword_parse": """select p_partkey, array_to_string(list_transform(k, lambda x, i: case when i = len(k) then regexp_replace(x, '\\.$', '') else x end), '|') as keywords
       from (select p_partkey, list_filter(list_transform(string_split(' ' || replace(p_type, ' ', ', ,') || ' .', ','), lambda x: trim(x)), lambda x: x <> '') as k from part)""",
@@ -340,20 +358,29 @@ ORACLES = {
       union all select * from (select 'fallback' as kind, id, round(cos, 6) as cos from t_ where cos >= 0.2 and not exists (select 1 from t_ where cos >= 0.9999) order by t_.cos desc, id limit 3)""",
     "task_edges": f"with {_KNN}, {_EDGES} select src, dst, 'similar_task' as type, round(weight, 6) as weight from near_",
     "task_graph": f"with {_KNN}, {_EDGES} select src, dst, round(weight, 6) as weight from near_ where src % 2 = 0 and dst % 2 = 0",
-    "pagerank_global": f"with {_KNN}, {_EDGES}, {_ranks('')} select id, round(r, 9) as score from r{ROUNDS}_",
-    "pagerank_personalized": f"with {_KNN}, {_EDGES}, {_ranks(f'id in ({QUERY_ID}, 11)')} select id, round(r, 9) as score from r{ROUNDS}_",
-    "related_tasks": f"with {_KNN}, {_EDGES}, {_ranks(f'id = {QUERY_ID}')}, {_WORLD}, {_TOP.format(n=27, seeds=QUERY_ID)} select id, round(r, 9) as score from top_ join r{ROUNDS}_ using (id)",
-    "dataset_scores": f"with {_KNN}, {_EDGES}, {_ranks(f'id = {QUERY_ID}')}, {_WORLD}, {_TOP.format(n=27, seeds=QUERY_ID)} select id, round(score, 9) as score from score_",
-    "search_flagship": f"""with {_KNN}, {_EDGES}, {_ranks(f'id = {QUERY_ID}')}, {_WORLD}, {_TOP.format(n=60, seeds=QUERY_ID)}
+    "pagerank_global": f"with recursive {_KNN}, {_EDGES}, {_ranks('')} select id, round(r, 9) as score from r_",
+    "pagerank_joined": f"with recursive {_KNN}, {_EDGES}, {_ranks('')} select id, round(r, 9) as score from r_",
+    "pagerank_personalized": f"with recursive {_KNN}, {_EDGES}, {_ranks(f'id in ({QUERY_ID}, 11)')} select id, round(r, 9) as score from r_",
+    "related_tasks": f"with recursive {_KNN}, {_EDGES}, {_ranks(f'id = {QUERY_ID}')}, {_WORLD}, {_TOP.format(n=27, seeds=QUERY_ID)} select id, round(r, 9) as score from top_ join r_ using (id)",
+    "dataset_scores": f"with recursive {_KNN}, {_EDGES}, {_ranks(f'id = {QUERY_ID}')}, {_WORLD}, {_TOP.format(n=27, seeds=QUERY_ID)} select id, round(score, 9) as score from score_",
+    "search_flagship": f"""with recursive {_KNN}, {_EDGES}, {_ranks(f'id = {QUERY_ID}')}, {_WORLD}, {_TOP.format(n=60, seeds=QUERY_ID)}
       select row_number() over (order by score_.score desc, id) as rank, round(score_.score, 9) as score, id, id % 100 as document_id, 'set ' || id as title, 'a set' as description, 'None' as link from score_ order by score_.score desc, id limit 5""",
-    "qa_context": f"""with {_EACH}, h_ as (select *, row_number() over (order by id) as rank from datasets_ where document_id in ('1', '2', '3'))
+    "qa_context": f"""with {_EACH}, h_ as (select *, row_number() over (partition by document_id order by id) as rank from datasets_)
       select rank, rank || '. **Dataset**: ' || title || chr(10) || '   **Description**: ' || description || chr(10) || '   **Related Tasks**: ' || (select string_agg(task_description, '; ' order by task_description) from tasks_ where dataset_id = h_.id) || chr(10) || '   **Link**: ' || link as line from h_""",
     "dataset_candidates": f"with {_KNN} select lo, hi, round(sim, 6) as sim from pairs_ where sim >= {WEAK}",
     "merge_components": f"with recursive {_KNN}, {_COMP} select * from comp_",
     "contracted_edges": f"""with recursive {_KNN}, {_EDGES}, {_COMP}, rep_ as (select * from comp_)
       select distinct least(a, b) as src, greatest(a, b) as dst from (select coalesce(x.component, src) as a, coalesce(y.component, dst) as b from near_ left join rep_ x on x.id = src left join rep_ y on y.id = dst) where a <> b""",
+    "merged_aliases": f"""with recursive {_KNN}, {_COMP}, m_ as (select v_.id, coalesce(component, v_.id) as rep from v_ left join comp_ using (id))
+      select rep::varchar as id, coalesce(string_agg(id::varchar, ',' order by id::varchar) filter (where id <> rep), '') as aliases from m_ group by rep""",
     "resolved_datasets": """with g_ as (select p_name, min(p_partkey) as k from part group by 1) select unnest(['a' || k, 'b' || k]) as id, 'a' || k as component from g_""",
     "recall_at_k": f"""with {_KNN}, f_ as (select v_.id, min(rank) as first from v_ left join knn_ on a = v_.id and rank <= 5 and b = v_.id + v_.id % 2 group by 1)
       select 5 as k, count(*) as queries, round(avg((first is not null)::int), 6) as hit_rate, round(avg(coalesce(1.0 / first, 0)), 6) as mrr from f_""",
-    "rule_extraction": """select doc_id::varchar as fingerprint, 'We train on the Open Set' as x, 'Open Set' || doc_id as title, 'https://x.org/' || doc_id as link, 'Ranking of documents by topic.' as task_description, 'documents,ranking,topic' as keywords from documents""".replace("'We train on the Open Set' as x, ", ""),
+    "rule_extraction": r"""with t_ as (select doc_id, string_split(regexp_replace(replace(text, ' of ', ' Set' || (doc_id % 5) || ' dataset at https://x.org/' || doc_id || ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as ss from documents where text is not null),
+      s_ as (select doc_id, unnest(ss) as s, generate_subscripts(ss, 1) as k, ss from t_),
+      m_ as (select doc_id, k, s, coalesce(ss[k + 1], s) as task, unnest(titles) as title from (select *, regexp_extract_all(s, '((?:[A-Z0-9][\p{L}\p{N}_-]*[ ]){1,5})(?:dataset|data set|corpus|benchmark)\b', 1) as titles from s_)),
+      f_ as (select *, trim(title) as t from m_ qualify row_number() over (partition by doc_id, trim(title) order by k) = 1),
+      w_ as (select *, list_distinct(list_transform(regexp_extract_all(task, '\p{L}{4,}'), lambda x: lower(x))) as ws from f_)
+      select doc_id::varchar as fingerprint, t as title, regexp_replace(s, '^\s+|\s+$', '', 'g') as description, coalesce(nullif(regexp_extract(s, 'https?://[^\s)\]>,]+'), ''), 'None') as link, regexp_replace(task, '^\s+|\s+$', '', 'g') as task_description,
+        array_to_string(list_transform(list_sort(list_transform(ws, lambda x: {'n': -len(x), 'w': x}))[:5], lambda x: x.w), ',') as keywords from w_""",
 }

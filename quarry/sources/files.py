@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.functions.scalars import extension, sha256_hex
+from quarry.storage import materialise
 
 # The extensions that are read as plain UTF-8 text.
 TEXT_EXTENSIONS = [".txt", ".md", ".csv", ".json", ".xml", ".html", ".htm", ".rst", ".tex", ".log", ".yaml", ".yml", ".ini", ".cfg"]
@@ -25,10 +26,11 @@ def loader_of(path: Column | str) -> Column:
     return F.when(ext == PDF_EXTENSION, "pdf").when(ext.isin(TEXT_EXTENSIONS), "text")
 
 
-def load_texts(files: DataFrame, pdf_text: Callable[[bytes], str] | None = None) -> tuple[DataFrame, DataFrame]:
+def load_texts(files: DataFrame, pdf_text: Callable[[bytes], str] | None = None, workers: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(``fingerprint, path, text``, one row for each distinct content; ``path, reason`` of files that failed).
 
-    ``pdf_text`` turns a PDF's bytes into text (pages joined by line ends); without it PDFs count as failures.
+    ``pdf_text`` turns a PDF's bytes into text (pages joined by line ends; :mod:`quarry.sources.pdf` has one); a PDF
+    it can't read is a failure, and without it all PDFs are.  ``workers`` bounds how many PDFs are read at once.
     Of files with equal bytes the last modified, then the last path, stands for them."""
     told = files.select("path", "modificationTime", "content", loader_of("path").alias("loader"))
     is_text = (F.col("loader") == "text") & F.expr("is_valid_utf8(cast(content as string))")
@@ -39,11 +41,22 @@ def load_texts(files: DataFrame, pdf_text: Callable[[bytes], str] | None = None)
     texts = latest.filter("loader = 'text'").select("fingerprint", "path", F.decode("content", "UTF-8").alias("text"))
     if pdf_text:
 
+        def tried(content: bytes) -> tuple[str | None, str | None]:
+            try:
+                return pdf_text(bytes(content)), None
+            except Exception as e:
+                return None, f"{type(e).__name__}: {e}"
+
         def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame({"fingerprint": b["fingerprint"], "path": b["path"], "text": [pdf_text(bytes(c)) for c in b["content"]]})
-
-        texts = texts.unionByName(latest.filter("loader = 'pdf'").mapInPandas(read, "fingerprint string, path string, text string"))
+                told = [tried(c) for c in b["content"]]
+                yield pd.DataFrame({"fingerprint": b["fingerprint"], "path": b["path"], "text": [t for t, _ in told], "reason": [r for _, r in told]})
+
+        pdfs = latest.filter("loader = 'pdf'")
+        pdfs = pdfs.repartition(workers) if workers else pdfs
+        done = materialise(pdfs.mapInPandas(read, "fingerprint string, path string, text string, reason string"))  # written: read once
+        texts = texts.unionByName(done.filter("reason is null").drop("reason"))
+        failed = failed.unionByName(done.filter("reason is not null").select("path", "reason"))
     return texts, failed
 
 

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry import schemas
 from quarry.functions.scalars import dataset_id, task_id
+from quarry.storage import materialise, remove
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table; an empty one if nothing was stored there yet."""
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    """A stored table; an empty one if nothing was stored there yet, and without the rows of unreadable files."""
+    there = None
+    for p in (path, f"{path.rstrip('/')}.old"):  # a crash between the two moves of `replace` leaves the old one
+        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        if there is None and jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+            there = p
+    return spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(there) if there else spark.createDataFrame([], schema)
 
 
 def new_rows(rows: DataFrame, existing: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
@@ -27,6 +34,23 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def replace(df: DataFrame, path: str) -> None:
+    """Puts ``df`` (which may read the old table) in the place of the table at ``path``: it is written aside first, and
+    the old table goes only when the new one is whole."""
+    spark, aside, old = df.sparkSession, f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    remove(spark, aside)
+    df.write.parquet(aside)
+    jvm = spark.sparkContext._jvm
+    at = {p: jvm.org.apache.hadoop.fs.Path(p) for p in (path, aside, old)}
+    fs = at[path].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    remove(spark, old)
+    if fs.exists(at[path]) and not fs.rename(at[path], at[old]):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(at[aside], at[path]):
+        raise OSError(f"can't move {aside}")
+    remove(spark, old)
+
+
 def load_or_compute(spark: SparkSession, keys: DataFrame, path: str, schema: str, compute: Callable[[DataFrame], DataFrame], key: str = "fingerprint") -> DataFrame:
     """A read-through cache: rows of ``keys`` that the table at ``path`` lacks are computed and appended."""
     missing = keys.join(read_table(spark, path, schema).select(key), key, "left_anti")
@@ -49,9 +73,14 @@ def import_extractions(extractions: DataFrame) -> tuple[DataFrame, DataFrame, Da
     documents = kept.select(F.col("fingerprint").alias("id")).distinct()
     each = kept.select(F.col("fingerprint").alias("document_id"), F.posexplode("datasets").alias("nth", "d")).select("document_id", "nth", "d.*")
     each = each.withColumn("id", dataset_id("document_id", "title"))
-    datasets = new_rows(each.select("id", "document_id", "title", "description", "link", "nth"), each.limit(0).select("id"), ["id"], ["nth"]).drop("nth")
-    tasks = each.select(task_id("id", "task_description").alias("task_id"), F.col("id").alias("dataset_id"), "task_description", F.coalesce("task", F.array().cast("array<string>")).alias("keywords"), "nth").withColumnRenamed("task_id", "id")
-    return documents, datasets, new_rows(tasks, tasks.limit(0).select("id"), ["id"], ["nth"]).drop("nth")
+    datasets = _firsts(each, "id", ["document_id", "title", "description", "link"])
+    tasks = each.select(task_id("id", "task_description").alias("task_id"), "nth", F.col("id").alias("dataset_id"), "task_description", F.coalesce("task", F.array().cast("array<string>")).alias("keywords"))
+    return documents, datasets, _firsts(tasks.withColumnRenamed("task_id", "id"), "id", ["dataset_id", "task_description", "keywords"])
+
+
+def _firsts(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Of rows with equal keys the first by ``nth``, with partial minima before the shuffle."""
+    return rows.groupBy(key).agg(F.min(F.struct("nth", *columns)).alias("_f")).select(key, *[F.col("_f")[c].alias(c) for c in columns])
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
@@ -74,6 +103,36 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.unionByName(spark.createDataFrame([(12, "</graph>"), (13, "</graphml>")], "part int, line string"))
 
 
+def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of GraphML files as any tool writes them: whole elements, attributes found by the files' own keys.
+    A file is read by one task; a broken one is an error."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def read(batches):
+        for b in batches:
+            for content in b["content"]:
+                rows = list(_graph_rows(bytes(content)))
+                yield pd.DataFrame(rows, columns=["kind", "a", "b", "type", "weight", "aliases"])
+
+    told = materialise(files.mapInPandas(read, "kind string, a string, b string, type string, weight double, aliases string"))
+    aliases = F.when(F.coalesce("aliases", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split("aliases", ","))
+    nodes = told.filter("kind = 'node'").select(F.col("a").alias("id"), "type", aliases.alias("aliases"))
+    return nodes, told.filter("kind = 'edge'").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "type", "weight")
+
+
+def _graph_rows(content: bytes):
+    names: dict[str, str] = {}
+    for _, e in ElementTree.iterparse(io.BytesIO(content)):
+        tag = e.tag.rsplit("}", 1)[-1]
+        if tag == "key":
+            names[e.get("id")] = e.get("attr.name", e.get("id"))
+        elif tag in ("node", "edge"):
+            data = {names.get(d.get("key"), d.get("key")): (d.text or "").strip() for d in e if d.tag.rsplit("}", 1)[-1] == "data"}
+            weight = float(data["weight"]) if data.get("weight") else None
+            yield tag, e.get("id") if tag == "node" else e.get("source"), e.get("target"), data.get("type") or None, weight, data.get("aliases")
+            e.clear()
+
+
 def parse_graphml(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) from lines as :func:`graphml` writes them (column ``value`` or ``line``)."""
     line = F.col("line" if "line" in lines.columns else "value")

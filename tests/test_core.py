@@ -3,13 +3,14 @@
 import json
 import re
 import uuid
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quarry.functions import scalars as S
-from quarry.operators import components, extract, graph, knn, pagerank, resolve, search, services
-from quarry.sources import files, store
+from quarry.operators import components, extract, graph, joins, knn, pagerank, resolve, search, services
+from quarry.sources import files, pdf, store
 
 
 def one(spark, expr):
@@ -77,6 +78,90 @@ def test_files(spark, tmp_path):
     assert files.filename_map(found).count() == 5
 
 
+def tiny_pdf(pages):
+    """A PDF of pages of (font size, text) lines, with deflated streams."""
+    out = [b"%PDF-1.4"]
+    for k, lines in enumerate(pages):
+        body = b"BT " + b" ".join(b"/F1 %d Tf 0 -14 Td (%s) Tj" % (size, text.encode("cp1252").replace(b"(", b"\\(").replace(b")", b"\\)")) for size, text in lines) + b" ET"
+        body = zlib.compress(body)
+        out.append(b"%d 0 obj << /Length %d /Filter /FlateDecode >> stream\n" % (k + 4, len(body)) + body + b"\nendstream endobj")
+    return b"\n".join([*out, b"%%EOF"])
+
+
+def test_pdf():
+    content = tiny_pdf([[(20, "Title (one)"), (10, "We use the Open Set dataset."), (10, "More text é here.")], [(10, "Second page")]])
+    assert pdf.pdf_text(content) == "Title (one)\nWe use the Open Set dataset.\nMore text é here.\nSecond page"
+    assert pdf.pdf_markdown(content).startswith("# Title (one)\nWe use") and "\n\nSecond page" in pdf.pdf_markdown(content)
+    assert pdf.pdf_text(b"%PDF-1.4\n<< /Length 9 >> stream\nBT [(Hel) 20 (lo) -300 (you)] TJ T* <FEFF00e9> Tj ET\nendstream") == "Hello you\né"
+    for broken in (b"pdf", b"%PDF-1.4 nothing", b"%PDF-1.4 /Encrypt"):
+        with pytest.raises(ValueError):
+            pdf.pdf_text(broken)
+
+
+def test_pdf_failures_are_told(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(tiny_pdf([[(10, "A page")]]))
+    (tmp_path / "b.pdf").write_bytes(b"broken")
+    texts, failed = files.load_texts(files.scan_folder(spark, str(tmp_path)), pdf.pdf_text, 2)
+    assert [r.text for r in texts.collect()] == ["A page"] and [r.reason for r in failed.collect()] == ["ValueError: no PDF"]
+
+
+def test_graphml_of_other_tools(spark, tmp_path):
+    (tmp_path / "g.graphml").write_text("""<?xml version='1.0' encoding='utf-8'?>
+<graphml xmlns="http://graphml.graphdrawing.org/xmlns">
+  <key id="d0" for="node" attr.name="type" attr.type="string" />
+  <key id="d1" for="node" attr.name="aliases" attr.type="string"/>
+  <key id="d2" for="edge" attr.name="weight" attr.type="double"/>
+  <key id="d3" for="edge" attr.name="type" attr.type="string"/>
+  <graph edgedefault="undirected">
+    <node id="b">
+      <data key="d0">dataset</data>
+      <data key="d1">x,y</data>
+    </node>
+    <node id="a&amp;c"><data key="d0">task</data></node>
+    <edge source="b" target="a&amp;c">
+      <data key="d2">0.5</data>
+      <data key="d3">used_for_task</data>
+    </edge>
+  </graph>
+</graphml>""")
+    nodes, edges = store.read_graphml(spark, str(tmp_path / "g.graphml"))
+    assert sorted((r.id, r.type, r.aliases) for r in nodes.collect()) == [("a&c", "task", []), ("b", "dataset", ["x", "y"])]
+    assert [tuple(r) for r in edges.collect()] == [("a&c", "b", "used_for_task", 0.5)]
+
+
+def test_replace_reads_what_it_replaces(spark, tmp_path):
+    path = str(tmp_path / "t")
+    store.replace(spark.range(3).select("id"), path)
+    store.replace(store.read_table(spark, path, "id long").filter("id > 0"), path)
+    assert sorted(r.id for r in store.read_table(spark, path, "id long").collect()) == [1, 2]
+    (tmp_path / "t").rename(tmp_path / "t.old")  # a crash between the two moves
+    assert store.read_table(spark, path, "id long").count() == 2
+
+
+def test_unreadable_tables_read_as_empty(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "part-0.parquet").write_bytes(b"no parquet at all, but long enough")
+    assert store.read_table(spark, str(tmp_path / "t"), "id long").count() == 0
+
+
+def test_decomposition_and_prompts():
+    assert services.decompose("t", lambda m: '{"is_specific": false, "tasks": ["a", " b "]}') == ["a", "b"]
+    assert services.decompose("t", lambda m: "what?") == services.decompose("t", lambda m: '{"is_specific": true, "tasks": ["x"]}') == ["t"]
+    seen = []
+    services.chat_extractor(lambda m: seen.append(m[0]["content"]) or '{"datasets_used": false}', {"existence": "Any data?"})("text")
+    assert seen == ["Any data?"]
+
+
+def test_spread_join(spark):
+    left = spark.createDataFrame([(1, k) for k in range(50)] + [(2, 99), (3, 98)], "k int, v long")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c")], "k int, name string")
+    heavy = joins.heavy_keys(left.groupBy("k").agg(F.count("*").alias("n")), ["k"], 4)
+    assert [r.k for r in heavy.collect()] == [1]
+    got = joins.spread_join(left, right, ["k"], heavy, "v", ["name"])
+    assert "_salt" in re.search(r"hashpartitioning\(([^)]*)", got._jdf.queryExecution().executedPlan().toString())[1]  # what spreads a heavy key
+    assert sorted(tuple(r) for r in got.collect()) == sorted([(1, k, "a") for k in range(50)] + [(2, 99, "b")])
+
+
 def test_import(spark):
     d = lambda t, k: {"title": t, "description": "d", "task_description": k, "link": None, "task": ["w"]}
     rows = [("f1", True, [d("A", "k1"), d("A", "k2"), d("A", "k1"), d(None, "k3")]), ("f2", False, [d("B", "k")]), ("f3", True, None), ("f4", None, [])]
@@ -133,6 +218,27 @@ def test_pagerank(spark, local):
     assert abs(sum(flat.values()) - 1) < 1e-9 and flat["b"] > flat["d"] > 0
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_pagerank_to_convergence(spark, local):
+    """Against a plain power iteration; an edge without a weight is none."""
+    edges = [("a", "b", "s", 1.0), ("b", "c", "s", 0.65), ("c", "e", "s", 0.2), ("a", "c", "s", None)]
+    nodes, rows = graph_of(spark, [(x, "task", []) for x in "abcde"], edges)
+    got = {r.id: r.score for r in pagerank.pagerank(nodes, rows, local=local).collect()}
+    weight = {}
+    for a, b, _, w in edges:
+        if w:
+            weight[a, b] = weight[b, a] = w
+    rank = dict.fromkeys("abcde", 0.2)
+    for _ in range(100):
+        new = {x: 0.15 / 5 + 0.85 * rank["d"] / 5 for x in rank}
+        for (a, b), w in weight.items():
+            new[b] += 0.85 * rank[a] * w / sum(v for (x, _), v in weight.items() if x == a)
+        change, rank = sum(abs(new[x] - rank[x]) for x in rank), new
+        if change < 5e-6:
+            break
+    assert all(abs(got[x] - rank[x]) < 1e-12 for x in rank)
+
+
 def test_task_edges(spark):
     unit = lambda c: [c, float(np.sqrt(1 - c * c)), 0.0]
     vectors = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", unit(0.81)), ("c", [0.0, 0.0, 1.0])], "hex_id string, embedding array<double>")
@@ -206,23 +312,28 @@ def test_engine(spark, tmp_path):
     for k, t in enumerate(topics):
         (docs / f"p{k}.txt").write_text(f"We use the Open Set{k // 2} dataset from https://x.org/{k} here. The task is {t}. Thanks.")
     (docs / "bad.xyz").write_text("?")
+    (docs / "paper.pdf").write_bytes(tiny_pdf([[(10, "We use the Portable Set dataset here. The task is layout of pages.")]]))
     options = {"input_folder": str(docs), "cache_root": str(tmp_path / "cache"), "embedding_dimension": 128, "weak_similarity_threshold": 0.3, "similarity_threshold": 0.5, "min_seed_similarity": 0.2}
     engine = Engine(spark, **options)
     assert [r.reason for r in engine.build().collect()] == ["unsupported extension"]
     counts = {t: engine.table(t).count() for t in ("preprocessed", "extractions", "documents", "datasets", "tasks", "task_vectors", "nodes", "edges", "task_nodes")}
-    assert counts["documents"] == counts["datasets"] == counts["tasks"] == counts["task_nodes"] == 4
+    assert counts["documents"] == counts["datasets"] == counts["tasks"] == counts["task_nodes"] == 5
+    assert engine.counts(processed=False) == {"node document": 5, "node dataset": 5, "node task": 5, "edge contains_dataset": 5, "edge used_for_task": 5}
+    assert {r.stage: r.rows for r in engine.progress().collect()}["preprocessed"] == 5
     engine.build()
     assert counts == {t: engine.table(t).count() for t in counts}
     hits = engine.search("The task is machine translation of news.", 2).collect()
     assert [r["rank"] for r in hits] == list(range(1, len(hits) + 1)) and "Set0" in hits[0].title
-    assert "Related Tasks" in engine.qa("The task is protein folding.", 1) and engine.statistics().count() == 4
+    assert "Related Tasks" in engine.qa("The task is protein folding.", 1) and engine.statistics().count() == 5
     assert engine.search("x", 0).count() == 0
     engine.export_graphml(str(tmp_path / "kg"))
     n, e = store.parse_graphml(spark.read.text(str(tmp_path / "kg")))
     assert n.count() == engine.table("processed_nodes").count() and e.count() == engine.table("processed_edges").count()
     (docs / "new.txt").write_text("The Great Corpus benchmark is new. Parsing of trees.")
     watch(engine, str(docs), str(tmp_path / "stream")).awaitTermination(120)
-    assert engine.table("documents").count() == 5
+    assert engine.table("documents").count() == 6
+    assert "Great" in engine.search("Parsing of trees.", 1).first().title  # the stream ends in a searchable graph
+    assert engine.table("filename_map").filter("path like '%new.txt'").count() == 1 and engine.table("failed").count() == 1
     cli.main(["stats", "--cache-root", options["cache_root"]], spark)
     with pytest.raises(ValueError):
         Engine(spark, cache_root=str(tmp_path)).build()
