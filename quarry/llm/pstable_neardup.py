@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.common import mix, record
 from quarry.operators.components import connected_components, forest
+from quarry.operators.joins import heavy_keys, spread_join
 from quarry.storage import materialise
 
 COSINE = 0.9
@@ -32,6 +33,8 @@ RECALL = 0.97
 #: Random vectors that share a bucket with a vector, in the mean over one table; distinct vectors of a block.
 STRANGERS = 16
 BLOCK = 2048
+#: Buckets of more than BLOCK vectors, up to which these are broadcast.
+MOST_CROWDED = 1 << 20
 
 
 def collision(distance: float, width: float) -> float:
@@ -86,7 +89,7 @@ def signatures(x: np.ndarray, k: int, tables: int, width: float = WIDTH, seed: i
 
 
 def _buckets(k: int, tables: int, dtype):
-    schema = pa.schema([("table", pa.int32()), ("bucket", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("v", pa.binary()), ("sig", pa.binary())])
+    schema = pa.schema([("table", pa.int32()), ("bucket", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("v", pa.binary())])
 
     def apply(batches):
         for b in batches:
@@ -98,16 +101,15 @@ def _buckets(k: int, tables: int, dtype):
                     sig = signatures(unit([v[r] for r in rows], dtype), k, tables)
                     i, t = np.divmod(np.arange(sig.size), tables)
                     take = lambda c, rows=rows, i=i: part.column(c).take(pa.array(rows[i]))  # noqa: B023, E731
-                    whole = [sig[r].tobytes() for r in range(len(rows))]
-                    yield record(schema, t.astype(np.int32), sig.ravel().astype(np.int64) + (int(dim) << 32), take("rep"), take("n"), take("v"), pa.array(whole).take(pa.array(i)))
+                    yield record(schema, t.astype(np.int32), sig.ravel().astype(np.int64) + (int(dim) << 32), take("rep"), take("n"), take("v"))
 
     return apply
 
 
-def _check(cosine: float, dtype):
+def _check(cosine: float, dtype, k: int, tables: int):
     out = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
 
-    def pairs(table: int, side, x, sig, rep, n, links: dict, edges: list):
+    def pairs(table: int, side, x, rep, n, links: dict, edges: list):
         """All pairs of a group (or between its two blocks), a strip of rows at a time."""
         for a in range(0, len(x), 256):
             hi = x[a : a + 256] @ x[a:].T
@@ -117,8 +119,11 @@ def _check(cosine: float, dtype):
             if side is not None:
                 ok &= side[i] != side[j]
             i, j = i[ok], j[ok]
-            if table and len(i):
-                new = np.concatenate([~(sig[i[s : s + 50_000], :table] == sig[j[s : s + 50_000], :table]).any(axis=1) for s in range(0, len(i), 50_000)])
+            if table and len(i):  # only what is near gets its other buckets worked out again
+                some = np.unique(np.concatenate([i, j]))
+                sig = np.concatenate([signatures(x[some[s : s + 1000]], k, tables)[:, :table] for s in range(0, len(some), 1000)])
+                p, q = np.searchsorted(some, i), np.searchsorted(some, j)
+                new = np.concatenate([~(sig[p[s : s + 50_000]] == sig[q[s : s + 50_000]]).any(axis=1) for s in range(0, len(i), 50_000)])
                 i, j = i[new], j[new]
             if len(i):
                 edges += zip(rep[i].tolist(), rep[j].tolist(), strict=True)
@@ -133,9 +138,8 @@ def _check(cosine: float, dtype):
         if t.num_rows < 2:
             return
         x = unit(t.column("v").to_pylist(), dtype)
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(t.num_rows, -1)
         side = t.column("side").to_numpy() if t.column("one")[0].as_py() != t.column("two")[0].as_py() else None
-        pairs(t.column("table")[0].as_py(), side, x, sig, t.column("rep").to_numpy(), t.column("n").to_numpy(), links, edges)
+        pairs(t.column("table")[0].as_py(), side, x, t.column("rep").to_numpy(), t.column("n").to_numpy(), links, edges)
 
     def flush(links: dict, edges: list):
         hung = forest(iter(edges))
@@ -172,21 +176,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     rows = materialise(nodes(vectors, id_col, vector_col))
     classes = materialise(rows.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     k, tables = shape(classes.count(), cosine, recall=recall)
-    placed = materialise(classes.mapInArrow(_buckets(k, tables, dtype), "table int, bucket long, rep long, n long, v binary, sig binary"))
-    sizes = placed.groupBy("table", "bucket").agg(F.count("*").alias("many")).filter("many > 1").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+    placed, slim = (classes.mapInArrow(_buckets(k, tables, dtype), "table int, bucket long, rep long, n long, v binary") for _ in range(2))
+    sizes = materialise(slim.groupBy("table", "bucket").agg(F.count("*").alias("many")).filter(F.col("many") > BLOCK).select("table", "bucket", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")))
+    sizes = F.broadcast(sizes) if sizes.limit(MOST_CROWDED + 1).count() <= MOST_CROWDED else sizes
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("side"), j).alias("one"), F.greatest(F.col("side"), j).alias("two")))).alias("p")
-    dealt = placed.join(sizes, ["table", "bucket"]).withColumn("side", block).select("table", "bucket", "rep", "n", "v", "sig", "side", pair).select("table", "bucket", "p.one", "p.two", "side", "rep", "n", "v", "sig")
+    spread = placed.join(sizes, ["table", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = spread.withColumn("side", block).select("table", "bucket", "rep", "n", "v", "side", pair).select("table", "bucket", "p.one", "p.two", "side", "rep", "n", "v")
     sorted_ = dealt.repartition("table", "bucket", "one", "two").sortWithinPartitions("table", "bucket", "one", "two")
-    found = materialise(sorted_.mapInArrow(_check(cosine, dtype), "rep long, links long, to long"))
+    found = materialise(sorted_.mapInArrow(_check(cosine, dtype, k, tables), "rep long, links long, to long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = connected_components(found.filter("to is not null").select(F.col("rep").alias("src"), F.col("to").alias("dst")))
     whole = classes.join(links, "rep", "left").join(named.withColumnRenamed("id", "rep"), "rep", "left").select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    return (
-        rows.join(whole, "v", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
-    )
+    able = spread_join(rows.filter("v is not null"), whole, ["v"], heavy_keys(classes, ["v"]), "vec_id", ["n_links", "component_id"]).select("vec_id", "n_links", "component_id")
+    alone = rows.filter("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return able.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ minimiser occurs at a second place: else none of these windows can occur twice.
 5. the repeated windows go back to the texts.
 
 Every step is a shuffle on a uniform hash, holds a bounded group in memory, and can be repeated after a loss.  Joins on
-minimisers and contents take the keys of at least 1/``HEAVY`` of all rows (at most ``HEAVY`` keys) by a broadcast.
+minimisers and contents keep frequent keys spread (``operators.joins``).
 Texts and strings are told apart by 128 bits, so repeated rows and clashing ids do no harm.
 """
 
@@ -30,14 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.common import documents, mix, raw, record, slices, u64
+from quarry.operators.joins import HEAVY, heavy_keys, spread_join
 from quarry.storage import materialise
 
 #: Places of a minimiser beyond which its strings are counted by content first, and the distinct strings of a bucket
 #: beyond which they are cut by a longer minimiser.
 FREQUENT = 300
 BODIES = 2000
-#: A join's keys with at least this fraction of its rows are broadcast instead of shuffled.
-HEAVY = 10_000
 #: Windows that are treated in one vectorised step, bytes of text in a slice, and of distinct strings in an index.
 BLOCK = 1 << 19
 SLICE = 1 << 19
@@ -127,48 +126,30 @@ def intervals(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame, spread: str, payload: list[str]) -> DataFrame:
-    """``left`` with the ``payload`` of the row of ``right`` (unique by ``keys``), where there is one; rows of ``left``
-    whose keys are in ``heavy`` (few, and all of them in ``right``) get it by a broadcast and stay spread by the hash of
-    column ``spread``."""
-    there = F.struct(*payload)
-    few = right.join(F.broadcast(heavy), keys, "left_semi").select(*keys, there.alias("_few"))
-    rest = right.join(F.broadcast(heavy), keys, "left_anti").select(*keys, there.alias("_rest"), F.lit(0).alias("_salt"))
-    salted = left.join(F.broadcast(few), keys, "left").withColumn("_salt", F.when(F.col("_few").isNotNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(100_003))).otherwise(0).cast("int"))
-    both = salted.join(rest, [*keys, "_salt"], "left").withColumn("_got", F.coalesce("_few", "_rest")).filter("_got is not null")
-    return both.select(*left.columns, *[F.col("_got")[c].alias(c) for c in payload])
-
-
-def _heavy(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys of a table of counts ``n`` that hold 1/HEAVY of the sum or more."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.filter(F.col("n") >= max(total / HEAVY, 2)).select(*keys)
-
-
-def covered(docs: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str = "text", frequent: int | None = None, bodies: int | None = None) -> DataFrame:
+def covered(docs: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str = "text", frequent: int | None = None, bodies: int | None = None, heavy: int | None = None) -> DataFrame:
     """``doc_id, text, starts, ends``: each row with the ranges of elements that repeated windows cover (the
     ranges may touch or overlap, and the lists are null where there are none)."""
-    frequent, bodies = frequent or FREQUENT, bodies or BODIES
+    frequent, bodies, heavy = frequent or FREQUENT, bodies or BODIES, heavy or HEAVY
     rows = documents(docs, id_col, text_col).withColumns({"row": F.xxhash64("doc_id", "text"), "row2": F.xxhash64("text", F.lit(1), "doc_id")})
     places = rows.select("text", "row").mapInArrow(_minimisers(kind), "h long, row long")  # rows of equal hash only get each other's minimisers
     counted = materialise(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
     twice = counted.select("h", (F.col("n") > frequent).alias("hot"))
-    wanted = spread_join(places, twice, ["h"], _heavy(counted, ["h"]), "row", ["hot"]).groupBy("row").agg(F.collect_list("h").alias("hs"), F.collect_list("hot").alias("hots"))
+    wanted = spread_join(places, twice, ["h"], heavy_keys(counted, ["h"], heavy), "row", ["hot"]).groupBy("row").agg(F.collect_list("h").alias("hs"), F.collect_list("hot").alias("hots"))
     strings = materialise(rows.select("row", "row2", "text").join(wanted, "row").mapInArrow(_strings(kind), "h long, row long, row2 long, start long, body binary, c1 long, c2 long"))
     few = strings.filter("c1 is null").select("h", "row", "row2", "start", "body").repartition("h").sortWithinPartitions("h")
     marks = few.mapInArrow(_buckets(kind), "row long, row2 long, a long, b long")
 
     often = strings.filter("c1 is not null")
     distinct = materialise(often.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.first("h").alias("h"), F.first("body").alias("body")))
-    hits = _hits(distinct, kind, bodies).groupBy("c1", "c2").agg(F.flatten(F.collect_list("hit")).alias("hit"))
-    told = spread_join(often.select("c1", "c2", "row", "row2", "start"), hits, ["c1", "c2"], _heavy(distinct.select("c1", "c2", "n"), ["c1", "c2"]), "row", ["hit"])
+    hits = _hits(distinct, kind, bodies, heavy).groupBy("c1", "c2").agg(F.flatten(F.collect_list("hit")).alias("hit"))
+    told = spread_join(often.select("c1", "c2", "row", "row2", "start"), hits, ["c1", "c2"], heavy_keys(distinct.select("c1", "c2", "n"), ["c1", "c2"], heavy), "row", ["hit"])
     marks_often = told.select("row", "row2", "start", "hit").mapInArrow(_spread(kind), "row long, row2 long, a long, b long")
 
     ranges = marks.unionByName(marks_often).groupBy("row", "row2").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
     return rows.join(ranges, ["row", "row2"], "left").select("doc_id", "text", "starts", "ends")
 
 
-def _hits(distinct: DataFrame, kind: Kind, bodies: int) -> DataFrame:
+def _hits(distinct: DataFrame, kind: Kind, bodies: int, heavy: int) -> DataFrame:
     """``c1, c2, hit``: which windows (numbers) of distinct strings (``c1, c2, n, h, body``) are repeated, counting each
     string ``n`` times.  A string may come in several rows."""
     sizes = materialise(distinct.groupBy("h").agg(F.count("*").alias("n")))
@@ -176,15 +157,15 @@ def _hits(distinct: DataFrame, kind: Kind, bodies: int) -> DataFrame:
     shape = "c1 long, c2 long, hit array<int>"
     if kind.gram >= kind.window or not crowded.limit(1).count():
         return distinct.repartition("h").sortWithinPartitions("h").mapInArrow(_counted(kind), shape)
-    dealt = materialise(spread_join(distinct, sizes.select("h", (F.col("n") > bodies).alias("crowded")), ["h"], _heavy(sizes, ["h"]), "c1", ["crowded"]))
+    dealt = materialise(spread_join(distinct, sizes.select("h", (F.col("n") > bodies).alias("crowded")), ["h"], heavy_keys(sizes, ["h"], heavy), "c1", ["crowded"]))
     found = dealt.filter("not crowded").drop("crowded").repartition("h").sortWithinPartitions("h").mapInArrow(_counted(kind), shape)
     longer = replace(kind, gram=kind.window if kind.gram > kind.window // 3 else kind.window * 3 // 5)
     parts = materialise(dealt.filter("crowded").select("c1", "c2", "n", "body").mapInArrow(_cut(longer), "p1 long, p2 long, at int, n long, h long, c1 long, c2 long, body binary"))
     within = materialise(parts.groupBy("c1", "c2").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.first("h").alias("h"), F.first("body").alias("body")))
-    below = _hits(within.drop("parts"), longer, bodies).groupBy("c1", "c2").agg(F.flatten(F.collect_list("hit")).alias("hit"))
+    below = _hits(within.drop("parts"), longer, bodies, heavy).groupBy("c1", "c2").agg(F.flatten(F.collect_list("hit")).alias("hit"))
     told = within.select("c1", "c2").join(below, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("hit", F.array().cast("array<int>")).alias("hit"))
-    heavy = _heavy(within.select("c1", "c2", F.col("parts").alias("n")), ["c1", "c2"])
-    back = spread_join(parts.select("c1", "c2", "p1", "p2", "at"), told, ["c1", "c2"], heavy, "p1", ["hit"]).filter(F.size("hit") > 0)
+    often = heavy_keys(within.select("c1", "c2", F.col("parts").alias("n")), ["c1", "c2"], heavy)
+    back = spread_join(parts.select("c1", "c2", "p1", "p2", "at"), told, ["c1", "c2"], often, "p1", ["hit"]).filter(F.size("hit") > 0)
     return found.unionByName(back.select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), F.transform("hit", lambda x: x + F.col("at")).alias("hit")))
 
 

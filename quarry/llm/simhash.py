@@ -2,11 +2,13 @@
 
 Fingerprints of 64 bits are cut into segments that form a ring.  If two differ in at most ``bits`` bits, then
 from some segment on every chain of 1, 2, ... consecutive segments keeps within its proportional budget
-(floor(length * bits / segments) differences).  With more segments than bits the first budget is 0, so pairs
-meet in buckets of an equal segment; there the chain budgets prune them before the full Hamming check.
+(floor(length * bits / segments) differences).  The budgets of the first chains are 0 (for 2 bits and 16 segments, of
+chains of up to 7), so pairs meet in buckets of such a run of equal segments, 28 bits from one of 16 places on: 16 small
+rows for each fingerprint, and a stranger in a bucket only from some 2**28 fingerprints on.  In the bucket the further
+budgets prune pairs before the full Hamming check.
 
 A bucket of many distinct fingerprints is not compared pair by pair: its members meet again by the points within
-bits/2 flips of them outside the segment - two fingerprints within 2 bits share such a point, and at most 49
+bits/2 flips of them outside the run - two fingerprints within 2 bits share such a point, and at most 37
 fingerprints share one - and only these small groups are compared.  Links leave a task as a spanning forest.
 
 Equal fingerprints are one node, so a group of copies costs one row however large it is.
@@ -23,15 +25,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.common import documents, id_field, raw, record, slices
 from quarry.operators.components import connected_components, forest
+from quarry.operators.joins import heavy_keys, spread_join
 from quarry.storage import materialise
 
 SHINGLE = 3
 BITS = 2
-SEGMENTS = 4
+SEGMENTS = 16
 SEED = 42
 #: Distinct fingerprints of a bucket beyond which its members meet by common points instead.
 CROWDED = 1024
 _WIDTH = 64 // SEGMENTS
+#: Bits of a run of segments whose chains all have the budget 0 (for up to 2 bits).
+_RUN = _WIDTH * ((SEGMENTS - 1) // BITS)
 
 
 def shingle_hashes(text: bytes, size: int) -> list[int]:
@@ -139,13 +144,14 @@ def _join(hung: dict, table: pa.Table, bits: int) -> None:
 
 
 def _points(batches):
-    """The fingerprint and its one-bit neighbours outside the segment, as keys; starts are told apart by +SEGMENTS."""
+    """The fingerprint and its one-bit neighbours outside the run, as keys; starts are told apart by +SEGMENTS."""
     for b in batches:
         for k in range(0, b.num_rows, 2000):
             part = b.slice(k, 2000)
             start, fp = part.column("start").to_numpy(), part.column("fp").to_numpy().view(np.uint64)
             flips = np.array([0, *(1 << j for j in range(64))], dtype=np.uint64)
-            inside = (flips[None, :] >> (start.astype(np.uint64) * np.uint64(_WIDTH))[:, None]) & np.uint64((1 << _WIDTH) - 1)
+            turn = (start.astype(np.uint64) * np.uint64(_WIDTH))[:, None]
+            inside = ((flips[None, :] >> turn) | (flips[None, :] << ((np.uint64(64) - turn) & np.uint64(63)))) & np.uint64((1 << _RUN) - 1)
             i, j = np.nonzero(inside == 0)
             yield pa.RecordBatch.from_arrays([pa.array((start[i] + SEGMENTS).astype(np.int32)), pa.array((fp[i] ^ flips[j]).view(np.int64)), pa.array(fp[i].view(np.int64)), part.column("rep").take(pa.array(i))], names=["start", "key", "fp", "rep"])
 
@@ -155,9 +161,10 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     if not 0 <= bits <= 2:
         raise ValueError("bits: 0, 1 or 2 (crowded buckets meet by points one flip away)")
     rep = dict(nodes.dtypes)["rep"]
-    segment = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), F.shiftrightunsigned("fp", k * _WIDTH).bitwiseAND(F.lit((1 << _WIDTH) - 1)).alias("key")) for k in range(SEGMENTS)]))
+    turned = lambda n: F.shiftrightunsigned("fp", n).bitwiseOR(F.shiftleft("fp", 64 - n)) if n else F.col("fp")
+    segment = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), turned(k * _WIDTH).bitwiseAND(F.lit((1 << _RUN) - 1)).alias("key")) for k in range(SEGMENTS)]))
     rows = nodes.select(segment.alias("s"), "fp", "rep").select("s.start", "s.key", "fp", "rep")
-    crowded = F.broadcast(rows.groupBy("start", "key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).drop("n"))  # at most 4 * 2**16 rows
+    crowded = rows.groupBy("start", "key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).drop("n")
     few = rows.join(crowded, ["start", "key"], "left_anti")
     many = rows.join(crowded, ["start", "key"], "left_semi").mapInArrow(_points, f"start int, key long, fp long, rep {rep}")
     together = few.unionByName(many).repartition("start", "key").sortWithinPartitions("start", "key")
@@ -167,10 +174,10 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
 def components(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """``doc_id, fp, component_id`` from ``doc_id, fp``: the least id reachable over links."""
     prints = materialise(prints)
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     named = connected_components(links(nodes.filter("rep is not null"), bits), forests=True)
     of_fp = nodes.join(named.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return spread_join(prints, of_fp, ["fp"], heavy_keys(nodes, ["fp"]), "doc_id", ["component_id"]).select("doc_id", "fp", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -192,10 +199,12 @@ RECALL = 0.99
 #: Distinct fingerprints that share a segment by chance, in the mean, and that one task compares with each other.
 STRANGERS = 64
 BLOCK = 2048
+#: Segment values that more than BLOCK fingerprints share, up to which these are broadcast.
+MOST_CROWDED = 1 << 20
 #: Shingles of a block of candidates (a text of more stands alone).
 BLOCK_SHINGLES = 1 << 20
 #: Words of the fingerprint that the Hamming check reads, and the standard deviations that it allows over the mean.
-CHECKED = 4
+CHECKED = 2
 ALLOWED = 4
 
 
@@ -388,8 +397,9 @@ def _pairs():
 def confirmed_links(docs: DataFrame, members: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """A forest (``src, dst``) of links between ``members`` (``rep, own, shingles, component``) of a component whose sets
     of shingles have a Jaccard similarity of ``similarity`` or more.  Large components meet by pairs of blocks."""
-    rep = dict(members.dtypes)["rep"]
-    schema = pa.schema([("rep", pa.string() if rep == "string" else pa.int64()), ("component", pa.string() if rep == "string" else pa.int64()), ("own", pa.binary()), ("held", pa.binary())])
+    rep = id_field(members, "rep")[0]
+    arrow = id_field(members, "rep")[1]
+    schema = pa.schema([("rep", arrow), ("component", arrow), ("own", pa.binary()), ("held", pa.binary())])
 
     def read(batches):
         for part in slices(batches):
@@ -408,20 +418,24 @@ def confirmed_links(docs: DataFrame, members: DataFrame, similarity: float, shin
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """``doc_id, component_id``: groups of documents linked by pairs with ``similarity`` of their shingles in common
     (Jaccard) or more: candidates by the fingerprints' Hamming distance, each confirmed exactly.  Null ids are left out."""
-    rep = {"string": "string"}.get(dict(docs.dtypes)[id_col], "long")
+    rep = id_field(docs, id_col)[0]
     bits, segments = wide_shape(docs.count(), similarity, recall)
     words = -(-bits * segments // 64)
     prints = materialise(wide_fingerprints(docs, words, shingle, id_col, text_col))
-    nodes = materialise(prints.filter("doc_id is not null").groupBy("own", "fp", "shingles").agg(F.min("doc_id").alias("rep")))
+    nodes = materialise(prints.filter("doc_id is not null").groupBy("own", "fp", "shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     able = nodes.filter(F.col("shingles") / (F.col("shingles") + 1) >= similarity)  # smaller sets are like no other set
     placed = able.mapInArrow(_segments(bits, segments), f"segment int, key long, rep {rep}, fp binary")
     slim = able.mapInArrow(_segments(bits, segments), f"segment int, key long, rep {rep}, fp binary").select("segment", "key")
-    sizes = slim.groupBy("segment", "key").agg(F.count("*").alias("many")).filter("many > 1").withColumn("blocks", _dealt("many", BLOCK))
+    # most values go to their bucket by one shuffle; those of dense groups are dealt to pairs of blocks
+    sizes = materialise(slim.groupBy("segment", "key").agg(F.count("*").alias("many")).filter(F.col("many") > BLOCK).withColumn("blocks", _dealt("many", BLOCK)).select("segment", "key", "blocks"))
+    sizes = F.broadcast(sizes) if sizes.limit(MOST_CROWDED + 1).count() <= MOST_CROWDED else sizes
+    spread = placed.join(sizes, ["segment", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     side = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = placed.join(sizes, ["segment", "key"]).withColumn("side", side).select("segment", "key", "rep", "fp", "side", _pairs()).select("segment", "key", "p.one", "p.two", "side", "rep", "fp")
+    dealt = spread.withColumn("side", side).select("segment", "key", "rep", "fp", "side", _pairs()).select("segment", "key", "p.one", "p.two", "side", "rep", "fp")
     sorted_ = dealt.repartition("segment", "key", "one", "two").sortWithinPartitions("segment", "key", "one", "two")
     loose = connected_components(sorted_.mapInArrow(_compare_wide(furthest(similarity)), f"src {rep}, dst {rep}"), forests=True)
     members = materialise(nodes.join(loose.withColumnRenamed("id", "rep"), "rep").filter(F.col("shingles") / (F.col("shingles") + 1) >= similarity).select("rep", "own", "shingles", "component"))
     named = connected_components(confirmed_links(docs, members, similarity, shingle, id_col, text_col), forests=True)
     of_own = nodes.join(named.withColumnRenamed("id", "rep"), "rep", "left").select("own", F.coalesce("component", "rep").alias("component_id"))
-    return prints.filter("doc_id is not null").join(of_own, "own").select("doc_id", "component_id")
+    told = prints.filter("doc_id is not null").select("doc_id", "own")
+    return spread_join(told, of_own, ["own"], heavy_keys(nodes.select("own", "n"), ["own"]), "doc_id", ["component_id"]).select("doc_id", "component_id")
