@@ -84,7 +84,8 @@ class Engine:
     def embed(self) -> None:
         c = self.config
         for name, texts in (("task_vectors", ex.task_texts(self.table("tasks"))), ("dataset_vectors", ex.dataset_texts(self.table("datasets")))):
-            self._append(name, ex.embed(ex.without_vectors(texts, self.table(name)), self.embedder, c.embedding_batch, c.embedding_dimension))
+            fresh = lambda missing: ex.embed(missing.withColumnRenamed("hex_id", "id"), self.embedder, c.embedding_batch, c.embedding_dimension)
+            store.load_or_compute(self.spark, texts.withColumnRenamed("id", "hex_id"), self._path(name), schemas.VECTORS, fresh, "hex_id")
 
     def build_graph(self) -> None:
         nodes, edges = graph.build_graph(self.table("documents"), self.table("datasets"), self.table("tasks"), self.table("nodes"), self.table("edges"))

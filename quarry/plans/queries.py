@@ -115,6 +115,13 @@ def keyword_parse(spark, d):
     return _read(spark, d, "part").select("p_partkey", F.array_join(S.parse_keywords(reply), "|").alias("keywords"))
 
 
+def reply_parse(spark, d):
+    """The JSON object in a chatty reply, on one line."""
+    reply = F.concat(F.lit("Here is\nwhat I found: {\"name\": \""), "p_name", F.lit("\",\n \"size\": {\"n\": "), "p_size", F.lit("}}\nBye.") )
+    text = F.when(F.col("p_size") % 4 > 0, reply).when(F.col("p_size") % 8 > 0, F.lit("nothing"))
+    return _read(spark, d, "part").select("p_partkey", S.one_line(S.json_object(text)).alias("object"))
+
+
 def kg_nodes(spark, d):
     return graph.build_graph(*store_of(spark, d))[0].select("id", "type")
 
@@ -282,7 +289,7 @@ def rule_extraction(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (search_flagship, doc_fingerprint_dedup, loader_dispatch, import_documents, import_datasets, import_tasks, insert_if_absent, incremental_anti, dataset_texts, title_normalize, keyword_overlap, keyword_parse, kg_nodes, kg_edges, kg_degree, doc_dataset_counts, merged_counts, knn_topk, query_topk, seed_select, task_edges, task_graph, pagerank_global, pagerank_joined, pagerank_personalized, related_tasks, dataset_scores, qa_context, dataset_candidates, merge_components, contracted_edges, merged_aliases, resolved_datasets, recall_at_k, rule_extraction)
+    for f in (search_flagship, doc_fingerprint_dedup, loader_dispatch, import_documents, import_datasets, import_tasks, insert_if_absent, incremental_anti, dataset_texts, title_normalize, keyword_overlap, keyword_parse, reply_parse, kg_nodes, kg_edges, kg_degree, doc_dataset_counts, merged_counts, knn_topk, query_topk, seed_select, task_edges, task_graph, pagerank_global, pagerank_joined, pagerank_personalized, related_tasks, dataset_scores, qa_context, dataset_candidates, merge_components, contracted_edges, merged_aliases, resolved_datasets, recall_at_k, rule_extraction)
 }
 
 # ---------------------------------------------------------------- DuckDB
@@ -346,6 +353,8 @@ ORACLES = {
       select a.id, round(len(list_intersect(a.k, b.k)) / least(len(list_distinct(a.k)), len(list_distinct(b.k))), 6) as overlap from k a join k b on b.id - 1 = a.id""",
     "keyword_parse": """select p_partkey, array_to_string(list_transform(k, lambda x, i: case when i = len(k) then regexp_replace(x, '\\.$', '') else x end), '|') as keywords
       from (select p_partkey, list_filter(list_transform(string_split(' ' || replace(p_type, ' ', ', ,') || ' .', ','), lambda x: trim(x)), lambda x: x <> '') as k from part)""",
+    "reply_parse": """select p_partkey, replace(regexp_extract(coalesce(case when p_size % 4 > 0 then 'Here is' || chr(10) || 'what I found: {"name": "' || p_name || '",' || chr(10) || ' "size": {"n": ' || p_size || '}}' || chr(10) || 'Bye.'
+      when p_size % 8 > 0 then 'nothing' end, ''), '(?s)\\{.*\\}'), chr(10), ' ') as object from part""",
     "kg_nodes": f"with {_EACH}, {_KG} select id, ['document', 'dataset', 'task'][k] as type from nodes_",
     "kg_edges": f"with {_EACH}, {_KG} select * from edges_",
     "kg_degree": f"with {_EACH}, {_KG} select degree, count(*) as nodes from (select id, count(*) as degree from (select src as id from edges_ union all select dst from edges_) group by id) group by degree",
