@@ -49,10 +49,12 @@ LEAST_ENTRY = 1e-3
 FREQUENT_SHARE = 2.5e-7
 DISCOUNT = 0.75
 #: Occurrences of a context beyond which it belongs to the broadcast top (and its share of all tokens, if that is
-#: more); occurrences of a bucket in the mean; occurrences that a worker sorts into buckets at once.
+#: more); occurrences of a bucket in the mean; occurrences that a worker sorts into buckets at once, and
+#: sums of texts that it holds.
 HOT, HOT_SHARE = 250_000, 1e-6
 BUCKET = 250_000
 HELD = 1_500_000
+HELD_SUMS = 4_000_000
 #: The spelling tree: longest context in bytes (its symbols of 9 bits and the next one fit a key), depths that are
 #: counted in one pass, the least share of all symbols that a context needs, the divergence, the smoothing constant
 #: and the least probability that a context keeps.
@@ -69,6 +71,7 @@ HELD_WORDS = 400_000
 END, RARE = 0, 1
 _BEFORE, _AFTER = u64(0xA0761D6478BD642F), u64(0xE7037ED1A0B428DB)
 _TRAINED = np.uint32(1 << 31)
+_HOT, _OTHER = np.uint32(1 << 31), np.uint32(1 << 30)
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
@@ -263,9 +266,11 @@ def log_word(c, tokens: int, left: float, spelled):
 
 @dataclass
 class Alphabet:
-    """The frequent words as sorted hashes; by symbol, the log10 of its base and single-token probabilities."""
+    """The frequent words as sorted hashes with their symbols (the most frequent word has the least); by symbol, the
+    log10 of its base and single-token probabilities."""
 
     hashes: np.ndarray
+    symbols: np.ndarray
     base: np.ndarray
     root: np.ndarray
 
@@ -274,7 +279,7 @@ class Alphabet:
         if not len(self.hashes):
             return np.full(len(values), RARE, np.uint32)
         at = np.minimum(np.searchsorted(self.hashes, values), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == values, at + 2, RARE).astype(np.uint32)
+        return np.where(self.hashes[at] == values, self.symbols[at], np.uint32(RARE))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -283,12 +288,14 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def alphabet_of(words: list[bytes], counts: np.ndarray, n: int, v: int, ends: int, left: float, tree: SpellingTree) -> Alphabet:
-    order = np.argsort(hashes := word_hashes(words))
+    by_count = np.argsort(-counts, kind="stable")
+    hashes = word_hashes(words)[by_count]
+    order = np.argsort(hashes)
     spelled = np.concatenate([np.zeros(0), *(tree.words(words[k : k + 50_000]) for k in range(0, len(words), 50_000))])
-    root = np.concatenate([log_word(ends, n, left, tree.text_end())[None], [0.0], log_word(counts, n, left, spelled)[order]])
+    root = np.concatenate([log_word(ends, n, left, tree.text_end())[None], [0.0], log_word(counts, n, left, spelled)[by_count]])
     root[RARE] = np.log10(max(1 - (10 ** root[END] + (10 ** root[2:]).sum()), 1e-12))
-    base = np.log10(np.concatenate([[ends, 0], counts[order]]) + 1) - np.log10(n + v + 1)
-    return Alphabet(hashes[order], base, root)
+    base = np.log10(np.concatenate([[ends, 0], counts[by_count]]) + 1) - np.log10(n + v + 1)
+    return Alphabet(hashes[order], (order + 2).astype(np.uint32), base, root)
 
 
 # ------------------------------------------------------------ contexts of tokens
@@ -352,11 +359,11 @@ def histories(texts: list[bytes], alphabet: Alphabet) -> tuple[np.ndarray, ...]:
 
 
 def smoothed(group: np.ndarray, symbol: np.ndarray, trained: np.ndarray, parent: np.ndarray, least_entry: float = LEAST_ENTRY) -> np.ndarray:
-    """The probability of each occurrence's symbol in its context ``group`` (numbers), if that is retained, else
+    """The probability of each occurrence's symbol in its context ``group`` (numbers from 0), if that is retained, else
     ``parent``, its probability in the next shorter one.  Only occurrences that are ``trained`` count."""
     if not len(group):
         return parent
-    order = np.lexsort((symbol, group))
+    order = np.argsort(group * (int(symbol.max()) + 1) + symbol)
     g, s, t, q = group[order], symbol[order], trained[order], parent[order]
     new = np.concatenate([[True], g[1:] != g[:-1]])
     fresh = new | np.concatenate([[True], s[1:] != s[:-1]])
@@ -421,7 +428,8 @@ def grow_top(rows: DataFrame, alphabet, hot: float, words: dict[int, int]) -> To
         put = lambda old, fresh, level=level: (fresh, old[1]) if level == 0 else (old[0], fresh)
         top = Top(put(top.keys, keys), put(top.entries, (x[held] << 32) | s[held]), put(top.values, (value + passed[x] * q)[held]), put(top.passed, passed), up if level else none, LEAST_ENTRY)
         if level == 0:  # contexts of two tokens that are as frequent: a hot token before a hot token, or the text's start
-            hash_of = np.concatenate([np.zeros(2, np.uint64), alphabet.value.hashes])
+            hash_of = np.zeros(len(root), np.uint64)
+            hash_of[alphabet.value.symbols] = alphabet.value.hashes
             longer = (c >= hot) & (symbol > RARE)
             first, second, number = tokens[context[longer]], hash_of[symbol[longer]], c[longer]
             if _BEFORE in tokens:
@@ -464,21 +472,24 @@ def _emit(alphabet, top, buckets: int):
         out = [(batch % buckets, batch, _NAMES, len(keys), _packed(keys[:, 0].copy(), keys[:, 1].copy()))]
         one, two = context_keys(prev1, prev2)
         hot, both = top.value.number(0, one), top.value.number(1, two)
+        # the token before the last one: its symbol, or some bits of its hash if it is rare
+        earlier = np.concatenate([np.full(2, RARE, np.uint32), symbol[:-2]])
+        earlier = np.where((earlier > RARE) & (prev2 != _BEFORE), earlier, (two >> np.uint64(38)).astype(np.uint32) | _OTHER)
         done = np.flatnonzero(both >= 0)
         if len(done):
             root = 10 ** alphabet.value.root
             gain = np.log10(top.value.chance(1, both[done], symbol[done], root)) - alphabet.value.root[symbol[done]]
             sums = np.bincount(text[done], weights=gain, minlength=len(keys))
             some = np.unique(text[done])
-            out.append((batch % buckets, batch, _SUMS, len(some), _packed(some.astype(np.uint32), sums[some])))
+            out.append((batch % buckets, batch, _SUMS, len(some), _packed(some.astype(np.uint32), sums[some].astype(np.float32))))
         rest = np.flatnonzero(both < 0)
         where = np.where(hot[rest] < 0, one[rest], two[rest])
-        second = np.where(hot[rest] < 0, two[rest] >> np.uint64(33), hot[rest].astype(np.uint64) | np.uint64(1 << 31)).astype(np.uint32)
+        second = np.where(hot[rest] < 0, earlier[rest], hot[rest].astype(np.uint32) | _HOT)
         symbol, text = symbol[rest] | np.where(trained[text[rest]], _TRAINED, np.uint32(0)), text[rest].astype(np.uint32)
-        bucket = (where % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((where, bucket))
-        where, second, symbol, text, bucket = where[order], second[order], symbol[order], text[order], bucket[order]
-        cut = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
+        order = np.argsort(where)
+        where, second, symbol, text = where[order], second[order], symbol[order], text[order]
+        bucket = ((where >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascends with the context's key
+        cut = [*np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1)).tolist(), len(bucket)]
         for a, b in zip(cut, cut[1:], strict=False):
             new = np.flatnonzero(np.concatenate([[True], where[a + 1 : b] != where[a : b - 1]]))
             many = np.diff(np.append(new, b - a)).astype(np.uint32)
@@ -505,9 +516,9 @@ def _emit(alphabet, top, buckets: int):
 def _score_buckets(alphabet, top):
     """Sums of log10 gains over the single-token distribution, for each row of a batch, from whole buckets."""
 
-    def bucket_sums(packs: list[tuple]) -> list[tuple]:
-        where, second, symbol, text, pack = [], [], [], [], []
-        for k, (_, n, blob) in enumerate(packs):
+    def add_bucket(packs: list[tuple], totals: dict) -> None:
+        where, second, symbol, text = [], [], [], []
+        for _, n, blob in packs:
             many = int.from_bytes(blob[:4], "little")
             data = zstandard.ZstdDecompressor().decompress(blob[4:])
             planes = np.frombuffer(data, np.uint8)
@@ -524,31 +535,44 @@ def _score_buckets(alphabet, top):
             where.append(np.repeat(own, times))
             for column in (second, symbol, text):
                 column.append(take(n, np.uint32))
-            pack.append(np.full(n, k, np.int64))
-        where, second, symbol, text, pack = map(np.concatenate, (where, second, symbol, text, pack))
-        trained, symbol, hot = symbol >= _TRAINED, (symbol & ~_TRAINED).astype(np.int64), second >= np.uint32(1 << 31)
+        where, second, symbol, text = map(np.concatenate, (where, second, symbol, text))
+        trained, symbol, hot = symbol >= _TRAINED, (symbol & ~_TRAINED).astype(np.int64), second >= _HOT
         root = 10 ** alphabet.value.root
-        group = np.unique(where, return_inverse=True)[1]
+        group = _numbers(where)
         p = np.empty(len(where))
         p[~hot] = smoothed(group[~hot], symbol[~hot], trained[~hot], root[symbol[~hot]], top.value.least_entry)
-        p[hot] = top.value.chance(0, (second[hot] & np.uint32(0x7FFFFFFF)).astype(np.int64), symbol[hot], root)
-        p = smoothed((group << 32) | second.astype(np.int64), symbol, trained, p, top.value.least_entry)
+        p[hot] = top.value.chance(0, (second[hot] & ~_HOT).astype(np.int64), symbol[hot], root)
+        p = smoothed(_numbers((group << 32) | second.astype(np.int64)), symbol, trained, p, top.value.least_entry)
         gain = np.log10(p) - alphabet.value.root[symbol]
-        rows, at = np.unique((pack << 32) | text.astype(np.int64), return_inverse=True)
-        sums = np.bincount(at, weights=gain, minlength=len(rows))
-        cut = np.searchsorted(rows >> 32, np.arange(len(packs) + 1))
-        return [(packs[k][0], _SUMS, b - a, _packed((rows[a:b] & 0xFFFFFFFF).astype(np.uint32), sums[a:b])) for k, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist(), strict=False))]
+        ends = np.cumsum([n for _, n, _ in packs]).tolist()
+        for (batch, n, _), end in zip(packs, ends, strict=True):
+            own = np.bincount(text[end - n : end], weights=gain[end - n : end])
+            total = totals.get(batch, own[:0])
+            if len(total) < len(own):
+                total, own = own, total
+            total[: len(own)] += own
+            totals[batch] = total
+
+    def flush(totals: dict) -> list[tuple]:
+        out = []
+        for batch, total in totals.items():
+            some = np.flatnonzero(total)
+            out.append((batch, _SUMS, len(some), _packed(some.astype(np.uint32), total[some].astype(np.float32))))
+        totals.clear()
+        return out
 
     schema = pa.schema(list(_PACK_SCHEMA)[1:])
 
     def apply(batches):
-        held, bucket = [], None
+        held, bucket, totals = [], None, {}
         for b in batches:
             out = []
             for now, batch, kind, n, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "batch", "kind", "n", "blob")), strict=True):
                 if now != bucket and held:
-                    out += bucket_sums(held)
+                    add_bucket(held, totals)
                     held = []
+                    if sum(map(len, totals.values())) > HELD_SUMS:
+                        out += flush(totals)
                 bucket = now
                 if kind == _TOKENS:
                     held.append((batch, n, blob))
@@ -557,11 +581,22 @@ def _score_buckets(alphabet, top):
             if out:
                 yield record(schema, *map(list, zip(*out, strict=True)))
         if held:
-            yield record(schema, *map(list, zip(*bucket_sums(held), strict=True)))
+            add_bucket(held, totals)
+        if totals:
+            yield record(schema, *map(list, zip(*flush(totals), strict=True)))
 
     return apply
 
 
+def _numbers(keys: np.ndarray) -> np.ndarray:
+    """Equal keys as equal numbers from 0."""
+    order = np.argsort(keys)
+    k, out = keys[order], np.empty(len(keys), np.int64)
+    if len(k):
+        out[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
+    return out
+
+
 def _by_row(batches):
     """The packs of whole batches as ``k1, k2, gain``."""
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("gain", pa.float64())])
@@ -572,7 +607,7 @@ def _by_row(batches):
         total = np.zeros(names[0])
         for kind, n, blob in packs:
             if kind == _SUMS:
-                text, sums = _unpacked(blob, n, (np.uint32, np.float64))
+                text, sums = _unpacked(blob, n, (np.uint32, np.float32))
                 np.add.at(total, text, sums)
         times = sum(kind == _NAMES for kind, _, _ in packs)  # equal batches of repeated rows come as one
         return record(schema, np.repeat(k1, times), np.repeat(k2, times), np.repeat(total / times, times))
