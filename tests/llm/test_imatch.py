@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
 from quarry.llm import imatch
 
 
@@ -35,6 +36,47 @@ def test_query(spark, write_docs, monkeypatch):
     assert all(0 <= x <= 1 for r in found.values() for x in (r.near_edited, r.near_next))
 
 
+def plain_fingerprint(text, band, common):
+    """One fingerprint by sets and sorting."""
+    big = (1 << 64) - 1
+
+    def mix(x):
+        for _ in range(2):
+            x ^= x >> 32
+            x = x * 0xD6E8FEB86659FD93 & big
+        return x ^ x >> 32
+
+    h = lambda w: xxhash.xxh64_intdigest(w)
+    own = imatch.terms(text)
+    picked = [h(w) for w in own if w in band]
+    others = sorted(((common.index(w) if w in common else len(common)), h(w)) for w in own if w not in band)
+    picked = sorted(picked + [x for _, x in others][: max(0, imatch.FEWEST - len(picked))])
+    level = max(1, round(np.log2(max(len(picked), 1))))
+    out = np.zeros((imatch.LEVELS, imatch.SUBSETS), np.uint16)
+    for k in range(imatch.SUBSETS):
+        for j in range(imatch.LEVELS):
+            inside = [m for m in (mix(x ^ mix(k + 1)) for x in picked) if m & ((1 << (level - 1 + j)) - 1) == 0]
+            if inside:
+                out[j, k] = mix(sum(mix(m ^ mix(n + 0x1F123BB5)) for n, m in enumerate(inside)) & big) % 65535 + 1
+    return imatch.text_of(level, out)
+
+
+def test_fingerprints_equal_plain_ones(spark, write_docs):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 900}" for _ in range(rng.randint(1, 90))) for _ in range(150)] + [None, "", "y" * 500, "y" * 500 + " z"]
+    rows = list(enumerate(texts))
+    distinct = {(t or "").encode() for t in texts} | {b""}
+    held = [imatch.terms(t) for t in distinct]
+    seen = {w: sum(w in ws for ws in held) for w in set().union(*held)}
+    total = len(set(texts))
+    low = max(1, int(np.ceil(imatch.RAREST * total)))
+    high = max(low, imatch.COMMONEST * total)
+    band = {w for w, n in seen.items() if low <= n <= high}
+    common = [w for n, w in sorted((n, w) for w, n in seen.items() if n > high)]
+    found = {r.doc_id: r.fingerprint for r in imatch.query(spark, write_docs(rows)).collect()}
+    assert found == {i: plain_fingerprint((t or "").encode(), band, common) for i, t in rows}
+
+
 def test_small_tables(spark, write_docs):
     assert imatch.query(spark, write_docs([])).collect() == []
     (one,) = imatch.query(spark, write_docs([(4, "abcdefgh")])).collect()

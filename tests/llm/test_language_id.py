@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from quarry.llm import language_id
 
@@ -20,6 +22,55 @@ def test_defined_results(spark, write_docs):
     assert found[93].lang_pred in ("en", "de") and all(0 <= r.score <= 1 for r in found.values())
 
 
+def plain_predictions(train, texts):
+    """The same model by dictionaries: n-gram counts of each language, a log odds ratio for each bit, the least loss."""
+    languages = sorted({lang for _, lang in train})
+    code, n_pairs = language_id.codewords(len(languages)), 1 << 16
+
+    def grams(text):
+        b = b" " + text.lower().encode() + b" "
+        yield from (("two", b[k] << 8 | b[k + 1]) for k in range(len(b) - 1))
+        yield from (("three", ((b[k] << 16 | b[k + 1] << 8 | b[k + 2]) * 2654435761 % 2**32) >> 16) for k in range(len(b) - 2))
+
+    count = {x: Counter(g for t, lang in train if lang == x for g in grams(t)) for x in languages}
+    total = {(x, o): sum(n for g, n in count[x].items() if g[0] == o) for x in languages for o in ("two", "three")}
+    chance = lambda x, g: (count[x][g] + 0.5) / (total[x, g[0]] + 0.5 * n_pairs)
+    side = lambda j, s, g: np.mean([chance(x, g) for x, c in zip(languages, code, strict=True) if c[j] * s > 0])
+    odds = lambda j, g: np.log(side(j, 1, g)) - np.log(side(j, -1, g))
+    seen = {g for x in languages for g in count[x]}
+    rest = {o: next((o, k) for k in range(n_pairs) if (o, k) not in seen) for o in ("two", "three")}
+    apart = []
+    for j in range(code.shape[1]):
+        gain = sum((side(j, 1, g) - side(j, -1, g)) * odds(j, g) for g in seen)
+        for o, g in rest.items():
+            gain += (n_pairs - sum(s[0] == o for s in seen)) * (side(j, 1, g) - side(j, -1, g)) * odds(j, g)
+        apart.append(gain)
+    weight = np.array(apart) / np.mean(apart)
+    out = []
+    for t in texts:
+        size = len(t.lower().encode()) + 2
+        margin = np.array([sum(odds(j, g) for g in grams(t)) for j in range(code.shape[1])]) / size * min(size, 64) / 8
+        loss = (np.log1p(np.exp(-margin * code)) * weight).sum(axis=1)
+        share = np.exp(-loss) / np.exp(-loss).sum()
+        out.append((languages[int(loss.argmin())], float(share.max())))
+    return out
+
+
+def test_equals_a_plain_model(spark, docs_of):
+    train = [("the cat and the hat", "en"), ("a dog in the fog", "en"), ("der hund und die katze", "de"), ("ein haus über dem fluss", "de"), ("le chat et le chien", "fr")]
+    texts = ["the dog", "die Katze", "le fleuve et la maison", "x", "THE hat " * 30, "日本"]
+    model = language_id.fit(docs_of([(k, t, lang) for k, (t, lang) in enumerate(train)]))
+    found = {r.doc_id: r for r in language_id.predict(docs_of([(k, t) for k, t in enumerate(texts)]), model).collect()}
+    for k, (lang, score) in enumerate(plain_predictions(train, texts)):
+        assert found[k].lang_pred == lang and abs(found[k].score - score) < 1e-4
+
+
+def test_signs_are_no_letters(spark, docs_of):
+    docs = docs_of([(1, "the cat", "en"), (2, "die katze", "de")])
+    found = language_id.predict(docs_of([(1, "½ ²"), (2, "Ⅷ _ 7"), (3, "ª")]), language_id.fit(docs)).collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in found} == {1: True, 2: True, 3: False}
+
+
 def test_no_training_rows_and_one_language(spark, docs_of):
     docs = docs_of([(1, "some text", None)])
     assert [r.lang_pred for r in language_id.predict(docs, language_id.fit(docs)).collect()] == ["und"]

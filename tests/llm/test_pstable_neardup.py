@@ -49,6 +49,24 @@ def test_recall_and_exactness(spark, tmp_path, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found.values())
 
 
+def test_recall_over_twenty_thousand_vectors(spark, tmp_path):
+    """Pairs planted around the threshold among strangers; recall is counted over all pairs at 0.9 or more."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((20_000, 64))
+    for k in range(0, 6000, 3):  # a vector and two relatives of cosines 0.88 to 0.97
+        for j in (1, 2):
+            c = rng.uniform(0.88, 0.97)
+            side = rng.standard_normal(64)
+            side -= side @ x[k] / (x[k] @ x[k]) * x[k]
+            x[k + j] = c * x[k] / np.linalg.norm(x[k]) + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    x = x.astype(np.float32)
+    found = op.query(spark, table(spark, [(k, v.tolist()) for k, v in enumerate(x)], tmp_path)).toPandas().set_index("vec_id")["n_links"]
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = np.concatenate([(unit[a : a + 2000] @ unit.T >= 0.9).sum(axis=1) - 1 for a in range(0, len(x), 2000)])
+    got = found.sort_index().to_numpy()
+    assert want.sum() > 4000 and (got <= want).all() and got.sum() >= 0.96 * want.sum()
+
+
 def test_odd_vectors(spark, tmp_path):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, [1e-30, 0.0]), (10, [3e38, 3e37]), (11, [0.0, -1.0])]
