@@ -51,7 +51,7 @@ DISCOUNT = 0.75
 #: Occurrences of a context beyond which it belongs to the broadcast top (and its share of all tokens, if that is
 #: more); occurrences of a bucket in the mean; occurrences that a worker sorts into buckets at once, and
 #: sums of texts that it holds.
-HOT, HOT_SHARE = 250_000, 1e-6
+HOT, HOT_SHARE = 50_000, 1e-6
 BUCKET = 250_000
 HELD = 1_500_000
 HELD_SUMS = 4_000_000
@@ -384,6 +384,11 @@ def smoothed(group: np.ndarray, symbol: np.ndarray, trained: np.ndarray, parent:
     return out
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    both, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return both, np.bincount(at, weights=np.concatenate(counts), minlength=len(both)).astype(np.int64)
+
+
 def grow_top(rows: DataFrame, alphabet, hot: float, words: dict[int, int]) -> Top:
     """Counts what follows the contexts of ``hot`` occurrences or more in training rows; ``words``: the counts of the
     tokens (by hash) that have so many."""
@@ -406,12 +411,24 @@ def grow_top(rows: DataFrame, alphabet, hot: float, words: dict[int, int]) -> To
         shared = spark.sparkContext.broadcast(keys)
 
         def count(batches, level=level, shared=shared):
+            held, counts, size = [], [], 0
             for part in slices(batches):
                 _, symbol, prev1, prev2 = histories([(t or b"").lower() for t in raw(part)], alphabet.value)
                 key = context_keys(prev1, prev2)[level]
                 at = np.minimum(np.searchsorted(shared.value, key), len(shared.value) - 1)
                 own = shared.value[at] == key
                 both, n = np.unique((at[own] << 32) | symbol[own], return_counts=True)
+                held.append(both)
+                counts.append(n)
+                size += len(both)
+                if size > HELD:  # summed over the slices of a task before they travel
+                    both, n = _summed(held, counts)
+                    held, counts, size = [both], [n], len(both)
+                    if size > HELD // 2:
+                        yield record(schema, both >> 32, both & 0xFFFFFFFF, n)
+                        held, counts, size = [], [], 0
+            if held:
+                both, n = _summed(held, counts)
                 yield record(schema, both >> 32, both & 0xFFFFFFFF, n)
 
         least = F.least(F.element_at(F.array(*[F.lit(float(LEAST_ENTRY * m)) for m in many]), F.col("context").cast("int") + 1), F.lit(float(hot)))
