@@ -20,7 +20,9 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
-    """``doc_id`` and ``text`` alone, so that no further column of the input can clash with ours."""
+    """``doc_id`` and ``text`` alone, so that no further column of the input can clash with ours.  Batches for Python
+    workers are cut to ``BATCH_ROWS`` rows, by a setting of the session (Spark reads it when the plan runs), if they are
+    larger there."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(conf.get(name)) > BATCH_ROWS or int(conf.get(name)) <= 0:
         conf.set(name, str(BATCH_ROWS))
