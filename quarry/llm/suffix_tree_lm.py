@@ -27,16 +27,17 @@ counts as an id.  The order of rows of a partition must be repeatable (as that o
 from __future__ import annotations
 
 import gc
-from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import documents, id_field, mix, raw, record, slices, u64
+from quarry.llm.common import SLICE_BYTES, documents, id_field, mix, raw, record, slices, u64
 from quarry.llm.superkmer_dedup import words as tokens_of
 from quarry.storage import materialise
 
@@ -75,21 +76,34 @@ _HOT, _OTHER = np.uint32(1 << 31), np.uint32(1 << 30)
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
-    """``word, c``: the tokens of all rows of ``text``, summed in the tasks first; the null word is the end."""
+    """``word, c``: the tokens of all rows of ``text``, summed in the tasks first; the null word is the end.  Arrow's
+    ASCII functions lower and split bytes as ``bytes.lower`` and ``bytes.split`` do."""
     schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 
+    def told(found: pa.Table, ends: int) -> pa.RecordBatch:
+        both = (pa.concat_arrays([pa.array([end], t), *found.column(k).chunks]) for k, end, t in (("word", None, pa.binary()), ("c", ends, pa.int64())))
+        return record(schema, *both)
+
     def count(batches):
-        held: Counter = Counter()
-        ends = 0
+        found, ends, fresh, size = schema.empty_table(), 0, [], 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables([found, *fresh]).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(schema.names)
+
         for part in slices(batches):
-            for t in raw(part):
-                held.update((t or b"").lower().split())
-                ends += 1
-            if len(held) > HELD_WORDS:
-                yield record(schema, [None, *held], [ends, *held.values()])
-                held, ends = Counter(), 0
+            ends += part.num_rows
+            text = part.column("text").cast(pa.binary()).view(pa.string())  # any bytes
+            words, c = pc.ascii_split_whitespace(pc.ascii_lower(text)).flatten().value_counts().flatten()
+            some = pc.greater(pc.binary_length(words), 0)  # a space at an edge splits off an empty string
+            fresh.append(pa.table([words.filter(some).cast(pa.binary()), c.filter(some)], schema=schema))
+            size += len(words)
+            if size > HELD_WORDS:
+                found, fresh, size = summed(), [], 0
+                if len(found) > HELD_WORDS:
+                    yield told(found, ends)
+                    found, ends = schema.empty_table(), 0
         if ends:
-            yield record(schema, [None, *held], [ends, *held.values()])
+            yield told(summed(), ends)
 
     return rows.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -113,12 +127,11 @@ def contexts(sym: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.ndarray,
     key (earlier ones further up; fewer if the word began later)."""
     begin = np.repeat(np.cumsum(size) - size, size)
     before = np.arange(len(sym)) - begin
-    at = np.flatnonzero(before > 0)
-    key = np.zeros(len(at), np.uint64)
+    key = np.zeros(len(sym), np.uint64)
     for d in range(1, depth + 1):
-        some = before[at] >= d
-        key[some] |= sym[at[some] - d] << np.uint64(9 * (d - 1))
-    return at, before[at], key
+        key[d:] |= np.where(before[d:] >= d, sym[:-d] << np.uint64(9 * (d - 1)), np.uint64(0))
+    at = np.flatnonzero(before > 0)
+    return at, before[at], key[at]
 
 
 @dataclass
@@ -238,21 +251,42 @@ def _count_level(depths, shared):
     counting only if its last d - 1 symbols were frequent enough."""
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
-    def apply(batches):
-        for part in slices(batches, "word", 1 << 20):
-            sym, size = spell(part.column("word").to_pylist())
-            at, before, key = contexts(sym, size, max(depths))
+    def pairs(batches):
+        for words in _gathered(batches):
+            sym, size = spell(words)
+            at, _, key = contexts(sym, size, max(depths))
+            both, n = np.unique((key << np.uint64(9)) | sym[at], return_counts=True)
             for d in depths:
-                ok = before >= d
-                own = key & np.uint64((1 << (9 * d)) - 1)
+                ok = (both >> np.uint64(9 * d)) > 0  # symbols are never 0
+                own = both[ok] & np.uint64((1 << (9 * (d + 1))) - 1)
+                of = n[ok]
                 if shared is not None:
-                    ok &= np.isin(own & np.uint64((1 << (9 * (d - 1))) - 1), shared.value)
-                both, n = np.unique((own[ok] << np.uint64(9)) | sym[at[ok]], return_counts=True)
-                yield record(schema, both.view(np.int64), n)
+                    up = (own >> np.uint64(9)) & np.uint64((1 << (9 * (d - 1))) - 1)
+                    known = np.append(shared.value, np.uint64(0))  # no context is 0
+                    ok = known[np.searchsorted(shared.value, up)] == up
+                    own, of = own[ok], of[ok]
+                yield _summed([own], [of])
+
+    def apply(batches):
+        for both, n in _merged(pairs(batches)):
+            yield record(schema, both.view(np.int64), n)
 
     return apply
 
 
+def _gathered(batches):
+    """Lists of words of about a slice's bytes, from batches of any size."""
+    held, size = [], 0
+    for part in slices(batches, "word"):
+        held += part.column("word").to_pylist()
+        size += part.column("word").nbytes
+        if size >= SLICE_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 # ------------------------------------------------------------ single tokens
 
 
@@ -264,6 +298,28 @@ def log_word(c, tokens: int, left: float, spelled):
         return np.where(own > 0, np.log10(own + 10.0 ** np.maximum(rest, -300.0)), rest)
 
 
+class Places:
+    """Finds values among sorted hashes: a search begins where the hashes of the same leading bits do."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(len(keys).bit_length(), 1)
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.keys = np.append(keys, u64(-1))  # nothing lies beyond
+        self.last = len(keys)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The place of each value; -1: not among them."""
+        at = self.starts[values >> self.shift]
+        found = self.keys[at]
+        todo = np.flatnonzero(found < values)
+        while len(todo):
+            at[todo] += 1
+            found[todo] = self.keys[at[todo]]
+            todo = todo[found[todo] < values[todo]]
+        return np.where((found == values) & (at < self.last), at, -1)
+
+
 @dataclass
 class Alphabet:
     """The frequent words as sorted hashes with their symbols (the most frequent word has the least); by symbol, the
@@ -274,12 +330,20 @@ class Alphabet:
     base: np.ndarray
     root: np.ndarray
 
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.hashes)
+
+    @cached_property
+    def symbol_at(self) -> np.ndarray:
+        return np.append(self.symbols, np.uint32(RARE))  # the last is that of place -1
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """The symbol of each word hash."""
-        if not len(self.hashes):
-            return np.full(len(values), RARE, np.uint32)
-        at = np.minimum(np.searchsorted(self.hashes, values), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == values, self.symbols[at], np.uint32(RARE))
+        return self.symbol_at[self.places.find(values)]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("places", "symbol_at")}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -315,11 +379,11 @@ class Top:
 
     def number(self, level: int, keys: np.ndarray) -> np.ndarray:
         """Which context a key is; -1: none of these."""
-        known = self.keys[level]
-        if not len(known):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[at] == keys, at, -1)
+        return self.places[level].find(keys)
+
+    @cached_property
+    def places(self) -> tuple[Places, Places]:
+        return Places(self.keys[0]), Places(self.keys[1])
 
     def chance(self, level: int, number: np.ndarray, symbol: np.ndarray, root: np.ndarray) -> np.ndarray:
         if level < 0 or not len(number):
@@ -340,16 +404,24 @@ def context_keys(prev1: np.ndarray, prev2: np.ndarray) -> tuple[np.ndarray, np.n
     return one, mix(one ^ (prev2 * u64(0x9FB21C651E98DF25)))
 
 
-def histories(texts: list[bytes], alphabet: Alphabet) -> tuple[np.ndarray, ...]:
-    """For all tokens of the texts, one after another: text number, symbol, hashes of the two tokens before."""
+def encoded(texts: list[bytes], alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all tokens of the texts, one after another: hash and symbol; the number of tokens of each text."""
     e = tokens_of(texts)
     size = e.sizes + 1
     ends = np.cumsum(size)
     n = int(ends[-1])
     word = np.ones(n, bool)
     word[ends - 1] = False
-    values, symbol = np.full(n, _AFTER), np.zeros(n, np.uint32)
+    values, symbol = np.full(n, _AFTER), np.full(n, END, np.uint32)
     values[word], symbol[word] = e.values, alphabet.find(e.values)
+    return values, symbol, size
+
+
+def histories(texts: list[bytes], alphabet: Alphabet) -> tuple[np.ndarray, ...]:
+    """For all tokens of the texts, one after another: text number, symbol, hashes of the two tokens before."""
+    values, symbol, size = encoded(texts, alphabet)
+    ends = np.cumsum(size)
+    n = int(ends[-1])
     place = np.arange(n) - np.repeat(ends - size, size)
     prev1, prev2 = np.full(n, _BEFORE), np.full(n, _BEFORE)
     prev1[1:], prev2[2:] = values[:-1], values[:-2]
@@ -385,8 +457,28 @@ def smoothed(group: np.ndarray, symbol: np.ndarray, trained: np.ndarray, parent:
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    both, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return both, np.bincount(at, weights=np.concatenate(counts), minlength=len(both)).astype(np.int64)
+    both, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(both)
+    both = both[order]
+    begin = np.flatnonzero(np.concatenate([np.ones(min(len(both), 1), bool), both[1:] != both[:-1]]))
+    return both[begin], np.add.reduceat(n[order], begin) if len(begin) else n
+
+
+def _merged(pairs):
+    """(keys, counts) summed over the slices of a task before they travel."""
+    held, counts, size = [], [], 0
+    for both, n in pairs:
+        held.append(both)
+        counts.append(n)
+        size += len(both)
+        if size > HELD:
+            both, n = _summed(held, counts)
+            held, counts, size = [both], [n], len(both)
+            if size > HELD // 2:
+                yield both, n
+                held, counts, size = [], [], 0
+    if held:
+        yield _summed(held, counts)
 
 
 def grow_top(rows: DataFrame, alphabet, hot: float, words: dict[int, int]) -> Top:
@@ -408,27 +500,33 @@ def grow_top(rows: DataFrame, alphabet, hot: float, words: dict[int, int]) -> To
         keys, tokens, before, many = keys[order], tokens[order], before[order], many[order]
         if level:
             up = up[order]
-        shared = spark.sparkContext.broadcast(keys)
-
-        def count(batches, level=level, shared=shared):
-            held, counts, size = [], [], 0
+        if not level:  # contexts by symbol (that of the end stands for a text's start)
+            own = np.where(tokens == _BEFORE, np.uint32(END), alphabet.value.find(tokens))
+            context_of = np.full(int(own.max()) + 2, -1)  # the last is that of all further symbols
+            context_of[own], pairs = np.arange(len(tokens)), None
+        else:  # by the numbers of both tokens
+            pairs = up * len(context_of) + top.number(0, context_keys(before, before)[0])
+            pairs = np.sort(pairs), np.argsort(pairs)
+        shared = spark.sparkContext.broadcast((context_of, pairs))
+
+        def found_in(batches, shared=shared):
+            context_of, pairs = shared.value
             for part in slices(batches):
-                _, symbol, prev1, prev2 = histories([(t or b"").lower() for t in raw(part)], alphabet.value)
-                key = context_keys(prev1, prev2)[level]
-                at = np.minimum(np.searchsorted(shared.value, key), len(shared.value) - 1)
-                own = shared.value[at] == key
-                both, n = np.unique((at[own] << 32) | symbol[own], return_counts=True)
-                held.append(both)
-                counts.append(n)
-                size += len(both)
-                if size > HELD:  # summed over the slices of a task before they travel
-                    both, n = _summed(held, counts)
-                    held, counts, size = [both], [n], len(both)
-                    if size > HELD // 2:
-                        yield record(schema, both >> 32, both & 0xFFFFFFFF, n)
-                        held, counts, size = [], [], 0
-            if held:
-                both, n = _summed(held, counts)
+                symbol = encoded([(t or b"").lower() for t in raw(part)], alphabet.value)[1]
+                one = context_of[np.minimum(symbol, len(context_of) - 1)]  # of the token itself: the context of the next
+                one = np.append(one[-1:], one[:-1])  # every text ends in the end, so does the last
+                at = np.flatnonzero(one >= 0)
+                context = one[at]
+                if pairs is not None:
+                    start = symbol[at - 1] == END  # before a text's start is nothing but its start
+                    both = context * len(context_of) + np.where(start, context, one[at - 1])
+                    place = np.minimum(np.searchsorted(pairs[0], both), len(pairs[0]) - 1)
+                    own = (pairs[0][place] == both) & (start | (one[at - 1] >= 0))
+                    at, context = at[own], pairs[1][place[own]]
+                yield np.unique((context << 32) | symbol[at], return_counts=True)
+
+        def count(batches, found_in=found_in):
+            for both, n in _merged(found_in(batches)):
                 yield record(schema, both >> 32, both & 0xFFFFFFFF, n)
 
         least = F.least(F.element_at(F.array(*[F.lit(float(LEAST_ENTRY * m)) for m in many]), F.col("context").cast("int") + 1), F.lit(float(hot)))

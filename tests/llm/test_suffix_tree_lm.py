@@ -4,7 +4,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from quarry.llm import suffix_tree_lm as lm
 
 
@@ -39,6 +41,47 @@ def test_beats_the_base_on_held_out_texts(spark):
     assert len(rows) > 10 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_vocabulary_of_odd_bytes(spark, docs_of):
+    """Words are what bytes.lower() and bytes.split() give, whatever the bytes."""
+    texts = [None, "", " ", "A b\x0bC\x0cd\te\r\nf  A ", "\x1cx\x1dy\x1e \x1f\x85 \xa0z\u2003w \x00", "É é İ ẞ K k", " lead", "trail "]
+    odd = b"A\xff B\xc3 \x90 \xc3"
+    rows = docs_of(enumerate(texts)).select("text").union(spark.range(3).selectExpr(f"cast(unhex('{odd.hex()}') as string)"))
+    want = Counter(w for t in [*((t or "").encode() for t in texts), odd, odd, odd] for w in [*t.lower().split(), None])
+    found = lm.vocabulary(rows).collect()
+    assert {r.word if r.word is None else bytes(r.word): r.c for r in found} == want
+
+
+def test_vocabulary_beyond_what_a_task_holds(spark):
+    many, each = lm.HELD_WORDS // 50, 100  # words of a text, texts: every word is in two of them
+    rows = spark.range(each, numPartitions=1).select(F.expr(f"array_join(transform(sequence(id * {many}, id * {many} + {2 * many - 1}), x -> 'w' || x), ' ')").alias("text"))
+    found = lm.vocabulary(rows).groupBy("c").agg(F.count("*").alias("n")).collect()
+    assert {r.c: r.n for r in found} == {1: 2 * many, 2: (each - 1) * many, each: 1}
+
+
+def test_spelling_counts_are_summed_over_the_batches_of_a_task():
+    """Batches of a few words each gave a row for each key and batch before."""
+    words = [b"banana", b"bandana", b"cabana", b"nab", b"abba"]
+    batches = [pa.record_batch([pa.array(words, pa.binary())], names=["word"]) for _ in range(200)]
+    want = Counter()
+    for w in words * 200:
+        sym = [lm.START, *(b + 1 for b in w), lm.WORD_END]
+        for k in range(1, len(sym)):
+            for d in range(min(k, lm.SHALLOW) + 1):
+                want[sum(s << (9 * e) for e, s in enumerate(sym[k - d : k + 1][::-1]))] += 1
+    rows = [pair for b in lm._count_level(range(lm.SHALLOW + 1), None)(iter(batches)) for pair in zip(*b.to_pydict().values(), strict=True)]
+    assert len(rows) == len(want) and dict(rows) == want
+
+
+def test_places_of_hashes():
+    rng = np.random.default_rng(5)
+    some = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    for keys in (some[:0], some[:1], some[:2000], np.append(some[:999], np.array([0, 1, 2, (1 << 64) - 1], np.uint64)), np.arange(500, dtype=np.uint64)):
+        keys = np.unique(keys)
+        asked = np.concatenate([some, keys, np.array([0, 1, (1 << 63), (1 << 64) - 1], np.uint64)])
+        where = {k: n for n, k in enumerate(keys.tolist())}
+        assert lm.Places(keys).find(asked).tolist() == [where.get(k, -1) for k in asked.tolist()]
+
+
 def brute_scores(docs, spelled):
     """The same model by dictionaries: ``docs`` are (id, trained, tokens); ``spelled`` gives the log10 of a spelling."""
     train = [t for _, ok, t in docs if ok]
