@@ -4,7 +4,8 @@ Normalised vectors are projected on Gaussian directions and quantised with a ran
 the tuple of its quantised projections (as a 32-bit hash).  The directions of a table and the number of tables
 follow from the number of vectors and the wished recall at the threshold.  Pairs of a bucket are checked by exact
 cosine in double precision, in blocks; a pair that shares buckets in several tables counts in the first of them,
-so no pair is ever written out: a task returns sums of links and a spanning forest.
+so no pair is ever written out: a task returns sums of links and a spanning forest.  The buckets of a batch are
+checked together, those of one size by one product, because most hold a few vectors.
 
 Equal vectors are one node with a weight, so a group of copies costs one row.  A bucket of more than ``BLOCK``
 distinct vectors is compared block by block in as many tasks.
@@ -15,6 +16,8 @@ vectors of unlike dimension never link; repeated rows are vectors of their own.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 import numpy as np
@@ -33,6 +36,9 @@ RECALL = 0.97
 #: Random vectors that share a bucket with a vector, in the mean over one table; distinct vectors of a block.
 STRANGERS = 16
 BLOCK = 2048
+#: Rows of a group that are multiplied at once; components and products that one vectorised step holds.
+STRIP = 256
+CELLS = 1 << 20
 #: Buckets of more than BLOCK vectors, up to which these are broadcast.
 MOST_CROWDED = 1 << 20
 
@@ -77,12 +83,20 @@ def unit(v: list[bytes], dtype) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def signatures(x: np.ndarray, k: int, tables: int, width: float = WIDTH, seed: int = 11) -> np.ndarray:
-    """Buckets (rows x tables) of unit vectors."""
-    rng = np.random.default_rng([seed, x.shape[1], k, tables])
-    direction, shift = rng.standard_normal((x.shape[1], k * tables)), rng.uniform(0, width, k * tables)
-    q = np.floor((x @ direction + shift) / width).astype(np.int64).reshape(len(x), tables, k).astype(np.uint64)
-    out = np.zeros((len(x), tables), np.uint64)
+@functools.lru_cache(maxsize=1)
+def projections(dim: int, k: int, tables: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions (a column each) and shifts of all tables, drawn once in a worker."""
+    rng = np.random.default_rng([seed, dim, k, tables])
+    return rng.standard_normal((dim, k * tables)), rng.uniform(0, width, k * tables)
+
+
+def signatures(x: np.ndarray, k: int, tables: int, width: float = WIDTH, seed: int = 11, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Buckets (rows x tables) of unit vectors, of the tables from ``start`` to ``stop`` if given."""
+    direction, shift = projections(x.shape[1], k, tables, width, seed)
+    stop = tables if stop is None else stop
+    some = slice(k * start, k * stop)
+    q = np.floor((x @ direction[:, some] + shift[some]) / width).astype(np.int64).reshape(len(x), stop - start, k).astype(np.uint64)
+    out = np.zeros((len(x), stop - start), np.uint64)
     for j in range(k):
         out = mix(out * np.uint64(3) + q[:, :, j])
     return (out >> np.uint64(32)).astype(np.uint32)
@@ -106,40 +120,85 @@ def _buckets(k: int, tables: int, dtype):
     return apply
 
 
+def near_pairs(x: np.ndarray, size: np.ndarray, cosine: float):
+    """Rows ``i < j`` of one group (groups lie one after the other) that are near.  Groups of one size are multiplied
+    together, large ones a strip of rows at a time."""
+    start = np.cumsum(size) - size
+    for s in np.unique(size).tolist():
+        first, many = start[size == s], max(1, CELLS // (s * max(min(s, STRIP), x.shape[1])))
+        for c in range(0, len(first), many):
+            at = first[c : c + many, None] + np.arange(s)
+            y = x[at] if len(at) > 1 else x[None, at[0, 0] : at[0, 0] + s]
+            for a in range(0, s, STRIP):
+                g, i, j = np.nonzero(y[:, a : a + STRIP] @ y[:, a:].transpose(0, 2, 1) >= cosine)
+                ok = i < j
+                yield at[g[ok], i[ok] + a], at[g[ok], j[ok] + a]
+
+
+def unseen(x: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray, k: int, tables: int) -> np.ndarray:
+    """Which pairs share no bucket in a table before their own.  Buckets are worked out again for what is near alone,
+    for two tables first, then for twice as many: most pairs far above the threshold are told by the first."""
+    new, left, start = np.ones(len(i), bool), np.arange(len(i)), 0
+    while (left := left[table[left] > start]).size:
+        stop = min(int(table[left].max()), max(2, 2 * start))
+        p, q, place = i[left], j[left], np.zeros(len(x), np.int64)
+        place[p] = place[q] = 1
+        some, place = np.flatnonzero(place), np.cumsum(place) - 1
+        sig = np.concatenate([signatures(x[some[s : s + 1000]], k, tables, start=start, stop=stop) for s in range(0, len(some), 1000)])
+        p, q, before = place[p], place[q], np.arange(start, stop)
+        shared = np.concatenate([((sig[p[s : s + 50_000]] == sig[q[s : s + 50_000]]) & (before < table[left[s : s + 50_000], None])).any(axis=1) for s in range(0, len(left), 50_000)])
+        new[left[shared]] = False
+        left, start = left[~shared], stop
+    return new
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer than ``n`` pairs that connect the same of ``n`` rows."""
+    least = np.arange(n)
+    while (open_ := least[i] != least[j]).any():
+        i, j = i[open_], j[open_]
+        a, b = least[i], least[j]
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while (least[least] != least).any():
+            least = least[least]
+    hung = np.flatnonzero(least != np.arange(n))
+    return hung, least[hung]
+
+
 def _check(cosine: float, dtype, k: int, tables: int):
     out = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
+    keys = ("table", "bucket", "one", "two")
 
-    def pairs(table: int, side, x, rep, n, links: dict, edges: list):
-        """All pairs of a group (or between its two blocks), a strip of rows at a time."""
-        for a in range(0, len(x), 256):
-            hi = x[a : a + 256] @ x[a:].T
-            i, j = np.nonzero(hi >= cosine)
-            i, j = i + a, j + a
-            ok = i < j
-            if side is not None:
-                ok &= side[i] != side[j]
+    def judge(t: pa.Table, size: np.ndarray, links: dict, edges: list):
+        """All pairs of groups of one dimension (or between a group's two blocks)."""
+        x = unit(t.column("v").to_pylist(), dtype)
+        table, one, two, side, rep, n = (t.column(c).to_numpy() for c in ("table", "one", "two", "side", "rep", "n"))
+        for i, j in near_pairs(x, size, cosine):
+            ok = (one[i] == two[i]) | (side[i] != side[j])
             i, j = i[ok], j[ok]
-            if table and len(i):  # only what is near gets its other buckets worked out again
-                some = np.unique(np.concatenate([i, j]))
-                sig = np.concatenate([signatures(x[some[s : s + 1000]], k, tables)[:, :table] for s in range(0, len(some), 1000)])
-                p, q = np.searchsorted(some, i), np.searchsorted(some, j)
-                new = np.concatenate([~(sig[p[s : s + 50_000]] == sig[q[s : s + 50_000]]).any(axis=1) for s in range(0, len(i), 50_000)])
-                i, j = i[new], j[new]
+            new = unseen(x, i, j, table[i], k, tables)
+            i, j = i[new], j[new]
             if len(i):
+                total = (np.bincount(i, weights=n[j], minlength=len(x)) + np.bincount(j, weights=n[i], minlength=len(x))).astype(np.int64)
+                r = np.flatnonzero(total)
+                for node, more in zip(rep[r].tolist(), total[r].tolist(), strict=True):
+                    links[node] = links.get(node, 0) + more
+                if len(i) > len(x):  # the pairs of a dense group
+                    i, j = spanning(len(x), i, j)
                 edges += zip(rep[i].tolist(), rep[j].tolist(), strict=True)
-                for at, other in ((i, j), (j, i)):
-                    total = np.bincount(at, weights=n[other], minlength=len(x)).astype(np.int64)
-                    for r in np.flatnonzero(total).tolist():
-                        links[int(rep[r])] = links.get(int(rep[r]), 0) + int(total[r])
             if len(edges) > 200_000:
                 edges[:] = [(b, a) for b, a in forest(iter(edges)).items()]
 
-    def group(t: pa.Table, links: dict, edges: list):
-        if t.num_rows < 2:
-            return
-        x = unit(t.column("v").to_pylist(), dtype)
-        side = t.column("side").to_numpy() if t.column("one")[0].as_py() != t.column("two")[0].as_py() else None
-        pairs(t.column("table")[0].as_py(), side, x, t.column("rep").to_numpy(), t.column("n").to_numpy(), links, edges)
+    def groups(t: pa.Table, size: np.ndarray):
+        """Groups of two and more, by dimension, in slices of about CELLS components (or one group)."""
+        first = np.cumsum(size) - size
+        wide = pc.binary_length(t.column("v")).to_numpy()[first] // np.dtype(dtype).itemsize
+        for dim in np.unique(wide[size > 1]).tolist():
+            g = np.flatnonzero((size > 1) & (wide == dim))
+            part = (np.cumsum(size[g]) - size[g]) // max(1, CELLS // dim)
+            for some in np.split(g, np.flatnonzero(np.diff(part)) + 1):
+                rows = np.repeat(first[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(size[some].sum())
+                yield t.take(pa.array(rows)), size[some]
 
     def flush(links: dict, edges: list):
         hung = forest(iter(edges))
@@ -147,23 +206,18 @@ def _check(cosine: float, dtype, k: int, tables: int):
 
     def apply(batches):
         held, links, edges = [], {}, []
-        keys = ("table", "bucket", "one", "two")
-        for b in batches:
-            if not b.num_rows:
+        for b in itertools.chain(batches, [None]):  # the last group of a batch may go on in the next
+            if b is not None and not b.num_rows or b is None and not held:
                 continue
-            key = np.stack([b.column(c).to_numpy().astype(np.int64) for c in keys])
-            starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
-            for s, e in zip(starts, starts[1:], strict=False):
-                part = b.slice(s, e - s)
-                if held and any(held[-1].column(c)[0] != part.column(c)[0] for c in keys):
-                    group(pa.Table.from_batches(held), links, edges)
-                    held = []
-                held.append(part)
-            if len(links) > 50_000:
-                yield from flush(links, edges)
-                links, edges = {}, []
-        if held:
-            group(pa.Table.from_batches(held), links, edges)
+            t = pa.Table.from_batches([*held, *([] if b is None else [b])]).combine_chunks()
+            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in keys])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), *([t.num_rows] if b is None else [])]
+            for part, size in groups(t, np.diff(cuts)) if len(cuts) > 1 else ():
+                judge(part, size, links, edges)
+                if len(links) > 50_000:
+                    yield from flush(links, edges)
+                    links, edges = {}, []
+            held = t.slice(cuts[-1]).to_batches()
         if links:
             yield from flush(links, edges)
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 from quarry.llm import pstable_neardup as op
@@ -79,3 +80,43 @@ def test_empty_table_and_doubles(spark, tmp_path):
     assert op.query(spark, table(spark, [], tmp_path / "a")).collect() == []
     rows = [(1, [1e300, 1e299]), (2, [1e300, 1.1e299])]
     assert [r.n_links for r in op.query(spark, table(spark, rows, tmp_path / "b", T.DoubleType())).collect()] == [1, 1]
+
+
+def test_buckets_of_a_batch_are_checked_together(monkeypatch):
+    """Small buckets over several tables: right sums, and steps that follow the batches instead of the buckets."""
+    k, tables, calls = 9, 12, []
+    for name in ("unit", "signatures"):
+        plain = getattr(op, name)
+        monkeypatch.setattr(op, name, lambda *a, plain=plain, **b: calls.append(len(a[0])) or plain(*a, **b))
+    rng = np.random.default_rng(3)
+    pairs = [c + 0.2 * rng.standard_normal((3, d)) for d in (16, 24) for c in rng.standard_normal((300, d))]
+    vectors, weight = [v.astype(np.float32) for p in pairs for v in p], rng.integers(1, 4, 1800)
+    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("v", pa.binary())])
+    placed = pa.Table.from_batches(op._buckets(k, tables, np.float32)([pa.record_batch([np.arange(1800), weight, [v.tobytes() for v in vectors]], schema=schema)]))
+    for at, c in enumerate(("one", "two", "side"), 2):
+        placed = placed.add_column(at, c, pa.array(np.zeros(placed.num_rows, np.int32)))
+    batches = placed.sort_by([("table", "ascending"), ("bucket", "ascending")]).combine_chunks().to_batches(max_chunksize=4321)
+    buckets = len(placed.group_by(["table", "bucket"]).aggregate([]))
+    calls.clear()
+    links = {}
+    for b in op._check(0.9, np.float32, k, tables)(iter(batches)):
+        for r, n in zip(b.column("rep").to_pylist(), b.column("links").to_pylist(), strict=True):
+            links[r] = links.get(r, 0) + n
+    assert buckets > 5000 and len(calls) < 1000, (buckets, len(calls))
+    want = {}
+    sig = [op.signatures(op.unit([v.tobytes()], np.float32), k, tables)[0] for v in vectors]
+    for half in (range(900), range(900, 1800)):
+        x = np.array([vectors[r] for r in half], dtype=np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for i, j in np.argwhere(x @ x.T >= 0.9) + half[0]:
+            if i != j and (sig[i] == sig[j]).any():
+                want[int(i)] = want.get(int(i), 0) + int(weight[j])
+    assert len(want) > 1000 and {r: n for r, n in links.items() if n} == want
+
+
+def test_spanning_pairs_of_a_dense_group():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (50, 20), (50, 40), (200, 3000)):
+        i, j = rng.integers(0, n, (2, m))
+        a, b = op.spanning(n, i, j)
+        assert len(a) < n and op.forest(zip(a.tolist(), b.tolist(), strict=True)) == op.forest(zip(i.tolist(), j.tolist(), strict=True))
