@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.scalars import keyword_overlap
 from quarry.operators.knn import topk_join, unordered
+from quarry.storage import materialise
+
+#: Ids that are broadcast if there are no more of them (counted).
+BROADCAST_IDS = 1_000_000
 
 
 def _edge(a: str, b: str, kind: str, weight=None) -> list:
@@ -45,10 +49,15 @@ def task_edges(vectors: DataFrame, tasks: DataFrame, nodes: DataFrame, edges: Da
     pairs = unordered(topk_join(vectors, vectors, k), weak)
     pairs = pairs.join(ids.withColumnRenamed("id", "lo"), "lo", "left_semi").join(ids.withColumnRenamed("id", "hi"), "hi", "left_semi")
     pairs = pairs.join(edges.select(F.col("src").alias("lo"), F.col("dst").alias("hi")), ["lo", "hi"], "left_anti")
-    words = tasks.select("id", "keywords")
-    both = pairs.join(words.toDF("lo", "k1"), "lo", "left").join(words.toDF("hi", "k2"), "hi", "left")
-    weight = F.when(F.col("sim") > strong, 1.0).when(keyword_overlap("k1", "k2") >= overlap, 1.0).otherwise(F.col("sim"))
-    return both.select(*_edge("lo", "hi", "similar_task", weight))
+    pairs = materialise(pairs)
+    # only pairs that are not strong travel with keywords, and only keywords of theirs
+    mild = pairs.filter(~(F.col("sim") > strong))
+    asked = materialise(mild.select(F.explode(F.array("lo", "hi")).alias("id")).distinct())
+    few = asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    words = tasks.select("id", "keywords").join(F.broadcast(asked) if few else asked, "id", "left_semi")
+    both = mild.join(words.toDF("lo", "k1"), "lo", "left").join(words.toDF("hi", "k2"), "hi", "left")
+    weight = F.when(keyword_overlap("k1", "k2") >= overlap, 1.0).otherwise(F.col("sim"))
+    return pairs.filter(F.col("sim") > strong).select(*_edge("lo", "hi", "similar_task", F.lit(1.0))).unionByName(both.select(*_edge("lo", "hi", "similar_task", weight)))
 
 
 def task_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

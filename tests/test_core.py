@@ -266,6 +266,46 @@ def test_knn(spark, monkeypatch, block):
     assert [r.id for r in top] == sorted(range(35), key=lambda b: (-round(x[b].sum(), 9), b))[:3]
 
 
+def planned(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_knn_does_not_shuffle_blocks(spark, monkeypatch):
+    """Many blocks: only what each task found best is shuffled, k rows a left row from each task that saw it."""
+    monkeypatch.setattr(knn, "BLOCK", 5)
+    x = np.random.default_rng(3).standard_normal((60, 8))
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "hex_id long, embedding array<double>")
+    got = knn.topk_join(df, df, 2)
+    plan = planned(got)
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan.split("== Initial Plan")[0])
+    assert "CartesianProduct" in plan and len(dealt) == 1 and dealt[0].startswith("a#")
+    assert {(r.a, r["rank"]): r.b for r in got.collect()} == {(a, n + 1): b for a, row in enumerate(x @ x.T) for n, b in enumerate(np.argsort(-row, kind="stable")[:2])}
+
+
+def test_knn_ties_wherever_vectors_are(spark, monkeypatch):
+    """Equal vectors in blocks of odd sizes have equal scores, sums in the vectors' order; ids may be text."""
+    monkeypatch.setattr(knn, "BLOCK", 11)
+    base = np.random.default_rng(4).standard_normal((9, 61)).astype(np.float32)
+    df = spark.createDataFrame([(f"{k:03}", [float(v) for v in base[k % 9]]) for k in range(90)], "hex_id string, embedding array<float>")
+    got = knn.topk_join(df, df, 4).collect()
+    assert {r.a: r.b for r in got if r["rank"] == 4} == {f"{k:03}": f"{k % 9 + 27:03}" for k in range(90)}
+    assert all(r.sim == np.cumsum(base[int(r.a) % 9].astype(float) ** 2)[-1] for r in got)
+    big = [[1e300, 0.0], [float("nan"), 1.0], [1.0, 2.0], [1e-200, 1e-200]]
+    odd = spark.createDataFrame(list(enumerate(big)), "hex_id long, embedding array<double>")
+    assert {(r.a, r["rank"]): r.b for r in knn.topk_join(odd, odd, 1).collect()} == {(0, 1): 0, (2, 1): 0, (3, 1): 0}
+
+
+def test_only_mild_pairs_need_keywords(spark):
+    unit = lambda c: [c, float(np.sqrt(1 - c * c)), 0.0]
+    vectors = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", unit(0.9)), ("c", [0.0, 0.0, 1.0]), ("d", [0.0, 0.8, 0.6])], "hex_id string, embedding array<double>")
+    tasks = spark.createDataFrame([(x, [x, "w"]) for x in "abcdefgh"], "id string, keywords array<string>")
+    nodes, edges = graph_of(spark, [(x, "task", []) for x in "abcd"], [])
+    got = graph.task_edges(vectors, tasks, nodes, edges, overlap=0.5)
+    assert sorted((r.src, r.dst, r.weight) for r in got.collect()) == [("a", "b", 1.0), ("c", "d", 1.0)]
+    assert "LeftSemi" in planned(got)  # of the keywords only those of pairs whose similarity leaves it open
+
+
 def test_seeds(spark):
     near = lambda *c: spark.createDataFrame([(k, v, v) for k, v in enumerate(c)], "id int, sim double, cos double")
     ids = lambda df: sorted(r.id for r in df.collect())
