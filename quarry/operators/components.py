@@ -1,13 +1,13 @@
 """Connected components of an edge table, without gathering them anywhere.
 
-Each round first contracts the edges of every partition to a forest (a disjoint-set pass over one partition),
-then joins neighbours by the large-star / small-star steps; it ends when every node hangs on its root directly.
+Each round first contracts the edges of every partition to forests (a disjoint-set pass over runs of its edges), then joins neighbours by the large-star / small-star steps; it ends when every node hangs on its root directly.
 Rounds are written tables, so no lineage grows and a lost executor costs one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 from quarry.operators.joins import heavy_keys, spread_join
 from quarry.storage import materialise, remove, spark_table
 
+#: Edges that are contracted together.
+RUN = 400_000
 #: Edges from which a hub is worth spreading (fewer fit one task whatever their keys).
 SPREAD_FROM = 1_000_000
 
@@ -39,15 +41,25 @@ def forest(pairs: Iterator[tuple]) -> dict:
 
 
 def _contract(batches):
-    def pairs():
-        for b in batches:
-            yield from zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)
-            schemas.append(b.schema)
-
-    schemas: list[pa.Schema] = []
-    hung = forest(pairs())
-    if hung:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((hung.values(), hung.keys()), schemas[0].types, strict=True)], schema=schemas[0])
+    """The forest of each run of ``RUN`` edges, so that a task's memory doesn't grow with its partition."""
+    held, n = [], 0
+    for b in chain(batches, [None]):
+        if held and (b is None or n + b.num_rows > RUN):
+            hung = forest(p for x in held for p in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True))
+            if hung:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((hung.values(), hung.keys()), held[0].schema.types, strict=True)], schema=held[0].schema)
+            held, n = [], 0
+        if b is not None and b.num_rows:
+            held.append(b)
+            n += b.num_rows
+
+
+def by_key(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (id) with the ``component`` of those that share a key (not null): its least id, as
+    :func:`connected_components` finds it from edges between them, for one small shuffle."""
+    least = materialise(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("component")))
+    few = least.limit(SPREAD_FROM + 1).count() <= SPREAD_FROM
+    return rows.join(F.broadcast(least) if few else least, key)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", forests: bool = False) -> DataFrame:

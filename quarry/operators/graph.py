@@ -16,11 +16,16 @@ def _edge(a: str, b: str, kind: str, weight=None) -> list:
     return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), F.lit(kind).alias("type"), (F.lit(None) if weight is None else weight).cast("double").alias("weight")]
 
 
-def build_graph(documents: DataFrame, datasets: DataFrame, tasks: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def build_graph(documents: DataFrame, datasets: DataFrame, tasks: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None, apart: bool = False) -> tuple[DataFrame, DataFrame]:
     """The basic graph, added to an existing one if given: a node's first type stays (existing, then document,
-    dataset, task), an edge needs both of its nodes, and nothing is ever removed."""
+    dataset, task), an edge needs both of its nodes, and nothing is ever removed.  ``apart``: the tables are those of one
+    :func:`store.import_apart`, so that no id occurs twice, every link has its nodes and nothing has to be looked up."""
     none = F.array().cast("array<string>")
     parts = [t.select("id", F.lit(kind).alias("type"), none.alias("aliases"), F.lit(k).alias("nth")) for k, (t, kind) in enumerate(((documents, "document"), (datasets, "dataset"), (tasks, "task")), 1)]
+    link = datasets.select(F.col("document_id").alias("x"), F.col("id").alias("y"), F.lit("contains_dataset").alias("k")).unionByName(tasks.select(F.col("dataset_id").alias("x"), F.col("id").alias("y"), F.lit("used_for_task").alias("k")))
+    ends = (F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), F.col("k").alias("type"), F.lit(None).cast("double").alias("weight"))
+    if apart and nodes is None and edges is None:
+        return parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("nth"), link.select(*ends)
     if nodes is not None:
         parts.insert(0, nodes.select("id", "type", "aliases", F.lit(0).alias("nth")))
     every = parts[0]
@@ -28,9 +33,8 @@ def build_graph(documents: DataFrame, datasets: DataFrame, tasks: DataFrame, nod
         every = every.unionByName(p)
     firsts = every.filter("id is not null").groupBy("id").agg(F.min_by(F.struct("type", "aliases"), "nth").alias("f")).select("id", "f.type", "f.aliases")
     ids = firsts.select("id")
-    link = datasets.select(F.col("document_id").alias("x"), F.col("id").alias("y"), F.lit("contains_dataset").alias("k")).unionByName(tasks.select(F.col("dataset_id").alias("x"), F.col("id").alias("y"), F.lit("used_for_task").alias("k")))
     link = link.filter("x <> y").join(ids.withColumnRenamed("id", "x"), "x", "left_semi").join(ids.withColumnRenamed("id", "y"), "y", "left_semi")
-    fresh = link.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), F.col("k").alias("type"), F.lit(None).cast("double").alias("weight"))
+    fresh = link.select(*ends)
     return firsts, _first_edges(fresh if edges is None else edges.unionByName(fresh.join(edges, ["src", "dst"], "left_anti")))
 
 
@@ -91,11 +95,18 @@ def representatives(nodes: DataFrame) -> DataFrame:
 
 
 def document_counts(datasets: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """``document_id, title, doc_count``: in how many documents the dataset (or what it was merged into) occurs.
-    Without a graph each dataset stands for itself; of equal titles of a document the largest count counts."""
+    """``document_id, title, doc_count``: in how many documents the dataset (or what it was merged into: its column
+    ``representative`` if it has one, else what the graph says) occurs.  Without a graph each dataset stands for itself;
+    of equal titles of a document the largest count counts."""
     rows = datasets.filter("coalesce(id, '') <> '' and coalesce(document_id, '') <> ''")
-    of = rows.withColumn("representative", F.col("id")) if nodes is None else rows.join(representatives(nodes), "id", "left").withColumn("representative", F.coalesce("representative", "id"))
+    if merged := "representative" in datasets.columns:
+        of = rows
+    else:
+        of = rows.withColumn("representative", F.col("id")) if nodes is None else rows.join(representatives(nodes), "id", "left").withColumn("representative", F.coalesce("representative", "id"))
     counts = of.groupBy("representative").agg(F.countDistinct("document_id").alias("doc_count"))
+    if merged:  # then there may be few
+        counts = materialise(counts)
+        counts = F.broadcast(counts) if counts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else counts
     return of.join(counts, "representative").groupBy("document_id", "title").agg(F.max("doc_count").alias("doc_count"))
 
 

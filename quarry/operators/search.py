@@ -53,13 +53,13 @@ def search(query: list[float], vectors: DataFrame, task_nodes: DataFrame, task_e
     return datasets.join(F.broadcast(best), "id").select("rank", "score", "id", "document_id", "title", "description", "link").orderBy("rank")
 
 
-def context_rows(hits: DataFrame, tasks: DataFrame, also: DataFrame | None = None) -> DataFrame:
+def context_rows(hits: DataFrame, tasks: DataFrame, also: DataFrame | None = None, every: bool = False) -> DataFrame:
     """``rank, line``: each hit with its dataset's task descriptions (in order), and those of merged datasets
-    (``id, representative``) if given."""
+    (``id, representative``) if given.  ``every``: all datasets are hits, so that tasks needn't be looked up first."""
     of = tasks.select(F.col("dataset_id").alias("id"), "task_description")
     if also is not None:
         of = of.join(also, "id", "left").select(F.coalesce("representative", "id").alias("id"), "task_description")
-    told = of.join(hits.select("id"), "id", "left_semi").groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("task_description", F.lit("N/A")))), "; ").alias("told"))
+    told = (of if every else of.join(hits.select("id"), "id", "left_semi")).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("task_description", F.lit("N/A")))), "; ").alias("told"))
     part = lambda name, c: F.concat(F.lit(f"   **{name}**: "), F.coalesce(c, F.lit("N/A")))
     head = F.concat(F.col("rank").cast("string"), F.lit(". **Dataset**: "), F.coalesce("title", F.lit("N/A")))
     line = F.concat_ws("\n", head, part("Description", F.col("description")), part("Related Tasks", F.col("told")), part("Link", F.col("link")))

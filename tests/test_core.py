@@ -172,6 +172,53 @@ def test_import(spark):
     assert datasets.join(store.import_extractions(ex)[1].select("id"), "id", "left_anti").count() == 0
 
 
+def test_import_apart(spark):
+    """One row a fingerprint, none of an id's form: the same tables and graph, without a shuffle."""
+    d = lambda t, k, n="d": {"title": t, "description": n, "task_description": k, "link": None, "task": ["w"]}
+    rows = [("f1", True, [d("A", "k1"), d("A", "k2", "e"), d("A", "k1", "f"), d(None, "k3"), d("None", "k3"), d("None", None), d("A", "None"), None]), ("f2", False, [d("B", "k")]), ("f3", True, None), ("f4", None, []), ("f5", None, [d("B", "k")])]
+    ex = spark.createDataFrame(rows, "fingerprint string, datasets_used boolean, datasets array<struct<title:string,description:string,task_description:string,link:string,task:array<string>>>")
+    got, want = store.import_apart(ex), store.import_extractions(ex)
+    for x, y in zip(got, want, strict=True):
+        assert x.columns == y.columns and sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+    for x, y in zip(graph.build_graph(*got, apart=True), graph.build_graph(*want), strict=True):
+        assert x.columns == y.columns and sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+        assert "Exchange" not in planned(x)
+
+
+@pytest.mark.parametrize("query", ["kg_nodes", "kg_edges"])
+def test_graph_of_orders_is_not_shuffled(spark, sf_dir, query):
+    from quarry.plans import queries
+
+    assert "Exchange" not in planned(queries.QUERIES[query](spark, sf_dir))  # once the extractions are written
+
+
+def test_components_by_key(spark):
+    """Merging by a key is what components, contraction and representatives make of edges between equal keys."""
+    rows = [(f"{k:02}", str(k % 4), f"T{k % 5 if k < 15 else k}") for k in range(20)] + [("x", "1", None)]
+    sets = spark.createDataFrame(rows, "id string, document_id string, title string")
+    keyed = components.by_key(sets, "title")
+    pairs = sets.alias("a").join(sets.alias("b"), "title").select(F.col("a.id").alias("lo"), F.col("b.id").alias("hi"))
+    found = {r.id: r.component for r in components.connected_components(pairs, "lo", "hi").collect()}
+    assert {r.id: r.component for r in keyed.collect()} == {i: found.get(i, i) for i, _, t in rows if t}
+    nodes, edges = graph_of(spark, [(i, "dataset", []) for i, *_ in rows], [])
+    merged = graph.contract(nodes, edges, keyed.select("id", "component"))[0]
+    known = sets.filter("title is not null")
+    assert sorted(map(str, graph.document_counts(keyed.withColumnRenamed("component", "representative")).collect())) == sorted(map(str, graph.document_counts(known, merged).collect()))
+
+
+def test_contraction_runs_are_bounded(monkeypatch):
+    """A task's forests are of so many edges at a time, whatever its partition holds."""
+    import pyarrow as pa
+
+    sizes, forest = [], components.forest
+    monkeypatch.setattr(components, "RUN", 10, raising=False)
+    monkeypatch.setattr(components, "forest", lambda pairs: forest(sizes.append(len(p := list(pairs))) or p))
+    batches = [pa.RecordBatch.from_pydict({"a": [k] * 4, "b": list(range(k + 1, k + 5))}) for k in range(0, 40, 4)] + [pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})]
+    out = [p for b in components._contract(iter(batches)) for p in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+    assert max(sizes) <= 10 and sum(sizes) == 40 and {x: 0 for x in range(1, 41)} == forest(out)
+    assert list(components._contract(iter([]))) == []
+
+
 def test_read_extractions_and_benchmark(spark, tmp_path):
     (tmp_path / "abc.json").write_text(json.dumps({"datasets_used": True, "datasets": [{"title": "T"}]}))
     (tmp_path / "bad.json").write_text("{nope")
