@@ -46,6 +46,13 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
+def degrees_apart(datasets: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The same of the graph of one :func:`store.import_apart`: a task has one edge, a dataset one and those to its tasks
+    (one at least), a document those to its datasets, so that ids of tasks needn't be counted."""
+    of = datasets.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("degree"))
+    return of.unionByName(tasks.groupBy(F.col("dataset_id").alias("id")).agg((F.count("*") + 1).alias("degree"))).unionByName(tasks.select("id", F.lit(1).cast("long").alias("degree")))
+
+
 def task_edges(vectors: DataFrame, tasks: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 10, strong: float = 0.8, overlap: float = 0.7, weak: float = 0.6) -> DataFrame:
     """New ``similar_task`` edges: of each task's k nearest (itself among them) those at ``weak`` similarity or
     more; weight 1 above ``strong`` or with that keyword overlap, else the similarity."""

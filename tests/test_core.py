@@ -183,6 +183,14 @@ def test_import_apart(spark):
     for x, y in zip(graph.build_graph(*got, apart=True), graph.build_graph(*want), strict=True):
         assert x.columns == y.columns and sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
         assert "Exchange" not in planned(x)
+    assert sorted(map(str, graph.degrees_apart(*got[1:]).collect())) == sorted(map(str, graph.degrees(graph.build_graph(*want)[1]).collect()))
+
+
+def test_lines_are_dealt_before_they_are_listed(spark, sf_dir):
+    from quarry.plans import queries
+
+    plan = planned(queries.extractions(spark, sf_dir)).split("== Initial Plan")[0]
+    assert "REPARTITION_BY_COL" in plan and not re.search(r"Aggregate.*partial_collect_list[^\n]*\n(?:[^\n]*Project[^\n]*\n)*[^\n]*Join", plan)
 
 
 @pytest.mark.parametrize("query", ["kg_nodes", "kg_edges"])
